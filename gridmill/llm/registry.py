@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from gridmill.llm import token_counts, url_filter
+from gridmill.llm import ann, language_id, packing, token_counts, url_filter
 
 QUERIES = {
+    "op3_language_id": language_id.query,
+    "op7_best_fit_packing": packing.query,
+    "op10_nearest_neighbours": ann.query,
     "op2_url_filter": url_filter.query,
     "op4_token_counts": token_counts.query,
 }
