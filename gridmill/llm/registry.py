@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gridmill.llm import ann, language_id, packing, token_counts, url_filter
+from gridmill.llm import ann, decontaminate, language_id, packing, quality, token_counts, url_filter
 
 QUERIES = {
+    "op8_decontamination": decontaminate.query,
+    "op9_quality": quality.query,
     "op3_language_id": language_id.query,
     "op7_best_fit_packing": packing.query,
     "op10_nearest_neighbours": ann.query,

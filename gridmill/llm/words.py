@@ -66,11 +66,11 @@ def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after its last."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SEP[data]
+    inside = ~sep[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]])
@@ -78,9 +78,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of these rows, their byte bounds, and for each row (and the end) its first word."""
-    start, end = word_bounds(data, offsets)
+    start, end = word_bounds(data, offsets, sep)
     rows = np.searchsorted(start, offsets)
     if not len(start):
         return np.zeros(0, U), start, end, rows
