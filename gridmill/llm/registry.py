@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridmill.llm import ann, decontaminate, language_id, packing, quality, secret_scan, token_counts, url_filter
+from gridmill.llm import ann, decontaminate, jaccard_join, language_id, packing, quality, secret_scan, token_counts, url_filter
 
 QUERIES = {
+    "op5_jaccard_join": jaccard_join.query,
     "op1_secret_scan": secret_scan.query,
     "op8_decontamination": decontaminate.query,
     "op9_quality": quality.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
 }
 ORACLES = {
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op1_secret_scan": secret_scan.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
 }
