@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import mmap
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +103,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     data = digest_bytes(rules)
     if len(data) > MAX_BYTES:
         raise ValueError(f"the rules' digest has {len(data)} bytes; executors map at most {MAX_BYTES}")
-    uri = put_bytes(spark, f"digest-{xxhash.xxh64_hexdigest(data)}", data)
+    uri = put_bytes(spark, f"digest-{uuid.uuid4().hex}", data)  # a session never takes a second file of one name
     spark.sparkContext.addFile(uri)
     name = uri.rsplit("/", 1)[1]
     rest = F.expr("substring(url, locate('://', url) + 3)")

@@ -57,6 +57,9 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id] if r.page_id is not None else urls[5])
     assert url_filter.judge(df).count() == len(urls) + 1
     assert url_filter.judge(df.limit(0)).count() == 0
+    # Another list in the same session.
+    other = url_filter.judge(df, rules=[("block", "com/")]).where("rule is not null").collect()
+    assert other and {(r.rule, r.verdict) for r in other} == {("com/", "block")}
 
 
 def test_digest_survives_colliding_keys(tmp_path, monkeypatch):
