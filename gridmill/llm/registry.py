@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridmill.llm import ann, decontaminate, jaccard_join, language_id, packing, quality, secret_scan, token_counts, url_filter
+from gridmill.llm import ann, decontaminate, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op6_substring_dedup": substring_dedup.query,
     "op5_jaccard_join": jaccard_join.query,
     "op1_secret_scan": secret_scan.query,
     "op8_decontamination": decontaminate.query,
