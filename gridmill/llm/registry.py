@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from gridmill.llm import ann, decontaminate, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op6_substring_dedup": substring_dedup.query,
     "op5_jaccard_join": jaccard_join.query,
     "op1_secret_scan": secret_scan.query,
