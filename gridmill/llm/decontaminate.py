@@ -18,17 +18,20 @@ A-Z lower-cased. A document is contaminated by an item if some stretch of it is
 
 Items go to the tasks in shards of a checked size. Defined results: null and empty texts, and items
 without words, match nothing; a doc_id that is repeated or null is judged row by row, and rows of the
-same (doc_id, item_id) give one result with the smallest distance. Items with equal words are all named.
+same (doc_id, item_id) give one result with the smallest distance that was verified. Items with equal words are all named.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ from gridmill.llm.words import U, blocks, grams, mix, utf8, word_hashes
 EDITS, RECALL, SEED = 0.2, 0.99, 11
 #: Steps compared in a repetition; the chance that a step agrees at the largest edit distance (measured over random edits of a fifth of the words: 0.46).
 SAMPLED, AGREE = 3, 0.46
+#: Repetitions go in rounds: a window range whose match one round has confirmed needs no more of them.
+ROUNDS = [(0, 1), (1, 8), (8, None)]
 #: Bytes of items that one task holds; the benchmark is scanned in as many shards as that takes.
 SHARD_BYTES = 16 << 20
 ALNUM = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -47,18 +52,49 @@ def repetitions(recall: float = RECALL, sampled: int = SAMPLED, agree: float = A
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled))
 
 
-def walk(words: np.ndarray, length: int, steps: np.ndarray, seed: int) -> np.ndarray:
-    """CGK walks of many windows (rows of word hashes): the words at the given steps, 0 beyond the end."""
-    n, width = words.shape
-    at, out = np.zeros(n, np.int64), np.zeros((n, len(steps)), U)
-    rows, wanted = np.arange(n), {int(s): i for i, s in enumerate(steps)}
-    padded = np.concatenate([words, np.zeros((n, 1), U)], axis=1)
-    for j in range(int(steps.max()) + 1):
-        now = padded[rows, np.minimum(at, width)]
-        if j in wanted:
-            out[:, wanted[j]] = now
-        at += ((now ^ U((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * U(0xBF58476D1CE4E5B9) >> U(63)).astype(np.int64)
-    return out
+def _moves(now: np.ndarray, salt: np.ndarray | U) -> np.ndarray:
+    """The random bits of (step, word): whether a walk goes on to its next word."""
+    return ((now ^ salt) * U(0xBF58476D1CE4E5B9) >> U(63)).astype(np.int64)
+
+
+def salts(seeds: np.ndarray, steps: int) -> np.ndarray:
+    return mix((seeds.astype(U)[:, None] << U(32)) + np.arange(steps, dtype=np.uint64)[None, :])
+
+
+def walks(words: np.ndarray, steps: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """CGK walks of one window, a row for each seed: its words at that row's steps, 0 beyond the end."""
+    salt, padded = salts(seeds, int(steps.max()) + 1), np.append(words, U(0))
+    at, every = np.zeros(len(seeds), np.int64), np.empty(salt.shape, U)
+    for j in range(salt.shape[1]):
+        every[:, j] = padded[np.minimum(at, len(words))]
+        at += _moves(every[:, j], salt[:, j])
+    return np.take_along_axis(every, steps, axis=1)
+
+
+def agreeing(windows: np.ndarray, steps: np.ndarray, wanted: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Which windows (rows of word hashes) agree in some repetition with the wanted words at all its steps.
+
+    All repetitions' walks go on together; one ends where it first differs.
+    """
+    n, width = windows.shape
+    padded = np.concatenate([windows, np.zeros((n, 1), U)], axis=1)
+    last, salt = steps.max(axis=1), salts(seeds, int(steps.max()) + 1)
+    due, want = np.zeros(salt.shape, bool), np.zeros(salt.shape, U)
+    np.put_along_axis(due, steps, True, axis=1)
+    np.put_along_axis(want, steps, wanted, axis=1)
+    r, w = np.divmod(np.arange(len(steps) * n), n)
+    at, hit = np.zeros(len(r), np.int64), np.zeros(n, bool)
+    for j in range(salt.shape[1]):
+        now = padded[w, np.minimum(at, width)]
+        if due[:, j].any():
+            same = ~due[r, j] | (now == want[r, j])
+            hit[w[same & (last[r] == j)]] = True
+            stay = same & (last[r] > j)
+            r, w, at, now = r[stay], w[stay], at[stay], now[stay]
+            if not len(r):
+                break
+        at += _moves(now, salt[r, j])
+    return hit
 
 
 def sample_steps(length: int, repetition: int, seed: int, sampled: int = SAMPLED) -> np.ndarray:
@@ -87,6 +123,12 @@ def best_stretch(item: list[int], text: list[int]) -> int:
     return best
 
 
+class Shard(NamedTuple):
+    key: str
+    ids: list[int]
+    texts: list[str]
+
+
 class Items:
     """One shard of the benchmark, ready to scan documents."""
 
@@ -122,10 +164,11 @@ class Items:
                 self.table[q][(every >> U(42)).astype(np.int64)] = True
         self.walks = functools.lru_cache(maxsize=None)(self._walks)
 
-    def _walks(self, i: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        w = self.words[i]
-        steps = [sample_steps(len(w), r, self.seed) for r in range(self.repeats)]
-        return [(s, walk(w[None, :], len(w), s, self.seed + r)[0]) for r, s in enumerate(steps)]
+    def _walks(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of an item: each repetition's steps, the item's own words there, and the seeds."""
+        w, seeds = self.words[i], self.seed + np.arange(self.repeats)
+        steps = np.array([sample_steps(len(w), r, self.seed) for r in range(self.repeats)])
+        return steps, walks(w, steps, seeds), seeds
 
     def regions(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first, last): windows starting there may be within the item's edits."""
@@ -175,19 +218,33 @@ class Items:
                 span = words[lo : hi + length]
                 span = np.concatenate([span, np.zeros(max(0, hi - lo + length - len(span)), U)])
                 windows = np.lib.stride_tricks.sliding_window_view(span, length)
-                hit = np.zeros(len(windows), bool)
-                for r, (steps, own) in enumerate(self.walks(i)):
-                    hit |= (walk(windows, length, steps, self.seed + r) == own).all(axis=1)
-                starts = np.flatnonzero(hit) + lo
-                while len(starts):  # one verification for candidates that overlap
-                    run = starts[starts <= starts[0] + 4 * length]
-                    distance = best_stretch(item.tolist(), words[max(0, int(run[0]) - k) : int(run[-1]) + length + k].tolist())
-                    if distance <= k and distance < found.get(i, k + 1):
-                        found[i] = distance
-                    starts = starts[len(run) :]
+                steps, wanted, seeds = self.walks(i)
+                for r in ROUNDS:
+                    part = slice(*r)
+                    starts = np.flatnonzero(agreeing(windows, steps[part], wanted[part], seeds[part])) + lo
+                    while len(starts):  # one verification for candidates that overlap
+                        run = starts[starts <= starts[0] + 4 * length]
+                        distance = best_stretch(item.tolist(), words[max(0, int(run[0]) - k) : int(run[-1]) + length + k].tolist())
+                        if distance <= k and distance < found.get(i, k + 1):
+                            found[i] = distance
+                        starts = starts[len(run) :]
+                    if i in found:
+                        break
         return found
 
 
+_kept: dict[tuple, Items] = {}
+
+
+def _held(shared: Broadcast, edits: float, recall: float, seed: int) -> Items:
+    """One shard's items are prepared once in a worker; the last one used is kept."""
+    key = (shared.value.key, edits, recall, seed)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Items(shared.value.ids, shared.value.texts, edits, recall, seed)
+    return _kept[key]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL, seed: int = SEED, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, item_words) of every item that a document holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
@@ -196,10 +253,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, re
     spark, found = docs.sparkSession, None
     for s in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        shared = spark.sparkContext.broadcast(Shard(uuid.uuid4().hex, [r.item_id for r in rows], [r.text for r in rows]))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = Items(*shared.value, edits, recall, seed)
+            held = _held(shared, edits, recall, seed)
             for batch in batches:
                 out = []
                 data, offsets = utf8(batch.column("text"))

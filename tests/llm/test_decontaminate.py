@@ -75,8 +75,11 @@ def test_planted_items_are_found(spark):
     assert held and set(held) <= got
 
 
-def test_walks_of_equal_windows_agree():
-    w = np.random.default_rng(0).integers(1, 2**60, (3, 20), dtype=np.uint64)
-    w[1] = w[0]
-    out = D.walk(w, 20, np.array([3, 9, 30]), 4)
-    assert (out[0] == out[1]).all() and (out[0] != out[2]).any()
+def test_joint_walks_equal_single_ones():
+    rng = np.random.default_rng(0)
+    w = rng.integers(1, 4, (30, 20), dtype=np.uint64)
+    item = w[3].copy()
+    steps = np.array([D.sample_steps(20, r, 4) for r in range(12)])
+    wanted = D.walks(item, steps, np.arange(12))
+    want = [bool((D.walks(x, steps, np.arange(12)) == wanted).all(axis=1).any()) for x in w]
+    assert D.agreeing(w, steps, wanted, np.arange(12)).tolist() == want and want[3] and not all(want)
