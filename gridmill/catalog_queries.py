@@ -1,17 +1,558 @@
-"""Queries of the market-data operators, by name, and the SQL they are held against."""
+"""Queries of the market-data operators on the driver's tables, by name, and the DuckDB SQL they are held against.
+
+``events`` stands for interval prices (user_id a settlement point, event_type a series), ``orders`` and
+``lineitem`` for documents and their rows, ``pages`` for listings, ``nation`` and ``region`` for lookups.
+Means and other sums of doubles are rounded to six places, since the order of addition differs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill import registry
+from gridmill.functions import text as X
+from gridmill.functions import timeparse as T
+from gridmill.operators import aggregates as A
+from gridmill.operators import joins as J
+from gridmill.operators import quality as Q
+from gridmill.operators import reshape as R
+from gridmill.operators import sorts as O
+from gridmill.operators import windows as W
+from gridmill.plans import estimate as E
+from gridmill.sources import files as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+KINDS = ["click", "view", "purchase", "signup", "error"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# Series, means and the master table.
+
+_MASTER = """
+WITH h AS (SELECT date_trunc('hour', ts) AS ts_local, event_type, avg(value) AS v FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+SELECT ts_local, round(max(v) FILTER (event_type = 'click'), 6) AS click, round(max(v) FILTER (event_type = 'view'), 6) AS view,
+       round(max(v) FILTER (event_type = 'purchase'), 6) AS purchase, round(max(v) FILTER (event_type = 'signup'), 6) AS signup, round(max(v) FILTER (event_type = 'error'), 6) AS error,
+       round(max(v) FILTER (event_type = 'click') - max(v) FILTER (event_type = 'view') - max(v) FILTER (event_type = 'purchase'), 6) AS net
+FROM h GROUP BY 1"""
+
+
+def _series(spark: SparkSession, d: str) -> list[DataFrame]:
+    e = table(spark, d, "events")
+    return [A.resample(e.where(F.col("event_type") == k), "ts", {k: "value"}) for k in KINDS]
+
+
+@query(_MASTER)
+def hourly_master(spark, d):
+    """Five hourly means in one pass and one exchange; the same rows as joining the series one by one."""
+    e = table(spark, d, "events").withColumn("ts_local", A.bucket("ts"))
+    wide = J.pivot_series(e, "ts_local", "event_type", "value", KINDS)
+    return rounded(wide.withColumn("net", X.net_load("click", "view", "purchase")), *KINDS, "net")
+
+
+@query(_MASTER)
+def hourly_master_joins(spark, d):
+    joined = J.join_series(_series(spark, d))
+    return rounded(joined.withColumn("net", X.net_load("click", "view", "purchase")), *KINDS, "net")
+
+
+@query(f"SELECT * FROM ({_MASTER}) WHERE click IS NOT NULL AND view IS NOT NULL AND purchase IS NOT NULL AND signup IS NOT NULL AND error IS NOT NULL")
+def hourly_master_inner(spark, d):
+    joined = J.join_series(_series(spark, d), how="inner")
+    return rounded(joined.withColumn("net", X.net_load("click", "view", "purchase")), *KINDS, "net")
+
+
+@query("SELECT date_trunc('hour', ts) AS ts_local, user_id, round(avg(value), 6) AS price FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def resample_hourly_point(spark, d):
+    return rounded(A.resample(table(spark, d, "events"), "ts", {"price": "value"}, "user_id"), "price")
+
+
+@query("SELECT time_bucket(INTERVAL '15 minutes', ts) AS ts_local, event_type, round(avg(value), 6) AS price FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def resample_15m(spark, d):
+    return rounded(A.resample_minutes(table(spark, d, "events"), "ts", {"price": "value"}, "event_type"), "price")
+
+
+@query("""
+WITH h AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1),
+s AS (SELECT unnest(generate_series((SELECT min(t) FROM h), (SELECT max(t) FROM h), INTERVAL 1 HOUR)) AS t)
+SELECT s.t AS ts_local, round(v, 6) AS price FROM s LEFT JOIN h ON s.t = h.t""")
+def resample_gapfill(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'")
+    return rounded(A.resample(e, "ts", {"price": "value"}, fill_gaps=True), "price")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_quantity * 0.25, 4) AS revenue FROM lineitem")
+def interval_revenue(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.interval_revenue("l_extendedprice", "l_quantity"), 4).alias("revenue"))
+
+
+@query("""
+SELECT CAST(ts AS DATE) AS day, round(coalesce(avg(value) FILTER (event_type = 'click'), 0) + coalesce(avg(value) FILTER (event_type = 'signup'), 0), 6) AS total
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+def rowwise_sum(spark, d):
+    e = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    wide = J.pivot_series(e, "day", "event_type", "value", ["click", "signup"])
+    return wide.select("day", F.round(X.row_sum("click", "signup"), 6).alias("total"))
+
+
+@query("""
+SELECT CAST(ts AS DATE) AS day, round(avg(value) FILTER (event_type = 'click'), 6) AS click_price, round(avg(value) FILTER (event_type = 'view'), 6) AS view_price, round(avg(value) FILTER (event_type = 'purchase'), 6) AS purchase_price
+FROM events GROUP BY 1""")
+def pivot_type(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").cast("date").alias("day"), "event_type", "value")
+    kinds = KINDS[:3]
+    return rounded(R.mean_pivot(e, ["day"], "event_type", "value", kinds, "_price"), *[f"{k}_price" for k in kinds])
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem WHERE l_linenumber IN (1, 2))
+SELECT l_orderkey, any_value(price) FILTER (l_linenumber = 1) AS "1_p", any_value(price) FILTER (l_linenumber = 2) AS "2_p" FROM p GROUP BY 1""")
+def pivot_checked(spark, d):
+    lines = table(spark, d, "lineitem").where("l_linenumber in (1, 2)").select("l_orderkey", F.col("l_linenumber").cast("string").alias("n"), "l_extendedprice")
+    first = A.first_rows(lines, ["l_orderkey", "n"], "l_extendedprice")
+    return R.checked_pivot(first, ["l_orderkey"], "n", "l_extendedprice", ["1", "2"], "_p")
+
+
+ORACLES["pivot_checked"] = """
+SELECT l_orderkey, min(l_extendedprice) FILTER (l_linenumber = 1) AS "1_p", min(l_extendedprice) FILTER (l_linenumber = 2) AS "2_p"
+FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1"""
+
+
+@query("SELECT l_orderkey, l_linenumber, variable, value FROM lineitem UNPIVOT (value FOR variable IN (l_extendedprice, l_discount, l_tax))")
+def unpivot_prices(spark, d):
+    return R.melt(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_discount", "l_tax"])
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts NULLS LAST, event_id) = 1")
+def dedupe_first(spark, d):
+    return A.first_rows(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates, count(*) FILTER (c > 1) AS n_keys FROM (SELECT count(*) AS c FROM events GROUP BY user_id, event_type)")
+def dup_count(spark, d):
+    return Q.duplicates(table(spark, d, "events"), ["user_id", "event_type"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1")
+def freq_table(spark, d):
+    return A.frequencies(table(spark, d, "events"), "event_type")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2")
+def count_by_hue(spark, d):
+    return A.frequencies(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS n_days, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+def distinct_days(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.countDistinct(F.col("ts").cast("date")).alias("n_days"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("SELECT DISTINCT source FROM documents")
+def distinct_values(spark, d):
+    return table(spark, d, "documents").select("source").distinct()
+
+
+@query("SELECT c AS \"column\", round(r, 9) AS null_rate FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS c, unnest([avg((event_id IS NULL)::INT), avg((ts IS NULL)::INT), avg((user_id IS NULL)::INT), avg((event_type IS NULL)::INT), avg((value IS NULL OR isnan(value))::INT), avg((props IS NULL)::INT)]) AS r FROM events)")
+def null_rate(spark, d):
+    return rounded(Q.null_rates(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")), "null_rate", places=9)
+
+
+@query("SELECT hour(ts) AS hour, event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n, round(1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS half_width FROM events GROUP BY 1, 2")
+def mean_ci(spark, d):
+    e = table(spark, d, "events").withColumn("hour", F.hour("ts").cast("long"))
+    return rounded(A.mean_with_interval(e, "value", "hour", "event_type"), "mean", "std", "half_width")
+
+
+# Order and windows.
+
+
+@query("""
+WITH g AS (SELECT user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS s FROM events)
+SELECT user_id, count(*) AS samples, round(avg(s), 4) AS mean_s, round(stddev_pop(s), 4) AS std_s FROM g WHERE s > 0 AND s <= 86400 GROUP BY 1""")
+def lag_intervals(spark, d):
+    return rounded(W.intervals(table(spark, d, "events"), "ts", ["user_id"], ["ts", "event_id"]), "mean_s", "std_s", places=4)
+
+
+_ISLANDS = """
+WITH m AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM m)
+SELECT user_id, CAST(i AS BIGINT) AS island, event_type, count(*) AS n_rows FROM n GROUP BY 1, 2, 3"""
+
+
+@query(_ISLANDS)
+def run_islands(spark, d):
+    return W.islands(table(spark, d, "events"), "event_type", ["user_id"], ["ts", "event_id"])
+
+
+@query(f"SELECT * FROM ({_ISLANDS}) WHERE island % 12 = 0")
+def every_nth_island(spark, d):
+    return W.every_nth(W.islands(table(spark, d, "events"), "event_type", ["user_id"], ["ts", "event_id"]), 12)
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, event_id FROM events WHERE day(ts) IN (1, 10, 20) QUALIFY row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) = 1")
+def schedule_hits(spark, d):
+    return W.schedule_hits(table(spark, d, "events"), "ts", [1, 10, 20], ["event_type"], ["ts", "event_id"]).select("event_type", "day", "event_id")
+
+
+@query("""
+WITH w AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
+SELECT user_id, count(*) AS n_rows, CAST(sum((coalesce(ts < p, false) OR (ts IS NOT NULL AND p IS NULL AND r > 1))::INT) AS BIGINT) AS n_inversions, count(ts) AS n_keys,
+  CASE WHEN count(ts) = 0 THEN 'skipped' WHEN sum((coalesce(ts < p, false) OR (ts IS NOT NULL AND p IS NULL AND r > 1))::INT) = 0 THEN 'already' ELSE 'sorted' END AS status
+FROM w GROUP BY 1""")
+def sortedness_check(spark, d):
+    return W.sort_status(W.inversions(table(spark, d, "events"), "ts", ["user_id"], ["event_id"]))
+
+
+@query("SELECT o_custkey, o_orderkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS BIGINT) AS chunk FROM orders")
+def chunk_ids(spark, d):
+    return W.chunks(table(spark, d, "orders"), 4, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "chunk")
+
+
+@query("""
+WITH r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
+SELECT user_id, event_id, CAST(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS BIGINT) AS streak FROM r""")
+def failure_streaks(spark, d):
+    e = table(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
+    return W.streaks(e, "failed", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "streak")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, CAST(o_orderkey AS VARCHAR) DESC LIMIT 100")
+def order_docs_newest(spark, d):
+    return O.document_order(table(spark, d, "orders"), "newest-first", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate").limit(100)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate ASC NULLS LAST, CAST(o_orderkey AS VARCHAR) LIMIT 100")
+def order_docs_oldest(spark, d):
+    return O.document_order(table(spark, d, "orders"), "oldest-first", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate").limit(100)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50")
+def top_shipdates(spark, d):
+    return O.top(table(spark, d, "lineitem"), 50, "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, strftime(greatest(l_shipdate, o_orderdate), '%Y-%m-%d %H:%M:%S') AS target, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS issue
+FROM (SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""")
+def forecast_aware_key(spark, d):
+    """Target and issue times from text columns under their market names."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(o, "l_orderkey")
+    as_text = lambda c: F.date_format(c, "MM/dd/yyyy HH:mm:ss")
+    rows = lines.select("l_orderkey", "l_linenumber", as_text(F.greatest("l_shipdate", "o_orderdate")).alias("DeliveryInterval"), as_text("o_orderdate").alias("postDateTime"))
+    target, issue = O.sort_keys(["DeliveryInterval", "postDateTime"])
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.select("l_orderkey", "l_linenumber", shown(target).alias("target"), shown(issue).alias("issue"))
+
+
+# Joins of documents and rows.
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def anti_known_docs(spark, d):
+    known = table(spark, d, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "o_orderkey")
+    return J.not_known(table(spark, d, "orders").select("o_orderkey"), known, "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def semi_selected_docs(spark, d):
+    wanted = table(spark, d, "lineitem").where("l_quantity > 45").withColumnRenamed("l_orderkey", "o_orderkey")
+    return J.selected(table(spark, d, "orders").select("o_orderkey"), wanted, "o_orderkey")
+
+
+@query("""
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS posting,
+       CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 5 = 0 THEN 1 END AS source FROM orders""")
+def lookup_priority(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority", "o_orderstatus", F.lit(0).alias("row_idx"))
+    first = o.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("o_orderpriority")).otherwise(" ").alias("posting"), "row_idx")
+    second = o.where("doc_id % 5 = 0").select("doc_id", F.col("o_orderstatus").alias("posting"), "row_idx")
+    return J.lookup(o.select("doc_id"), [first, second])
+
+
+@query("""
+WITH s AS (SELECT l_partkey, CAST(l_shipdate AS VARCHAR) AS p, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS k, l_returnflag FROM lineitem WHERE l_linestatus = 'F'),
+t AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_suppkey) AS k FROM lineitem WHERE l_linestatus <> 'F')
+SELECT t.l_orderkey, t.l_linenumber, t.l_suppkey, s.p AS posting FROM t LEFT JOIN s ON t.l_partkey = s.l_partkey AND t.l_returnflag = s.l_returnflag AND t.k = s.k""")
+def fingerprint_fill(spark, d):
+    li = table(spark, d, "lineitem").withColumn("row_idx", F.struct("l_orderkey", "l_linenumber", "l_suppkey"))
+    sources = li.where("l_linestatus = 'F'").withColumn("posting", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    targets = li.where("l_linestatus <> 'F'").withColumn("posting", F.lit(""))
+    return J.fill_by_fingerprint(targets, sources, ["l_partkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_suppkey", "posting")
+
+
+@query("""
+WITH c AS (SELECT o.o_orderkey, date_trunc('month', o_orderdate) AS m, count(l_orderkey) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1, 2),
+e AS (SELECT *, sum(n) OVER (PARTITION BY m ORDER BY o_orderkey) AS hi FROM c)
+SELECT strftime(m, '%Y-%m') AS month, CAST(unnest(generate_series(CAST(hi - n AS BIGINT), CAST(hi - 1 AS BIGINT))) AS BIGINT) AS row_idx, o_orderkey AS doc_id FROM e""")
+def positional_fill(spark, d):
+    """Every row number of a month finds the document whose rows lie there."""
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    counted = o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey").groupBy("o_orderkey", "month").agg(F.count("*").alias("n"))
+    docs = W.offsets(counted.withColumnRenamed("o_orderkey", "doc_id"), "n", ["month"], ["doc_id"])
+    rows = docs.groupBy("month").agg(F.max("row_end").alias("n")).select("month", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("row_idx"))
+    return J.fill_by_position(rows, docs)
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def catalog_join(spark, d):
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return table(spark, d, "nation").join(r, "n_regionkey").select("n_name", "r_name")
+
+
+@query("""
+WITH a(old_id, new_id) AS (VALUES ('NP6-348-CD', 'NP3-565-CD'), ('NP6-787-ER', 'NP4-523-CD'), ('NP6-788-ER', 'NP6-788-CD'), ('NP6-86-CP', 'NP6-331-CD'), ('NP6-975-MCPE', 'NP4-188-CD')),
+n AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'NP6-348-CD' WHEN 1 THEN 'NP6-86-CP' ELSE 'NP6-346-CD' END AS id FROM nation)
+SELECT n_nationkey, coalesce(new_id, id) AS dataset_id FROM n LEFT JOIN a ON id = old_id""")
+def alias_map(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 3 == 0, "NP6-348-CD").when(F.col("n_nationkey") % 3 == 1, "NP6-86-CP").otherwise("NP6-346-CD").alias("dataset_id"))
+    return J.renamed_ids(n, registry.aliases(spark), "dataset_id")
+
+
+_PROFILES = ", ".join(f"('{p}', {i}, '{x}')" for p, ids in registry.PROFILES.items() for i, x in enumerate(ids))
+
+
+@query(f"SELECT dataset_id, CAST(min(position) AS INTEGER) AS position FROM (VALUES {_PROFILES}) AS p(profile, position, dataset_id) WHERE profile IN ('core', 'market') GROUP BY 1")
+def profile_resolve(spark, d):
+    return registry.profiles(spark).where(F.col("profile").isin("core", "market")).groupBy("dataset_id").agg(F.min("position").alias("position"))
+
+
+@query("""
+SELECT o_orderkey AS doc_id, n_rows FROM (SELECT o_orderkey, CAST(o_orderkey % 7 + 1 AS BIGINT) AS expected FROM orders)
+LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey, LATERAL (SELECT coalesce(c, 0) AS n_rows) WHERE expected <> n_rows""")
+def rowcount_mismatch(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7 + 1).alias("expected"))
+    return J.mismatched_counts(o, table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), "doc_id", "expected").select("doc_id", "n_rows")
+
+
+# Unions, sets.
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::VARCHAR AS brand FROM customer UNION ALL SELECT p_partkey, p_name, NULL, p_brand FROM part")
+def union_by_name(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return R.union_all([c, p])
+
+
+def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, d):
+    a, b = _keys(spark, d)
+    return a.subtract(b)
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def set_intersect(spark, d):
+    a, b = _keys(spark, d)
+    return a.intersect(b)
+
+
+@query("SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
+def set_union(spark, d):
+    a, b = _keys(spark, d)
+    return a.union(b).distinct()
+
+
+# Quality.
+
+
+def _stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a posting text that is sometimes blank or damaged."""
+    shown = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    posting = F.when(F.col("o_orderkey") % 11 == 0, "").when(F.col("o_orderkey") % 13 == 0, "file_7.csv").otherwise(shown)
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), posting.alias("posting"))
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rows, count(*) FILTER (o_orderkey % 11 <> 0) AS filled, count(*) FILTER (o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0) AS malformed
+FROM orders GROUP BY 1""")
+def coverage(spark, d):
+    return A.coverage(_stamped(spark, d), F.col("posting"), T.parse_iso("posting"), "month")
+
+
+@query("SELECT o_orderkey, 'file_7.csv' AS posting FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0")
+def malformed(spark, d):
+    return Q.unparsed_postings(_stamped(spark, d), "posting", "o_orderkey")
+
+
+@query("""
+WITH h AS (SELECT DISTINCT o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d FROM orders), e AS (SELECT p, min(d) AS a, max(d) AS b FROM h GROUP BY 1),
+s AS (SELECT p, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM e)
+SELECT p AS o_orderpriority, d AS day FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.p = s.p AND h.d = s.d)""")
+def missing_days(spark, d):
+    return Q.missing_days(table(spark, d, "orders"), "o_orderdate", "o_orderpriority")
+
+
+@query("""
+WITH h AS (SELECT DISTINCT o_custkey AS p, date_trunc('month', o_orderdate) AS d FROM orders WHERE o_custkey % 10 = 0), e AS (SELECT p, min(d) AS a, max(d) AS b FROM h GROUP BY 1),
+s AS (SELECT p, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS d FROM e)
+SELECT p AS o_custkey, d AS month FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.p = s.p AND CAST(h.d AS DATE) = s.d)""")
+def missing_months(spark, d):
+    return Q.missing_months(table(spark, d, "orders").where("o_custkey % 10 = 0"), "o_orderdate", "o_custkey")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS h FROM events), g AS (SELECT event_type, epoch(h) - epoch(lag(h) OVER (PARTITION BY event_type ORDER BY h)) AS s FROM t),
+c AS (SELECT event_type, s, count(*) AS n FROM g WHERE s IS NOT NULL GROUP BY 1, 2)
+SELECT event_type, CAST(s AS DOUBLE) AS gap_s, n FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, s) = 1""")
+def freq_check(spark, d):
+    return Q.common_gap(table(spark, d, "events").withColumn("h", A.bucket("ts")), "h", "event_type")
+
+
+@query("SELECT event_type, count(*) AS raw_rows, count(*) FILTER (value > 10) AS clean_rows FROM events GROUP BY 1")
+def row_count_sanity(spark, d):
+    e = table(spark, d, "events").select("event_type", "value")
+    return Q.row_counts(e, e.where("value > 10"), "event_type")
+
+
+# Text, JSON, logs, links, times.
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT event_id, event_type AS dataset, strftime(ts, '%Y-%m-%d') AS date, CAST(user_id AS VARCHAR) AS files FROM events")
+def log_parse(spark, d):
+    """Event lines written and read back."""
+    fields = F.create_map(F.lit("dataset"), F.col("event_type"), F.lit("date"), F.date_format("ts", "yyyy-MM-dd"), F.lit("files"), F.col("user_id").cast("string"))
+    lines = table(spark, d, "events").select("event_id", X.event_line(F.lit("DAY_COMPLETE"), fields).alias("line")).withColumn("f", X.event_fields("line"))
+    return lines.select("event_id", F.col("f")["dataset"].alias("dataset"), F.col("f")["date"].alias("date"), F.col("f")["files"].alias("files"))
+
+
+_LINKS = """
+WITH m AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS l FROM pages)
+SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS position, unnest(l) AS href FROM m"""
+
+
+@query(_LINKS)
+def link_extract(spark, d):
+    return S.links(table(spark, d, "pages").select("page_id", "html"), "html")
+
+
+@query(f"SELECT DISTINCT href FROM ({_LINKS}) WHERE contains(lower(href), 'th') OR contains(lower(href), 'on')")
+def link_filter(spark, d):
+    return S.filter_links(S.links(table(spark, d, "pages").select("page_id", "html"), "html"), ["th", "on"], 2000, 2030).select("href").distinct()
+
+
+@query("""
+SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 24) HOUR AS begins,
+       CASE WHEN o_orderkey % 24 = 23 THEN CAST(o_orderdate AS DATE) + INTERVAL 23 HOUR + INTERVAL 59 MINUTE ELSE CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 24 + 1) HOUR END AS sorts,
+       CAST(o_orderdate AS DATE) + INTERVAL ((o_orderkey % 24 + 1) % 24) HOUR AS wraps
+FROM orders""")
+def he_timestamps(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day"), F.format_string("%02d:00", F.col("o_orderkey") % 24 + 1).alias("he"))
+    day, he = T.parse_date("day"), T.parse_hour_ending("he")
+    return o.select("o_orderkey", T.he_begin(day.cast("date"), he).alias("begins"), T.he_sort(day, he).alias("sorts"), T.he_wrap(day.cast("date"), he).alias("wraps"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_shipdate AS DATE) + INTERVAL (l_orderkey % 24) HOUR + INTERVAL ((l_suppkey % 4) * 15) MINUTE AS ts FROM lineitem")
+def interval_timestamps(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", T.interval_begin(F.col("l_shipdate").cast("date"), F.col("l_orderkey") % 24 + 1, F.col("l_suppkey") % 4 + 1).alias("ts"))
+
+
+@query("""
+SELECT page_id, CASE WHEN n < 1024 THEN format('{:.2f} B', n) WHEN n < 1048576 THEN format('{:.2f} KB', n / 1024.0) ELSE format('{:.2f} MB', n / 1048576.0) END AS size,
+       CASE WHEN n < 1024 THEN format('{:d}B', CAST(n AS BIGINT)) WHEN n < 1048576 THEN format('{:.1f}K', n / 1024.0) ELSE format('{:.1f}M', n / 1048576.0) END AS short
+FROM (SELECT page_id, CAST(page_id * page_id * 64 + page_id AS DOUBLE) AS n FROM pages)""")
+def human_bytes(spark, d):
+    p = table(spark, d, "pages").select("page_id", (F.col("page_id") * F.col("page_id") * 64 + F.col("page_id")).alias("n"))
+    return p.select("page_id", X.human_bytes("n").alias("size"), X.short_bytes("n").alias("short"))
+
+
+@query("SELECT p_partkey, regexp_replace(trim(p_name), '[^A-Za-z0-9._-]+', '_', 'g') || '__' || p_partkey || '.csv' AS file FROM part")
+def safe_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.with_doc_id(F.concat(X.safe_name("p_name"), F.lit(".csv")), F.col("p_partkey")).alias("file"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_name ILIKE '%01%'")
+def case_insensitive_filter(spark, d):
+    c = table(spark, d, "customer")
+    return c.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY") | F.lower("c_name").contains("01")).select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-01-01') + 1, 0) AS days, (1997 - year(o_orderdate)) * 12 + 1 - month(o_orderdate) + 1 AS months, day(last_day(o_orderdate)) AS month_days FROM orders")
+def calendar_arithmetic(spark, d):
+    as_of, day = F.lit("1997-01-01").cast("date"), F.col("o_orderdate").cast("date")
+    return table(spark, d, "orders").select("o_orderkey", T.inclusive_days(day, as_of).cast("long").alias("days"), T.inclusive_months(day, as_of).cast("long").alias("months"), T.days_in_month(day).cast("long").alias("month_days"))
+
+
+# Estimates.
+
+
+@query("""
+WITH e AS (SELECT event_type AS dataset_id, user_id % 2 AS run, ts, event_id FROM events WHERE event_type <> 'error'),
+g AS (SELECT dataset_id, run, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY dataset_id, run ORDER BY ts, event_id)) AS s FROM e),
+l AS (SELECT dataset_id, count(*) AS n, avg(s) AS m, stddev_pop(s) AS sd FROM g WHERE s > 0 AND s <= 86400 GROUP BY 1 HAVING count(*) >= 3),
+k AS (SELECT event_type AS dataset_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1),
+j AS (SELECT k.dataset_id, days, m, sd FROM k LEFT JOIN l USING (dataset_id))
+SELECT dataset_id, days, CASE WHEN m IS NOT NULL THEN 'log' ELSE 'mean' END AS basis, round(coalesce(m, avg(m) OVER ()), 4) AS seconds_per_day, round(coalesce(sd, 0), 4) AS std_s,
+       round(days * coalesce(m, avg(m) OVER ()) / 3600, 4) AS hours FROM j""")
+def time_estimate(spark, d):
+    e = table(spark, d, "events")
+    logged = e.where("event_type <> 'error'").select(F.col("event_type").alias("dataset_id"), (F.col("user_id") % 2).alias("run"), F.col("ts").alias("completed_at"), F.col("event_id").alias("row_idx"))
+    days = e.groupBy(F.col("event_type").alias("dataset_id")).agg(F.countDistinct(F.col("ts").cast("date")).alias("days"))
+    files = e.where("1 = 0").select(F.col("event_type").alias("dataset_id"), F.col("ts").alias("modified_at"), F.col("ts").cast("date").alias("day"))
+    return rounded(E.time_estimate(logged, files, days), "seconds_per_day", "std_s", "hours", places=4)
+
+
+def _month_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    files = o.groupBy("dataset_id", F.trunc("day", "MM").alias("month")).agg(F.sum("o_totalprice").alias("bytes"))
+    return files, o.groupBy("dataset_id").agg(F.min("day").alias("first_day"))
+
+
+_FILES = """
+WITH f AS (SELECT o_orderpriority AS dataset_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS bytes FROM orders GROUP BY 1, 2),
+e AS (SELECT o_orderpriority AS dataset_id, CAST(min(o_orderdate) AS DATE) AS first_day FROM orders GROUP BY 1)"""
+
+
+@query(_FILES + """
+SELECT dataset_id, first_day, round(avg(bytes), 2) AS month_bytes, date_diff('day', first_day, DATE '2000-06-30') + 1 AS days,
+       round(avg(bytes / day(last_day(month))) * (date_diff('day', first_day, DATE '2000-06-30') + 1), 2) AS estimated_bytes
+FROM e JOIN f USING (dataset_id) GROUP BY 1, 2""")
+def size_estimate(spark, d):
+    files, earliest = _month_files(spark, d)
+    found = E.size_estimate(files, earliest, "2000-06-30").select("dataset_id", "first_day", "month_bytes", F.col("days").cast("long").alias("days"), "estimated_bytes")
+    return rounded(found, "month_bytes", "estimated_bytes", places=2)
+
+
+@query(_FILES + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY month DESC) AS k FROM f)
+SELECT dataset_id, round(avg(bytes) FILTER (k <= 5), 2) AS recent_bytes, round(avg(bytes) FILTER (k <= 5) * ((2000 - year(first_day)) * 12 + 6 - month(first_day) + 1), 2) AS estimated_bytes
+FROM e JOIN r USING (dataset_id) GROUP BY dataset_id, first_day""")
+def recent5_estimate(spark, d):
+    files, earliest = _month_files(spark, d)
+    return rounded(E.recent_estimate(files, earliest, "2000-06-30").select("dataset_id", "recent_bytes", "estimated_bytes"), "recent_bytes", "estimated_bytes", places=2)
 
-def hourly_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean event value by hour; null times take no part."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("ts").isNotNull())
-    return events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts_local")).agg(F.round(F.avg("value"), 6).alias("value_mean"), F.count("*").alias("n_rows"))
 
+FLAGSHIP = hourly_master
 
-FLAGSHIP = hourly_mean
-QUERIES = {"hourly_mean": hourly_mean}
-ORACLES = {"hourly_mean": "SELECT date_trunc('hour', ts) AS ts_local, round(avg(value), 6) AS value_mean, count(*) AS n_rows FROM events WHERE ts IS NOT NULL GROUP BY 1"}
