@@ -111,7 +111,8 @@ def fingerprint(columns: list[str]) -> Column:
 
 def event_line(event: Column | str, fields: Column | str) -> Column:
     """EVENT k=v k=v with values quoted as JSON unless they are plain; fields: map<string,string>."""
-    value = lambda v: F.when(v.isNull(), "null").when(v.rlike(r"^[A-Za-z0-9._:/+-]+$"), v).otherwise(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"')))
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    value = lambda v: F.when(v.isNull(), "null").when(v.rlike(r"^[A-Za-z0-9._:/+-]+$"), v).otherwise(quoted(v))
     return F.concat_ws(" ", _c(event), F.array_join(F.transform(F.map_entries(_c(fields)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), " "))
 
 

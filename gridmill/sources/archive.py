@@ -61,7 +61,7 @@ class ArchivePages(DataSource):
         return "page int, position int, doc_id string, posting string, name string, doc string"
 
     def reader(self, schema) -> Reader:
-        return Reader(dict(self.options))
+        return Reader(self.options)
 
 
 def register(spark: SparkSession) -> None:

@@ -42,10 +42,10 @@ def numbered_rows(spark: SparkSession, paths: str | list[str], glob: str | None
     Row order is data here, so each file is one record and its lines are numbered as it is read. Lines of CSV
     records with line breaks inside quotes aren't supported; market files have none.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("lines"))
+    whole = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("lines"))
     lines = whole.select("file", F.element_at("lines", 1).alias("header"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_idx", "line"))
     return lines.where(F.trim("line") != "")
 
@@ -158,7 +158,7 @@ def document_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def listing_cache(spark: SparkSession, path: str) -> DataFrame:
     """page, doc (JSON text), doc_id, posting, row_idx of a JSONL cache of {page, doc} lines or bare documents; bad lines are left out."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "line"))
     inner = F.get_json_object("line", "$.doc")
     held = lines.where(F.get_json_object("line", "$").isNotNull()).withColumn("doc", F.coalesce(inner, F.col("line"))).withColumn("page", F.get_json_object("line", "$.page").try_cast("int"))
     return held.select("file", "row_idx", "page", "doc", json_doc_id("doc").alias("doc_id"), blank_to_null(F.get_json_object("doc", "$.postDatetime")).alias("posting")).where(F.col("doc_id").isNotNull())
@@ -181,13 +181,13 @@ def markers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "line"))
 
 
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """One row a state file, those that aren't JSON with nulls: file, status, last page, index, times and the failure."""
-    df = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("dataset_id"), "value")
+    df = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("dataset_id"), "value")
     get = lambda k: F.get_json_object("value", f"$.{k}")
     return df.select("dataset_id", get("status").alias("status"), get("last_page").try_cast("int").alias("last_page"), get("next_doc_index").try_cast("int").alias("next_doc_index"), get("total_docs").try_cast("int").alias("total_docs"), parse_iso(get("updated_at")).alias("updated_at"), get("failure").alias("failure"))
 
