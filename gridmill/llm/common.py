@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None and spark.sparkContext._jsc is not None:
@@ -32,10 +35,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it: cuts lineage, and survives the loss of executors."""
+    """Writes df as Parquet in the shared folder and rereads it: cuts lineage, and survives the loss of executors.
+
+    The shuffle files that led there have done their work once all is written; Spark is told to drop them then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

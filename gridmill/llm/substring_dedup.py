@@ -93,20 +93,21 @@ def summaries(docs: DataFrame, width: int, anchor: int) -> DataFrame:
 
 
 def contexts_of(docs: DataFrame, width: int, anchor: int) -> DataFrame:
-    """doc_id, h1, anchor, first window's word number, context (its words), for the anchors listed in a row whose digest is h1."""
+    """doc_id, h1 (of the text), anchor, first window's word number, context (its words), for the anchors listed in the row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids, digests, listed = batch.column("doc_id").to_pylist(), batch.column("h1").to_pylist(), batch.column("anchors")
+            ids, listed = batch.column("doc_id").to_pylist(), batch.column("anchors")
             for i, j in blocks(offsets):
                 part = data[offsets[i] : offsets[j]]
                 h, start, end, rows = word_hashes(part, offsets[i : j + 1] - offsets[i])
                 doc, digest, key, first, text = [], [], [], [], []
                 for d in range(j - i):
                     lo, hi = rows[d], rows[d + 1]
-                    if hi - lo < width or digest_of(h[lo:hi])[0] != digests[i + d]:
-                        continue  # the list of another text of this doc_id
+                    if hi - lo < width:
+                        continue
+                    h1 = digest_of(h[lo:hi])[0]
                     at, g = anchored(h[lo:hi], width, anchor)
                     wanted = np.sort(np.asarray(listed[i + d].values)).view(U)
                     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
@@ -114,7 +115,7 @@ def contexts_of(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                     for r in np.flatnonzero(np.isin(mine, wanted)).tolist():
                         a, b = int(edge[r]), int(edge[r + 1]) - 1 + width
                         doc.append(ids[i + d])
-                        digest.append(digests[i + d])
+                        digest.append(h1)
                         key.append(int(mine[r : r + 1].view(np.int64)[0]))
                         first.append(a)
                         text.append(spaced(part[start[lo + a] : end[lo + b - 1]]))
@@ -214,9 +215,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_conte
     known = rows.where(F.col("doc_id").isNotNull())
     classes = materialise(known.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep")), "classes")
     stand = known.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    anchors = stand.select("doc_id", "h1", F.explode("anchors").alias("anchor"))
+    anchors = stand.select("doc_id", F.explode("anchors").alias("anchor"))
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    listed = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id", "h1").agg(F.collect_list("anchor").alias("anchors"))
+    listed = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     cut = materialise(contexts_of(docs.join(listed, "doc_id"), width, anchor).withColumn("digest", F.xxhash64("context", F.lit(width))), "contexts")
     distinct = materialise(cut.groupBy("anchor", "digest", "context").agg(F.min("doc_id").alias("least"), (F.min("doc_id") < F.max("doc_id")).alias("shared")), "distinct")
     places = materialise(located(distinct, width, shard_contexts), "places")
