@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmill import registry
@@ -23,6 +23,7 @@ from gridmill.operators import sorts as O
 from gridmill.operators import windows as W
 from gridmill.plans import estimate as E
 from gridmill.sources import files as S
+from gridmill.streaming import consolidate as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,14 +239,14 @@ def failure_streaks(spark, d):
     return W.streaks(e, "failed", ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "streak")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, CAST(o_orderkey AS VARCHAR) DESC LIMIT 100")
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, CAST(o_orderkey AS VARCHAR) DESC")
 def order_docs_newest(spark, d):
-    return O.document_order(table(spark, d, "orders"), "newest-first", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate").limit(100)
+    return O.document_order(table(spark, d, "orders"), "newest-first", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate ASC NULLS LAST, CAST(o_orderkey AS VARCHAR) LIMIT 100")
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate ASC NULLS LAST, CAST(o_orderkey AS VARCHAR)")
 def order_docs_oldest(spark, d):
-    return O.document_order(table(spark, d, "orders"), "oldest-first", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate").limit(100)
+    return O.document_order(table(spark, d, "orders"), "oldest-first", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50")
@@ -554,5 +555,83 @@ def recent5_estimate(spark, d):
     return rounded(E.recent_estimate(files, earliest, "2000-06-30").select("dataset_id", "recent_bytes", "estimated_bytes"), "recent_bytes", "estimated_bytes", places=2)
 
 
+
+# More of the scalar, order and quality operators.
+
+
+@query("SELECT time_bucket(INTERVAL '60 minutes', ts) AS ts, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed_mean(spark, d):
+    """The streaming aggregation on a bounded table: the same plan without its watermark."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rounded(ST.windowed_mean(e, "ts", "value", "event_type").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "mean")
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 6) AS o_totalprice, round(avg(o_custkey), 6) AS o_custkey FROM orders GROUP BY 1")
+def mean_of_all(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", "o_custkey", "o_orderstatus")
+    return rounded(A.mean_of_all(o, "day"), "o_totalprice", "o_custkey")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END) NULLS LAST, o_orderkey) AS BIGINT) AS place FROM orders")
+def posting_sort_rank(spark, d):
+    """Each row's place in its customer's posting order."""
+    shown = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", shown.alias("p"), F.lit("").alias("day"), F.lit("").alias("he"))
+    w = Window.partitionBy("o_custkey").orderBy(*O.posting_order("p", "day", "he", row_idx="o_orderkey"))
+    return o.select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment END AS name FROM customer")
+def fill_blank(spark, d):
+    c = table(spark, d, "customer").withColumn("name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(" "))
+    return c.select("c_custkey", R.fill_blank("name", F.col("c_mktsegment")).alias("name"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN -1 ELSE p_retailprice END AS x, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM part")
+def parse_numbers(spark, d):
+    m = F.col("p_partkey") % 4
+    text = F.when(m == 0, "NaN").when(m == 1, F.col("p_size").cast("string")).when(m == 2, " -1 ").otherwise(F.col("p_retailprice").cast("string"))
+    word = F.when(m == 0, " Yes").when(m == 1, "off").otherwise("maybe")
+    return table(spark, d, "part").select("p_partkey", X.number(text).alias("x"), X.boolean(word).alias("flag"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/?$', 1), '') AS name FROM pages WHERE url IS NOT NULL")
+def url_names(spark, d):
+    p = table(spark, d, "pages").where("url is not null")
+    return p.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"), X.file_name_of_url("url").alias("name"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0")
+def shifted_rows(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "15:00").otherwise("12/01/2025").alias("day"), F.lit("").alias("p"))
+    return Q.shifted_rows(o, "day", "p").select("o_orderkey")
+
+
+@query("SELECT 'nothing' AS \"column\"")
+def all_null_columns(spark, d):
+    e = table(spark, d, "events").select("value", F.lit(None).cast("double").alias("nothing"))
+    return Q.all_null(e, "value", "nothing")
+
+
+@query(_FILES + """,
+t AS (SELECT dataset_id, round(sum(bytes), 2) AS bytes FROM f GROUP BY 1)
+SELECT dataset_id, bytes FROM t UNION ALL SELECT 'TOTAL', round((SELECT sum(bytes) FROM f), 2)""")
+def totals(spark, d):
+    files, _ = _month_files(spark, d)
+    by = files.groupBy("dataset_id").agg(F.sum("bytes").alias("bytes"))
+    return rounded(E.with_total(by, "dataset_id", "bytes"), "bytes", places=2)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) <= 5")
+def last_five(spark, d):
+    return W.last_rows(table(spark, d, "orders"), 5, ["o_custkey"], ["-o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00' AS first_second FROM orders")
+def days_of_text(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "M/d/yyyy HH:mm").alias("t"))
+    return o.select("o_orderkey", T.parse_day("t").alias("day"), T.day_bounds(T.parse_day("t"))[0].alias("first_second"))
+
+
 FLAGSHIP = hourly_master
 

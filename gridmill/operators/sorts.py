@@ -56,10 +56,14 @@ def monthly_sort(df: DataFrame, order: str | None, strategy: str = "auto", row_i
     return df.orderBy(*by)
 
 
-def posting_sort(df: DataFrame, posting: str, day: str, hour: str, order: str = "ascending", row_idx: str = "row_idx") -> DataFrame:
-    """By posting time, date and hour ending, each with missing ones last, then by row_idx."""
+def posting_order(posting: str, day: str, hour: str, order: str = "ascending", row_idx: str = "row_idx") -> list[Column]:
+    """Posting time, date and hour ending, each with missing ones last, then row_idx: for a sort or for a window."""
     keys = [T.parse_datetime(posting), T.parse_date(day).cast("date"), T.parse_hour_ending(hour)]
-    return df.orderBy(*_directed(keys, order), F.col(row_idx).asc())
+    return [*_directed(keys, order), F.col(row_idx).asc()]
+
+
+def posting_sort(df: DataFrame, posting: str, day: str, hour: str, order: str = "ascending", row_idx: str = "row_idx") -> DataFrame:
+    return df.orderBy(*posting_order(posting, day, hour, order, row_idx))
 
 
 def document_order(df: DataFrame, order: str, time: str, doc_id: str = "doc_id") -> DataFrame:
