@@ -40,6 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The shuffle files that led there have done their work once all is written; Spark is told to drop them then.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -66,8 +67,19 @@ def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     return path.toUri().toString()
 
 
+#: Rows that Spark hands to Python at once; the default of 10000 long texts would fill a worker's memory.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS where they are at Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def docs_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named, whatever else df carries."""
+    bound_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

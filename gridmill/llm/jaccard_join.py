@@ -129,27 +129,49 @@ def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return np.where(need <= np.minimum(a, b), s - 2 * need, -1)
 
 
+def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text."""
+    data, offsets = utf8(column)
+    for i, j in blocks(offsets):
+        hashes, _, _, rows = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
+        for d in range(j - i):
+            yield shingles(hashes[rows[d] : rows[d + 1]], shingle)
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    return int(signed(np.add.reduce(mix(s), keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(s + U(1)), keepdims=True))[0])
+
+
+def digests(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n and the set's digest h1 h2 of every row; written to the shared folder."""
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), *_digest(s)) for s in _sets(batch.column("text"), shingle)]
+            cols = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n", "h1", "h2"])
+
+    return materialise(docs.mapInArrow(sum_up, "doc_id long, n long, h1 long, h2 long"), "digests")
+
+
 def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, the set's digest h1 h2, its bucket keys and its bitmap, for every row; written to the shared folder."""
+    """doc_id, n, bucket keys and bitmap of the rows (doc_id, text, h1, h2) whose set has that digest; written to the shared folder."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            size, h1, h2, keys, maps = [], [], [], [], []
-            for i, j in blocks(offsets):
-                hashes, _, _, rows = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-                for d in range(j - i):
-                    s = shingles(hashes[rows[d] : rows[d + 1]], shingle)
+            one, two = batch.column("h1").to_pylist(), batch.column("h2").to_pylist()
+            mine, size, keys, maps = [], [], [], []
+            for i, s in enumerate(_sets(batch.column("text"), shingle)):
+                if _digest(s) == (one[i], two[i]):
+                    mine.append(i)
                     size.append(len(s))
-                    h1.append(int(signed(np.add.reduce(mix(s), keepdims=True))[0]))
-                    h2.append(int(signed(np.bitwise_xor.reduce(mix(s + U(1)), keepdims=True))[0]))
                     keys.append(signed(bucket_keys(s, percent)))
                     maps.append(bitmap(s))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
             lists = pa.LargeListArray.from_arrays(ends, np.concatenate(keys) if keys else np.zeros(0, np.int64)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists, pa.array(maps, pa.binary())], ["doc_id", "n", "h1", "h2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(mine, pa.int64())), pa.array(size, pa.int64()), lists, pa.array(maps, pa.binary())], ["doc_id", "n", "keys", "bits"])
 
-    return materialise(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, keys array<long>, bits binary"), "signatures")
+    return materialise(docs.mapInArrow(sign, "doc_id long, n long, keys array<long>, bits binary"), "signatures")
 
 
 def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
@@ -157,11 +179,8 @@ def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in blocks(offsets):
-                hashes, _, _, rows = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=True)
-                sets = [shingles(hashes[rows[d] : rows[d + 1]], shingle).tobytes() for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [s.tobytes() for s in _sets(batch.column("text"), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return docs.mapInArrow(cut, "doc_id long, shingles binary")
 
@@ -254,15 +273,15 @@ def tile_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
 def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = docs_of(docs)
-    rows = signatures(docs, shingle, percent)
+    rows = digests(docs, shingle)
     named = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # Rows that repeat a doc_id with another text tie their classes together.
     own = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     ties = own.where("rep <> doc_id").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    stand = named.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
+    stand = signatures(docs.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id"), shingle, percent)
     buckets = stand.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "shared")
     members = materialise(buckets.join(shared, "key", "left_semi"), "members")
     centers = members.groupBy("key").agg(F.min("node").alias("center"))
     stars = materialise(members.join(centers, "key").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
