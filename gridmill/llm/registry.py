@@ -19,6 +19,7 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
 }
 ORACLES = {
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op1_secret_scan": secret_scan.ORACLE,
     "op2_url_filter": url_filter.ORACLE,

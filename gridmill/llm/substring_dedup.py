@@ -241,3 +241,21 @@ def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_conte
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT rid, doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 13)
+), least AS (
+  SELECT k, min(doc_id) AS m FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM windows JOIN least USING (k) WHERE m < doc_id)
+), each_word AS (
+  SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each_word ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

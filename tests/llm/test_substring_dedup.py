@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from gridmill.llm import substring_dedup as S
@@ -63,3 +64,4 @@ def test_whole_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(map(tuple, S.query(spark, SF).collect()))
     assert got == sorted(r[:4] for r in brute(rows, 13))
+    assert got == sorted(duckdb.sql(S.ORACLE.replace("FROM documents", f"FROM '{SF}/documents.parquet'")).fetchall())
