@@ -19,3 +19,17 @@ def test_query_equals_its_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_exchange_once_and_read_what_they_need(spark):
+    p = plan(C.hourly_master(spark, SF))
+    assert p.count("Exchange hashpartitioning") == 1 and "SinglePartition" not in p
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in p and "In(event_type" in p
+    p = plan(C.dedupe_first(spark, SF))
+    assert p.count("WindowGroupLimit") == 2
+    for name in ("resample_hourly_point", "run_islands", "failure_streaks", "coverage", "missing_days", "fingerprint_fill"):
+        assert "SinglePartition" not in plan(C.QUERIES[name](spark, SF)), name
