@@ -81,20 +81,3 @@ def docs_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named, whatever else df carries."""
     bound_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-
-
-def union_find(n: int, left, right):
-    """Components of a small local graph: the smallest index reachable from each of n nodes."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in zip(left, right, strict=True):
-        a, b = find(int(a)), find(int(b))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]

@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridmill.llm import jaccard_join as J
-from gridmill.llm.common import union_find
 from gridmill.llm.components import components
+from tests.llm.helpers import union_find
 
 SF = "/root/testdata/sf0.01"
 

@@ -2,8 +2,7 @@ import re
 
 import corpus_pipeline as P
 from gridmill.llm import language_id
-from gridmill.llm.common import union_find
-from tests.llm.helpers import edit_distance
+from tests.llm.helpers import edit_distance, union_find
 
 SF = "/root/testdata/sf0.001"
 
