@@ -11,7 +11,10 @@ smallest doc_id stands for; only classes are compared.
    hold. Neither side is sampled or capped.
 2. Links to the bucket's smallest document. They connect nearly all; components follow from them.
 3. Buckets that still hold several components are cut into blocks of bounded size, and blocks meet in
-   pairs: every pair of different components is bounded.
+   pairs: every pair of different components is bounded. A round verifies each document's likeliest
+   pairs with another component first; what that joins needs no more pairs. Rounds take ever more of
+   them and end when none was left out, so a pair is passed over only between documents that are
+   connected already.
 4. Bounds. A set's bitmap has the parity of its shingles by hash; the count of bits in which two
    differ is at most the count of shingles in which they do, which bounds the overlap from above.
    Pairs that pass are intersected as sorted arrays of 64-bit shingle hashes, exactly.
@@ -38,6 +41,8 @@ from gridmill.llm.words import U, blocks, grams, mix, signed, utf8, word_hashes
 SHINGLE, PERCENT = 3, 90
 #: A band's sizes grow by half; members of a bucket that meet as one block.
 BAND, BLOCK_ROWS = 1.5, 2048
+#: A round gives each document this many times the pairs per component of the round before.
+ROUND = 32
 
 
 @functools.lru_cache(maxsize=None)
@@ -216,8 +221,23 @@ def verified(pairs: DataFrame, signed_docs: DataFrame, docs: DataFrame, shingle:
     return materialise(passed.join(wide("a"), "a").join(wide("b"), "b").mapInArrow(intersected, "a long, b long").distinct(), "links")
 
 
-def tile_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """(a, b) of different labels in one bucket whose bitmaps allow a link; members: key, node, label, n, bits, held (rows of the bucket)."""
+def likeliest(p: np.ndarray, q: np.ndarray, label: np.ndarray, gap: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs (p, q) are among the ``most`` with the smallest gap, of p with q's label or of q with p's."""
+    keep = np.zeros(len(p), bool)
+    for x, y in ((p, q), (q, p)):
+        order = np.lexsort((gap, label[y], x))
+        a, b = x[order], label[y][order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        keep[order[rank < most]] = True
+    return keep
+
+
+def tile_pairs(members: DataFrame, percent: int, block_rows: int, most: int) -> DataFrame:
+    """(a, b, cut) of different labels in one bucket whose bitmaps allow a link; members: key, node, label, n, bits, held (rows of the bucket).
+
+    Of a document's pairs with one label only the ``most`` likeliest are given; cut says that the tile had more.
+    """
     count = F.ceil(F.col("held") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
@@ -229,10 +249,10 @@ def tile_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
         .sortWithinPartitions("key", "i", "j")
     )
 
-    def meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
         node, label, n, own = (np.asarray(rows[c]) for c in ("node", "label", "n", "own"))
         maps = folded(rows["bits"].to_pylist())
-        left, right = [], []
+        left, right, gaps = [], [], []
         across = rows["i"][0].as_py() != rows["j"][0].as_py()
         for a in range(0, len(node), 64):
             x = slice(a, a + 64)
@@ -242,10 +262,16 @@ def tile_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
                 ok &= own[x, None] != own[None, :]
             p, q = np.nonzero(ok)
             if len(p):
-                fine = np.bitwise_count(maps[p + a] ^ maps[q]).sum(axis=1) <= allowed[p, q]
-                left.append(node[p[fine] + a])
-                right.append(node[q[fine]])
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                apart = np.bitwise_count(maps[p + a] ^ maps[q]).sum(axis=1)
+                fine = apart <= allowed[p, q]
+                left.append(p[fine] + a)
+                right.append(q[fine])
+                gaps.append(apart[fine] / np.maximum(allowed[p, q][fine], 1))
+        if not left:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        p, q = np.concatenate(left), np.concatenate(right)
+        keep = likeliest(p, q, label, np.concatenate(gaps), most)
+        return node[p[keep]], node[q[keep]], not keep.all()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tiles() -> Iterator[pa.Table]:
@@ -263,11 +289,21 @@ def tile_pairs(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
                 yield rest
 
         for tile in tiles():
-            a, b = meet(tile)
+            a, b, cut = meet(tile)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([cut] * len(a))], ["a", "b", "cut"])
+
+    return dealt.mapInArrow(compare, "a long, b long, cut boolean")
+
 
-    return dealt.mapInArrow(compare, "a long, b long")
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links; written to the shared folder."""
+    at = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
+    new = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    joined = components(new.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    nodes = found.select("node", "component").unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    roots = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return materialise(nodes.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
 
 
 def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -287,18 +323,19 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_
     stars = materialise(members.join(centers, "key").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = verified(stars, stand, docs, shingle, percent).unionByName(ties)
     found = components(links)
-    labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo < hi and held > 2").select("key", "held")
     info = stand.select(F.col("doc_id").alias("node"), "n", "bits")
-    candidates = tile_pairs(labelled.join(open_keys, "key").join(info, "node"), percent, block_rows)
-    more = materialise(candidates.distinct().join(stars, ["a", "b"], "left_anti"), "candidates")
-    if more.head(1):
-        at = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
-        new = verified(more, stand, docs, shingle, percent).join(at("a"), "a", "left").join(at("b"), "b", "left")
-        joined = components(new.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-        nodes = found.select("node", "component").unionByName(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-        roots = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        found = materialise(nodes.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+    done, most, cut = stars, 1, True
+    while cut:
+        labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo < hi and held > 2").select("key", "held")
+        tiles = tile_pairs(labelled.join(open_keys, "key").join(info, "node"), percent, block_rows, most)
+        pairs = materialise(tiles.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
+        cut = bool(pairs.where("cut").head(1))
+        new = materialise(pairs.join(done, ["a", "b"], "left_anti").select("a", "b"), "candidates")
+        if new.head(1):
+            found = merged(found, verified(new, stand, docs, shingle, percent))
+            done = done.unionByName(new)
+        most *= ROUND
     final = found.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     return own.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
 

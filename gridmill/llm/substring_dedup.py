@@ -216,8 +216,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_conte
     classes = materialise(known.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep")), "classes")
     stand = known.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     anchors = stand.select("doc_id", F.explode("anchors").alias("anchor"))
-    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    recurring = materialise(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
     listed = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    listed = materialise(listed, "listed")
     cut = materialise(contexts_of(docs.join(listed, "doc_id"), width, anchor).withColumn("digest", F.xxhash64("context", F.lit(width))), "contexts")
     distinct = materialise(cut.groupBy("anchor", "digest", "context").agg(F.min("doc_id").alias("least"), (F.min("doc_id") < F.max("doc_id")).alias("shared")), "distinct")
     places = materialise(located(distinct, width, shard_contexts), "places")

@@ -95,3 +95,14 @@ def test_components_of_chains_and_stars(spark):
     root = union_find(400, *zip(*edges, strict=True))
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(i, i) == root[i] for i in range(400))
+
+
+def test_likeliest_pairs_are_kept_by_document_and_label():
+    label = np.array([0, 1, 1, 1, 2])
+    p, q, gap = np.array([0, 0, 0, 0]), np.array([1, 2, 3, 4]), np.array([0.5, 0.1, 0.9, 0.2])
+    keep = J.likeliest(p, q, label, gap, 1)
+    assert keep.tolist() == [True, True, True, True]  # each of the others has but this pair with label 0
+    p, q = np.array([0, 0, 3, 3]), np.array([1, 2, 1, 2])
+    label = np.array([0, 1, 1, 0])
+    assert J.likeliest(p, q, label, np.array([0.1, 0.2, 0.3, 0.4]), 1).tolist() == [True, True, True, False]
+    assert J.likeliest(p, q, label, np.array([0.1, 0.2, 0.3, 0.4]), 2).all()
