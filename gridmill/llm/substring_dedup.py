@@ -39,8 +39,8 @@ from gridmill.llm.common import docs_of, materialise, table
 from gridmill.llm.words import U, blocks, grams, mix, signed, utf8, word_hashes
 
 WIDTH, ANCHOR = 13, 5
-#: Distinct contexts that one automaton is compiled from, about.
-SHARD_CONTEXTS = 20_000
+#: Distinct contexts that one automaton is compiled from, about: few enough for it to stay in a core's cache.
+SHARD_CONTEXTS = 2_000
 
 
 def anchored(words: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
