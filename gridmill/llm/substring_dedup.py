@@ -158,8 +158,8 @@ def occurrences(contexts: list[str], least: list[int], shared: list[bool], width
 def located(contexts: DataFrame, width: int, shard_contexts: int) -> DataFrame:
     """(anchor, digest, places, holders) of distinct contexts (anchor, digest, context, least, shared).
 
-    An anchor with more contexts than a shard takes is split: its contexts go to several shards, each
-    of which answers for its own windows, by their checksum.
+    An anchor with more contexts than a shard takes is split over several, each of which answers for
+    its own windows, by their checksum, and gets the contexts that have any of them.
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,12 +168,16 @@ def located(contexts: DataFrame, width: int, shard_contexts: int) -> DataFrame:
         return out[out["places"].map(len) > 0]
 
     shards = max(1, -(-contexts.count() // shard_contexts))
+    window = lambda i: F.array_join(F.slice("words", i + 1, width), " ")
+    turns = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.pmod(F.crc32(window(i)), F.col("splits")).cast("int"))
     large = contexts.groupBy("anchor").count().where(F.col("count") > shard_contexts).select("anchor", F.ceil(F.col("count") / shard_contexts).cast("int").alias("splits"))
     dealt = (
         contexts.join(large, "anchor", "left")
         .withColumn("splits", F.coalesce("splits", F.lit(1)))
         .withColumn("shard", F.when(F.col("splits") > 1, -1 - F.pmod(F.xxhash64("anchor"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+        .withColumn("words", F.split("context", " "))
+        .withColumn("turn", F.explode(F.when(F.col("splits") > 1, F.array_distinct(turns)).otherwise(F.array(F.lit(0)))))
+        .drop("words")
     )
     return dealt.groupBy("shard", "turn").applyInPandas(scan, "anchor long, digest long, places array<int>, holders array<long>")
 
