@@ -14,7 +14,8 @@ document with a smaller doc_id.
 4. Automata. Contexts are dealt to shards by anchor, which puts all windows that may be equal together.
    A shard confirms the recurring windows (word by word, not by hash), compiles them into an
    Aho-Corasick automaton over word numbers, and streams its contexts through it: each occurrence is a
-   window's place in the context with the smallest doc_id that holds it.
+   window's place in the context with the smallest doc_id that holds it. No shard gets all contexts of a
+   window that very many have: such a window is aggregated first, and its contexts are salted.
 5. Occurrences go back to the documents that have the context, and their words are removed.
 
 Defined results: a null text has no words; rows without doc_id are left as they are and remove nothing
@@ -125,7 +126,11 @@ def contexts_of(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(cut, "doc_id long, h1 long, anchor long, first int, context string")
 
 
-def occurrences(contexts: list[str], least: list[int], shared: list[bool], width: int, splits: list[int], turn: int) -> list[tuple[list[int], list[int]]]:
+#: What a row does in its shard: gives windows to the automaton and is searched, is searched only, gives only.
+BOTH, SEARCHED, GIVEN = 0, 1, 2
+
+
+def occurrences(contexts: list[str], least: list[int], shared: list[bool], roles: list[int], width: int, splits: list[int], turn: int) -> list[tuple[list[int], list[int]]]:
     """For each context, places of recurring windows and the smallest doc_id that holds each.
 
     Of a context that is split over several shards only the windows whose turn it is count.
@@ -134,7 +139,9 @@ def occurrences(contexts: list[str], least: list[int], shared: list[bool], width
     names = [c.split(" ") for c in contexts]
     rows = [tuple(numbers.setdefault(w, len(numbers)) for w in c) for c in names]
     holders: dict[tuple, tuple[int, bool]] = {}
-    for words, row, doc, many, parts in zip(names, rows, least, shared, splits, strict=True):
+    for words, row, doc, many, role, parts in zip(names, rows, least, shared, roles, splits, strict=True):
+        if role == SEARCHED:
+            continue
         for i in range(len(row) - width + 1):
             if parts > 1 and zlib.crc32(" ".join(words[i : i + width]).encode()) % parts != turn:
                 continue
@@ -155,31 +162,51 @@ def occurrences(contexts: list[str], least: list[int], shared: list[bool], width
     return out
 
 
-def located(contexts: DataFrame, width: int, shard_contexts: int) -> DataFrame:
-    """(anchor, digest, places, holders) of distinct contexts (anchor, digest, context, least, shared).
+def dealt(contexts: DataFrame, width: int, shard_contexts: int) -> DataFrame:
+    """Contexts with the shard, turn and salt that say which automaton searches them.
 
     An anchor with more contexts than a shard takes is split over several, each of which answers for
-    its own windows, by their checksum, and gets the contexts that have any of them.
+    its own windows, by their checksum, and gets the contexts that have any of them. A window that by
+    itself has more contexts than a shard takes is hot: its contexts are salted over as many shards as
+    they need, and each of these is given the one row that the window was aggregated to beforehand.
     """
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        found = occurrences(rows["context"].tolist(), rows["least"].tolist(), rows["shared"].tolist(), width, rows["splits"].tolist(), int(rows["turn"].iloc[0]))
-        out = rows[["anchor", "digest"]].assign(places=[p for p, _ in found], holders=[h for _, h in found])
-        return out[out["places"].map(len) > 0]
-
     shards = max(1, -(-contexts.count() // shard_contexts))
+    parts_of = lambda n: F.ceil(F.col(n) / shard_contexts).cast("int")
     window = lambda i: F.array_join(F.slice("words", i + 1, width), " ")
-    turns = F.transform(F.sequence(F.lit(0), F.size("words") - width), lambda i: F.pmod(F.crc32(window(i)), F.col("splits")).cast("int"))
-    large = contexts.groupBy("anchor").count().where(F.col("count") > shard_contexts).select("anchor", F.ceil(F.col("count") / shard_contexts).cast("int").alias("splits"))
-    dealt = (
-        contexts.join(large, "anchor", "left")
+    places = F.sequence(F.lit(0), F.size("words") - width)
+    large = materialise(contexts.groupBy("anchor").count().where(F.col("count") > shard_contexts).select("anchor", parts_of("count").alias("splits")), "large")
+    hashes = F.array_distinct(F.transform(places, lambda i: F.xxhash64(window(i))))
+    counted = contexts.join(large, "anchor", "left_semi").select("anchor", F.split("context", " ").alias("words")).select("anchor", F.explode(hashes).alias("hash")).groupBy("anchor", "hash").count()
+    hot = materialise(counted.where(F.col("count") > shard_contexts).groupBy("anchor").agg(F.collect_list(F.struct("hash", parts_of("count").alias("salts"))).alias("hot")), "hot")
+    rows = (
+        contexts.join(large.join(hot, "anchor", "left"), "anchor", "left")
         .withColumn("splits", F.coalesce("splits", F.lit(1)))
         .withColumn("shard", F.when(F.col("splits") > 1, -1 - F.pmod(F.xxhash64("anchor"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
         .withColumn("words", F.split("context", " "))
-        .withColumn("turn", F.explode(F.when(F.col("splits") > 1, F.array_distinct(turns)).otherwise(F.array(F.lit(0)))))
-        .drop("words")
     )
-    return dealt.groupBy("shard", "turn").applyInPandas(scan, "anchor long, digest long, places array<int>, holders array<long>")
+    heat = lambda x: F.filter("hot", lambda h: h["hash"] == F.xxhash64(x))
+    cool = F.filter(F.transform(places, window), lambda x: F.col("hot").isNull() | (F.size(heat(x)) == 0))
+    turns = F.array_distinct(F.transform(cool, lambda x: F.pmod(F.crc32(x), F.col("splits")).cast("long")))
+    names = ["shard", "turn", "salt", "role", "splits", "anchor", "digest", "context", "least", "shared"]
+    plain = rows.withColumn("turn", F.explode(F.when(F.col("splits") > 1, turns).otherwise(F.array(F.lit(0).cast("long"))))).withColumn("salt", F.lit(0)).withColumn("role", F.lit(BOTH))
+    # The hash only picks candidates: windows are aggregated and searched by their words.
+    warm = F.array_distinct(F.filter(F.transform(places, lambda i: F.struct(window(i).alias("window"), F.get(heat(window(i)), 0).alias("h"))), lambda x: x["h"].isNotNull()))
+    held = rows.where(F.col("hot").isNotNull()).withColumn("w", F.explode(warm)).withColumn("splits", F.lit(1)).withColumn("turn", F.col("w.h.hash"))
+    searched = held.withColumn("salt", 1 + F.pmod(F.xxhash64("digest"), F.col("w.h.salts")).cast("int")).withColumn("role", F.lit(SEARCHED))
+    one = held.groupBy("shard", "turn", "splits", "anchor", F.col("w.window").alias("context"), F.col("w.h.salts").alias("salts")).agg(F.min("least").alias("least"), (F.max("shared") | (F.min("least") < F.max("least"))).alias("shared"))
+    given = one.where("shared").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("salts")))).withColumn("role", F.lit(GIVEN)).withColumn("digest", F.lit(0).cast("long"))
+    return plain.select(names).unionByName(searched.select(names)).unionByName(given.select(names))
+
+
+def located(contexts: DataFrame, width: int, shard_contexts: int) -> DataFrame:
+    """(anchor, digest, places, holders) of distinct contexts (anchor, digest, context, least, shared)."""
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        found = occurrences(rows["context"].tolist(), rows["least"].tolist(), rows["shared"].tolist(), rows["role"].tolist(), width, rows["splits"].tolist(), int(rows["turn"].iloc[0]))
+        out = rows[["anchor", "digest"]].assign(places=[p for p, _ in found], holders=[h for _, h in found])
+        return out[(out["places"].map(len) > 0) & (rows["role"] != GIVEN)]
+
+    return dealt(contexts, width, shard_contexts).groupBy("shard", "turn", "salt").applyInPandas(scan, "anchor long, digest long, places array<int>, holders array<long>")
 
 
 def remove_words(docs: DataFrame, width: int) -> DataFrame:

@@ -65,3 +65,18 @@ def test_whole_small_table(spark):
     got = sorted(map(tuple, S.query(spark, SF).collect()))
     assert got == sorted(r[:4] for r in brute(rows, 13))
     assert got == sorted(duckdb.sql(S.ORACLE.replace("FROM documents", f"FROM '{SF}/documents.parquet'")).fetchall())
+
+
+def test_contexts_of_one_window_are_spread(spark):
+    """A passage that all documents share, each with its own words around: no shard gets all contexts at its borders."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(15)), passage, *(f"z{i}x{j}" for j in range(15))])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.dedup(docs, shard_contexts=10).collect()
+    assert sorted(map(tuple, got)) == sorted(r[:4] for r in brute(rows, 13))
+    keys = S.summaries(S.docs_of(docs), 13, 5).select("doc_id", "anchors")
+    cut = S.contexts_of(docs.join(keys, "doc_id"), 13, 5)
+    contexts = cut.groupBy("anchor", "context").agg(S.F.min("doc_id").alias("least"), (S.F.min("doc_id") < S.F.max("doc_id")).alias("shared")).withColumn("digest", S.F.xxhash64("context", S.F.lit(13)))
+    held = max(r["count"] for r in contexts.groupBy("anchor").count().collect())
+    groups = S.dealt(contexts, 13, 10).groupBy("shard", "turn", "salt").count().collect()
+    assert held >= 400 and max(r["count"] for r in groups) < 100
