@@ -19,6 +19,23 @@ def test_ids_equal_the_library(text):
     assert e.ids(text).tolist() == e.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blanks", [" " * 2_000_000, "\n" * 2_000_000, " " * 99_999])
+def test_long_runs_of_blanks(blanks):
+    e = packing.encoder(packing.TOKENIZER)
+    text = f"some words{blanks}and more"
+    assert e.ids(text).tolist() == e.library.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_that_tiktoken_fails_on(monkeypatch):
+    class Failing:
+        def encode_to_numpy(self, text, allowed_special):
+            raise ValueError("Max stack size exceeded for backtracking")
+
+    e = packing.encoder(packing.TOKENIZER)
+    monkeypatch.setattr(e, "fast", Failing())
+    assert e.ids("some words").tolist() == e.library.encode("some words", add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
 def test_best_fit_keeps_capacity_and_bound(sizes):
