@@ -418,6 +418,15 @@ def missing_months(spark, d):
     return Q.missing_months(table(spark, d, "orders").where("o_custkey % 10 = 0"), "o_orderdate", "o_custkey")
 
 
+@query("""
+WITH h AS (SELECT DISTINCT o_custkey AS p, date_trunc('month', o_orderdate) AS d FROM orders), e AS (SELECT p, min(d) AS a, max(d) AS b FROM h GROUP BY 1),
+s AS (SELECT p, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS d FROM e)
+SELECT p AS o_custkey, d AS month FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.p = s.p AND CAST(h.d AS DATE) = s.d)""")
+def missing_months_all(spark, d):
+    """Of every customer; missing_months looks at a tenth of them, as its SQL does."""
+    return Q.missing_months(table(spark, d, "orders"), "o_orderdate", "o_custkey")
+
+
 @query("""
 WITH t AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS h FROM events), g AS (SELECT event_type, epoch(h) - epoch(lag(h) OVER (PARTITION BY event_type ORDER BY h)) AS s FROM t),
 c AS (SELECT event_type, s, count(*) AS n FROM g WHERE s IS NOT NULL GROUP BY 1, 2)
