@@ -9,19 +9,22 @@ smallest doc_id stands for; only classes are compared.
    set leaves no more than E parts empty (a set that does gives its empty parts too). A bucket is a
    tile, a part and the digest of a set's shingles there: sets that link meet in one, whatever they
    hold. Neither side is sampled or capped.
-2. Links to the bucket's smallest document. They connect nearly all; components follow from them.
+2. Links to the bucket's centre: the member whose buckets hold most members altogether, so the one
+   with the fewest edits of a group of near copies. They connect nearly all; components follow.
 3. Buckets that still hold several components are cut into blocks of bounded size, and blocks meet in
-   pairs: every pair of different components is bounded. A round verifies each document's likeliest
-   pairs with another component first; what that joins needs no more pairs. Rounds take ever more of
-   them and end when none was left out, so a pair is passed over only between documents that are
-   connected already.
+   pairs. A first pass names the documents with a partner of another component that the bound below
+   allows; only these come again with their sets, and every pair of them is decided in its tile. A
+   tile hands on at most one link for each time two components of it join, so what leaves it grows
+   with its rows and not with its pairs.
 4. Bounds. A set's bitmap has the parity of its shingles by hash; the count of bits in which two
    differ is at most the count of shingles in which they do, which bounds the overlap from above.
    Pairs that pass are intersected as sorted arrays of 64-bit shingle hashes, exactly.
 
 Defined results: without words or text a document has no shingles, is linked with nothing and its own
 component; so is one without doc_id (component null). Rows that share a doc_id are one document.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes. Very long texts are hashed as a whole; their buckets form
+blocks of fewer rows. An empty table gives no rows. Only doc_id and text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -39,10 +42,10 @@ from gridmill.llm.components import components
 from gridmill.llm.words import U, blocks, grams, mix, signed, utf8, word_hashes
 
 SHINGLE, PERCENT = 3, 90
-#: A band's sizes grow by half; members of a bucket that meet as one block.
-BAND, BLOCK_ROWS = 1.5, 2048
-#: A round gives each document this many times the pairs per component of the round before.
-ROUND = 32
+#: A band's sizes grow by half; members of a bucket that meet as one block, and the shingles these may have together.
+BAND, BLOCK_ROWS, BLOCK_SHINGLES = 1.5, 1024, 8 << 20
+#: Bytes of incidence bits that a tile compares at once.
+BITS_AT_ONCE = 16 << 20
 
 
 @functools.lru_cache(maxsize=None)
@@ -198,10 +201,12 @@ def verified(pairs: DataFrame, signed_docs: DataFrame, docs: DataFrame, shingle:
         for batch in batches:
             na, nb = np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))
             most, keep = most_different(na, nb, percent), np.zeros(len(na), bool)
-            for i, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
-                if most[i] >= 0:
-                    f = folded([x, y])
-                    keep[i] = int(np.bitwise_count(f[0] ^ f[1]).sum()) <= most[i]
+            x, y = (np.array(batch.column(c).to_pylist(), object) for c in ("bits_a", "bits_b"))
+            narrow = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+            for w in np.unique(narrow[most >= 0]):
+                at = np.flatnonzero((narrow == w) & (most >= 0))
+                f = folded([*x[at], *y[at]])
+                keep[at] = np.bitwise_count(f[: len(at)] ^ f[len(at) :]).sum(axis=1) <= most[at]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     passed = materialise(pairs.join(info("a"), "a").join(info("b"), "b").mapInArrow(bounded, "a long, b long").distinct(), "bounded")
@@ -212,88 +217,145 @@ def verified(pairs: DataFrame, signed_docs: DataFrame, docs: DataFrame, shingle:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                keep[i] = 100 * both >= percent * (len(s) + len(t) - both) > 0
+                s = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)]))
+                both = int((s[1:] == s[:-1]).sum())
+                keep[i] = 100 * both >= percent * (len(s) - both) > 0
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     wide = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     return materialise(passed.join(wide("a"), "a").join(wide("b"), "b").mapInArrow(intersected, "a long, b long").distinct(), "links")
 
 
-def likeliest(p: np.ndarray, q: np.ndarray, label: np.ndarray, gap: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs (p, q) are among the ``most`` with the smallest gap, of p with q's label or of q with p's."""
-    keep = np.zeros(len(p), bool)
-    for x, y in ((p, q), (q, p)):
-        order = np.lexsort((gap, label[y], x))
-        a, b = x[order], label[y][order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-        keep[order[rank < most]] = True
-    return keep
-
-
-def tile_pairs(members: DataFrame, percent: int, block_rows: int, most: int) -> DataFrame:
-    """(a, b, cut) of different labels in one bucket whose bitmaps allow a link; members: key, node, label, n, bits, held (rows of the bucket).
-
-    Of a document's pairs with one label only the ``most`` likeliest are given; cut says that the tile had more.
-    """
-    count = F.ceil(F.col("held") / block_rows).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
+def tiles_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (key, i, j), one tile after the other."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        k, i, j = (np.asarray(now[c]) for c in ("key", "i", "j"))
+        cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        at = [0, *cut.tolist()]
+        for a, b in zip(at, at[1:], strict=False):
+            yield now.slice(a, b - a)
+        rest = now.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def allowed_pairs(rows: pa.Table, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q), p before q, of a tile's pairs of different labels whose bitmaps allow a link; between blocks only those across."""
+    label, n, own = (np.asarray(rows[c]) for c in ("label", "n", "own"))
+    across = rows["i"][0].as_py() != rows["j"][0].as_py()
+    for a in range(0, len(n), 64):
+        x = slice(a, a + 64)
+        most = most_different(n[x, None], n[None, a:], percent)
+        ok = (label[x, None] != label[None, a:]) & (most >= 0) & (np.arange(len(most))[:, None] < np.arange(most.shape[1]))
+        if across:
+            ok &= own[x, None] != own[None, a:]
+        p, q = np.nonzero(ok)
+        step = max(1, BITS_AT_ONCE // maps[0].nbytes)
+        for i in range(0, len(p), step):
+            r, t = p[i : i + step], q[i : i + step]
+            fine = np.bitwise_count(maps[r + a] ^ maps[t + a]).sum(axis=1) <= most[r, t]
+            if fine.any():
+                yield r[fine] + a, t[fine] + a
+
+
+def dealt_tiles(members: DataFrame, block_rows: int) -> DataFrame:
+    """Members (key, node, label, n, bits, held, mass) once for each tile (key, i, j) of their bucket's blocks."""
+    count = F.ceil(F.greatest(F.col("held") / block_rows, F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    return (
         members.withColumn("blocks", count)
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
     )
 
-    def meet(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-        node, label, n, own = (np.asarray(rows[c]) for c in ("node", "label", "n", "own"))
-        maps = folded(rows["bits"].to_pylist())
-        left, right, gaps = [], [], []
-        across = rows["i"][0].as_py() != rows["j"][0].as_py()
-        for a in range(0, len(node), 64):
-            x = slice(a, a + 64)
-            allowed = most_different(n[x, None], n[None, :], percent)
-            ok = (label[x, None] != label[None, :]) & (allowed >= 0) & (node[x, None] < node[None, :])
-            if across:
-                ok &= own[x, None] != own[None, :]
-            p, q = np.nonzero(ok)
-            if len(p):
-                apart = np.bitwise_count(maps[p + a] ^ maps[q]).sum(axis=1)
-                fine = apart <= allowed[p, q]
-                left.append(p[fine] + a)
-                right.append(q[fine])
-                gaps.append(apart[fine] / np.maximum(allowed[p, q][fine], 1))
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        p, q = np.concatenate(left), np.concatenate(right)
-        keep = likeliest(p, q, label, np.concatenate(gaps), most)
-        return node[p[keep]], node[q[keep]], not keep.all()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tiles() -> Iterator[pa.Table]:
-            rest = None
-            for batch in batches:
-                now = pa.Table.from_batches([batch])
-                now = now if rest is None else pa.concat_tables([rest, now])
-                k, i, j = (np.asarray(now[c]) for c in ("key", "i", "j"))
-                cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-                at = [0, *cut.tolist()]
-                for a, b in zip(at, at[1:], strict=False):
-                    yield now.slice(a, b - a)
-                rest = now.slice(at[-1])
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        for tile in tiles():
-            a, b, cut = meet(tile)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([cut] * len(a))], ["a", "b", "cut"])
-
-    return dealt.mapInArrow(compare, "a long, b long, cut boolean")
+
+_TILE = "key long, i int, j int, own int, node long, label long, n long"
+_TILE_COLUMNS = [c.split()[0] for c in _TILE.split(", ")]
+
+
+def with_partners(dealt: DataFrame, percent: int) -> DataFrame:
+    """The tiles' rows that have a partner of another label whose bitmap allows a link; at most those that came."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in tiles_in(batches):
+            some = np.zeros(tile.num_rows, bool)
+            for p, q in allowed_pairs(tile, folded(tile["bits"].to_pylist()), percent):
+                some[p] = some[q] = True
+            if some.any():
+                yield from tile.select(_TILE_COLUMNS).filter(pa.array(some)).combine_chunks().to_batches()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(look, _TILE)
+
+
+class Common:
+    """How many shingles pairs of a tile's sets share, counted on bits of those that more than one set holds."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        held = count[ids] > 1
+        self.row, self.id = row[held], number[ids[held]]
+        self.rows, self.width = len(sets), int(number[-1]) + 1 if len(number) else 0
+        # Columns are taken in slices, so that the bits stay small however many shingles there are.
+        self.slice = max(64, BITS_AT_ONCE * 8 // len(sets) // 64 * 64)
+        self.made: dict[int, np.ndarray] = {}
+
+    def of(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(p), np.int64)
+        for start in range(0, self.width, self.slice):
+            bits = self._bits(start)
+            step = max(1, BITS_AT_ONCE // bits[0].nbytes)
+            for i in range(0, len(p), step):
+                x = slice(i, i + step)
+                total[x] += np.bitwise_count(bits[p[x]] & bits[q[x]]).sum(axis=1, dtype=np.int64)
+        return total
+
+    def _bits(self, start: int) -> np.ndarray:
+        if start not in self.made:
+            wide = -(-min(self.slice, self.width - start) // 64) * 8
+            mine = (self.id >= start) & (self.id < start + self.slice)
+            at = self.id[mine] - start
+            # A set holds a shingle once, so adding bits is joining them.
+            bits = np.bincount(self.row[mine] * wide + (at >> 3), weights=1 << (at & 7), minlength=self.rows * wide)
+            self.made = {start: bits.astype(np.uint8).reshape(self.rows, wide).view(U)}
+        return self.made[start]
+
+
+def tile_links(partners: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the labels of each tile; partners from with_partners, sets with (node, shingles)."""
+
+    def decide(tile: pa.Table) -> tuple[list[int], list[int]]:
+        # Rows that repeat a doc_id with another text come with each of its sets; a set's own size counts.
+        arrays = [np.frombuffer(x.as_buffer(), U) for x in tile["shingles"]]
+        node, n = np.asarray(tile["node"]), np.array(list(map(len, arrays)), np.int64)
+        tile = tile.set_column(tile.column_names.index("n"), "n", pa.array(n))
+        common = Common(arrays)
+        root = np.unique(np.asarray(tile["label"]), return_inverse=True)[1]
+        a, b = [], []
+        for p, q in allowed_pairs(tile, folded([bitmap(x) for x in arrays]), percent):
+            apart = root[p] != root[q]
+            p, q = p[apart], q[apart]
+            both = common.of(p, q)
+            linked = 100 * both >= percent * (n[p] + n[q] - both)
+            for x, y in zip(p[linked].tolist(), q[linked].tolist(), strict=True):
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    a.append(int(node[x]))
+                    b.append(int(node[y]))
+        return a, b
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in tiles_in(batches):
+            a, b = decide(tile)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    whole = partners.join(sets, "node").select(*_TILE_COLUMNS, "shingles")
+    return whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "a long, b long")
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,26 +378,22 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_
     own = rows.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     ties = own.where("rep <> doc_id").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     stand = signatures(docs.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id"), shingle, percent)
-    buckets = stand.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "shared")
-    members = materialise(buckets.join(shared, "key", "left_semi"), "members")
-    centers = members.groupBy("key").agg(F.min("node").alias("center"))
-    stars = materialise(members.join(centers, "key").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = verified(stars, stand, docs, shingle, percent).unionByName(ties)
-    found = components(links)
-    info = stand.select(F.col("doc_id").alias("node"), "n", "bits")
-    done, most, cut = stars, 1, True
-    while cut:
-        labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo < hi and held > 2").select("key", "held")
-        tiles = tile_pairs(labelled.join(open_keys, "key").join(info, "node"), percent, block_rows, most)
-        pairs = materialise(tiles.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
-        cut = bool(pairs.where("cut").head(1))
-        new = materialise(pairs.join(done, ["a", "b"], "left_anti").select("a", "b"), "candidates")
-        if new.head(1):
-            found = merged(found, verified(new, stand, docs, shingle, percent))
-            done = done.unionByName(new)
-        most *= ROUND
+    buckets = stand.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
+    shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
+    members = materialise(buckets.join(shared, "key"), "members")
+    weight = members.groupBy("node").agg(F.sum("held").alias("weight"))
+    centers = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"))
+    stars = members.join(centers, "key").where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    found = components(verified(materialise(stars, "stars"), stand, docs, shingle, percent).unionByName(ties))
+    labelled = materialise(members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label")), "labelled")
+    # In a bucket of two the star was the only pair.
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"), F.sum("n").alias("mass")).where("lo < hi and held > 2").select("key", "held", "mass")
+    info = stand.select(F.col("doc_id").alias("node"), "bits")
+    partners = materialise(with_partners(dealt_tiles(labelled.join(open_keys, "key").join(info, "node"), block_rows), percent), "partners")
+    if partners.head(1):
+        needed = docs.join(partners.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = materialise(set_rows(needed, shingle).where("length(shingles) > 0"), "sets").withColumnRenamed("doc_id", "node")
+        found = merged(found, tile_links(partners, sets, percent))
     final = found.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     return own.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
 
@@ -343,14 +401,22 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """A pipeline's filter: of each component the document with the smallest doc_id stays; so does a row without doc_id.
 
-    Rows that repeat the doc_id that stays are one document, of which the smallest row stays.
+    Where doc_ids repeat, each text is judged by itself: of rows that repeat both doc_id and text one
+    stays, and other texts of that doc_id stay unless they are near copies of a text that does.
     """
-    joined = materialise(link(docs, shingle, percent), "joined")
-    going = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(going, docs["doc_id"].cast("long") == going["doc_id"], "left_anti")
-    if joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        joined = materialise(link(docs, shingle, percent), "joined")
+        going = joined.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(going, docs["doc_id"].cast("long") == going["doc_id"], "left_anti")
+    # Numbers in the order of doc_id stand for its texts.
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.sha2(text, 256).alias("__text"), text.alias("text")).dropDuplicates(["__id", "__text"])
+    numbered = materialise(named.sort("__id", "__text").withColumn("doc_id", F.monotonically_increasing_id()), "texts")
+    joined = materialise(link(numbered.select("doc_id", "text"), shingle, percent), "joined")
+    staying = joined.where("component_id = doc_id").select("doc_id").join(numbered, "doc_id").select("__id", "__text")
+    one = docs.withColumn("__text", F.sha2(text, 256)).dropDuplicates(["doc_id", "__text"])
+    kept = one.join(staying, (one["doc_id"].cast("long") == staying["__id"]) & (one["__text"] == staying["__text"]), "left_semi")
+    return kept.drop("__text").where("doc_id is not null").unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,12 +97,42 @@ def test_components_of_chains_and_stars(spark):
     assert all(got.get(i, i) == root[i] for i in range(400))
 
 
-def test_likeliest_pairs_are_kept_by_document_and_label():
-    label = np.array([0, 1, 1, 1, 2])
-    p, q, gap = np.array([0, 0, 0, 0]), np.array([1, 2, 3, 4]), np.array([0.5, 0.1, 0.9, 0.2])
-    keep = J.likeliest(p, q, label, gap, 1)
-    assert keep.tolist() == [True, True, True, True]  # each of the others has but this pair with label 0
-    p, q = np.array([0, 0, 3, 3]), np.array([1, 2, 1, 2])
-    label = np.array([0, 1, 1, 0])
-    assert J.likeliest(p, q, label, np.array([0.1, 0.2, 0.3, 0.4]), 1).tolist() == [True, True, True, False]
-    assert J.likeliest(p, q, label, np.array([0.1, 0.2, 0.3, 0.4]), 2).all()
+def test_shared_shingles_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(J, "BITS_AT_ONCE", 512)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(1, 400))).astype(np.uint64) for _ in range(30)]
+    p, q = np.triu_indices(30, 1)
+    assert J.Common(sets).of(p, q).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(p, q, strict=True)]
+    assert J.Common([sets[0]]).of(np.array([0]), np.array([0])).tolist() == [0]
+
+
+@pytest.mark.parametrize("n", [9, 60])
+def test_a_large_group_of_near_copies_gives_no_more_rows_than_it_has(spark, monkeypatch, n):
+    """Every text is some edits away from one that is not there: few pairs link, though all meet in buckets."""
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(n)]
+    rows = []
+    for i in range(1200):
+        t = list(base)
+        for _ in range(rng.randrange(1, n // 6 + 1)):
+            t[rng.randrange(n)] = f"x{rng.randrange(100000)}"
+        rows.append((i, " ".join(t)))
+    handed = []
+    real = J.tile_links
+
+    def counted(partners, sets, percent):
+        found = real(partners, sets, percent)
+        handed.append((partners.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(J, "tile_links", counted)
+    got = sorted(map(tuple, J.link(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 256).collect()))
+    assert got == brute(rows, 5, 80)
+    assert all(out < came for came, out in handed)
+
+
+def test_keep_one_judges_texts_of_a_repeated_id_by_themselves(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (3, a + " more"), (3, b), (3, b), (7, b + " more"), (9, "other words here"), (9, None), (None, a)]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a), (3, b), (9, "other words here"), (9, None), (None, a)]))
