@@ -95,12 +95,11 @@ def resample_15m(spark, d):
 
 
 @query("""
-WITH h AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1),
+WITH h AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS v FROM events WHERE ts IS NOT NULL GROUP BY 1),
 s AS (SELECT unnest(generate_series((SELECT min(t) FROM h), (SELECT max(t) FROM h), INTERVAL 1 HOUR)) AS t)
 SELECT s.t AS ts_local, round(v, 6) AS price FROM s LEFT JOIN h ON s.t = h.t""")
 def resample_gapfill(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error'")
-    return rounded(A.resample(e, "ts", {"price": "value"}, fill_gaps=True), "price")
+    return rounded(A.resample(table(spark, d, "events"), "ts", {"price": "value"}, fill_gaps=True), "price")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_quantity * 0.25, 4) AS revenue FROM lineitem")
@@ -126,18 +125,17 @@ def pivot_type(spark, d):
     return rounded(R.mean_pivot(e, ["day"], "event_type", "value", kinds, "_price"), *[f"{k}_price" for k in kinds])
 
 
+_NUMBERS = [str(i) for i in range(1, 8)]
+
+
 @query("""
-WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem WHERE l_linenumber IN (1, 2))
-SELECT l_orderkey, any_value(price) FILTER (l_linenumber = 1) AS "1_p", any_value(price) FILTER (l_linenumber = 2) AS "2_p" FROM p GROUP BY 1""")
+WITH f AS (SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS p, count(*) AS c FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, """ + ", ".join(f'any_value(p) FILTER (l_linenumber = {n}) AS "{n}_p"' for n in _NUMBERS) + " FROM f GROUP BY 1")
 def pivot_checked(spark, d):
-    lines = table(spark, d, "lineitem").where("l_linenumber in (1, 2)").select("l_orderkey", F.col("l_linenumber").cast("string").alias("n"), "l_extendedprice")
+    """Every line number; tests/test_operators.py has the repeated key that raises."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("n"), "l_extendedprice")
     first = A.first_rows(lines, ["l_orderkey", "n"], "l_extendedprice")
-    return R.checked_pivot(first, ["l_orderkey"], "n", "l_extendedprice", ["1", "2"], "_p")
-
-
-ORACLES["pivot_checked"] = """
-SELECT l_orderkey, min(l_extendedprice) FILTER (l_linenumber = 1) AS "1_p", min(l_extendedprice) FILTER (l_linenumber = 2) AS "2_p"
-FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1"""
+    return R.checked_pivot(first, ["l_orderkey"], "n", "l_extendedprice", _NUMBERS, "_p")
 
 
 @query("SELECT l_orderkey, l_linenumber, variable, value FROM lineitem UNPIVOT (value FOR variable IN (l_extendedprice, l_discount, l_tax))")
@@ -362,10 +360,10 @@ def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_custkey + 3 AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def set_difference(spark, d):
-    a, b = _keys(spark, d)
-    return a.subtract(b)
+    a = table(spark, d, "orders").select((F.col("o_custkey") + 3).alias("k"))
+    return a.subtract(table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k")))
 
 
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
@@ -411,20 +409,20 @@ def missing_days(spark, d):
 
 
 @query("""
-WITH h AS (SELECT DISTINCT o_custkey AS p, date_trunc('month', o_orderdate) AS d FROM orders WHERE o_custkey % 10 = 0), e AS (SELECT p, min(d) AS a, max(d) AS b FROM h GROUP BY 1),
+WITH h AS (SELECT DISTINCT o_custkey AS p, date_trunc('month', o_orderdate) AS d FROM orders), e AS (SELECT p, min(d) AS a, max(d) AS b FROM h GROUP BY 1),
 s AS (SELECT p, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS d FROM e)
 SELECT p AS o_custkey, d AS month FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.p = s.p AND CAST(h.d AS DATE) = s.d)""")
 def missing_months(spark, d):
-    return Q.missing_months(table(spark, d, "orders").where("o_custkey % 10 = 0"), "o_orderdate", "o_custkey")
+    return Q.missing_months(table(spark, d, "orders"), "o_orderdate", "o_custkey")
 
 
 @query("""
-WITH h AS (SELECT DISTINCT o_custkey AS p, date_trunc('month', o_orderdate) AS d FROM orders), e AS (SELECT p, min(d) AS a, max(d) AS b FROM h GROUP BY 1),
-s AS (SELECT p, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS d FROM e)
-SELECT p AS o_custkey, d AS month FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.p = s.p AND CAST(h.d AS DATE) = s.d)""")
+WITH h AS (SELECT DISTINCT o_custkey AS p, o_orderpriority AS q, date_trunc('month', o_orderdate) AS d FROM orders), e AS (SELECT p, q, min(d) AS a, max(d) AS b FROM h GROUP BY 1, 2),
+s AS (SELECT p, q, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS d FROM e)
+SELECT p AS o_custkey, q AS o_orderpriority, d AS month FROM s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.p = s.p AND h.q = s.q AND CAST(h.d AS DATE) = s.d)""")
 def missing_months_all(spark, d):
-    """Of every customer; missing_months looks at a tenth of them, as its SQL does."""
-    return Q.missing_months(table(spark, d, "orders"), "o_orderdate", "o_custkey")
+    """By customer and priority: keys of two columns."""
+    return Q.missing_months(table(spark, d, "orders"), "o_orderdate", "o_custkey", "o_orderpriority")
 
 
 @query("""
@@ -522,15 +520,15 @@ def calendar_arithmetic(spark, d):
 WITH e AS (SELECT event_type AS dataset_id, user_id % 2 AS run, ts, event_id FROM events WHERE event_type <> 'error'),
 g AS (SELECT dataset_id, run, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY dataset_id, run ORDER BY ts, event_id)) AS s FROM e),
 l AS (SELECT dataset_id, count(*) AS n, avg(s) AS m, stddev_pop(s) AS sd FROM g WHERE s > 0 AND s <= 86400 GROUP BY 1 HAVING count(*) >= 3),
-k AS (SELECT event_type AS dataset_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1),
-j AS (SELECT k.dataset_id, days, m, sd FROM k LEFT JOIN l USING (dataset_id))
-SELECT dataset_id, days, CASE WHEN m IS NOT NULL THEN 'log' ELSE 'mean' END AS basis, round(coalesce(m, avg(m) OVER ()), 4) AS seconds_per_day, round(coalesce(sd, 0), 4) AS std_s,
+k AS (SELECT event_type AS dataset_id, count(DISTINCT CAST(ts AS DATE)) AS days, epoch(max(ts)) - epoch(min(ts)) AS span FROM events GROUP BY 1),
+j AS (SELECT k.dataset_id, days, l.m AS lm, coalesce(l.m, CASE WHEN days >= 2 AND span > 0 THEN span / (days - 1) END) AS m, sd FROM k LEFT JOIN l USING (dataset_id))
+SELECT dataset_id, days, CASE WHEN lm IS NOT NULL THEN 'log' WHEN m IS NOT NULL THEN 'files' ELSE 'mean' END AS basis, round(coalesce(m, avg(m) OVER ()), 4) AS seconds_per_day, round(coalesce(sd, 0), 4) AS std_s,
        round(days * coalesce(m, avg(m) OVER ()) / 3600, 4) AS hours FROM j""")
 def time_estimate(spark, d):
     e = table(spark, d, "events")
     logged = e.where("event_type <> 'error'").select(F.col("event_type").alias("dataset_id"), (F.col("user_id") % 2).alias("run"), F.col("ts").alias("completed_at"), F.col("event_id").alias("row_idx"))
     days = e.groupBy(F.col("event_type").alias("dataset_id")).agg(F.countDistinct(F.col("ts").cast("date")).alias("days"))
-    files = e.where("1 = 0").select(F.col("event_type").alias("dataset_id"), F.col("ts").alias("modified_at"), F.col("ts").cast("date").alias("day"))
+    files = e.select(F.col("event_type").alias("dataset_id"), F.col("ts").alias("modified_at"), F.col("ts").cast("date").alias("day"))
     return rounded(E.time_estimate(logged, files, days), "seconds_per_day", "std_s", "hours", places=4)
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gridmill.registry import POSTING_NAMES
 
+#: Fixed words and suffixes, in their natural order.
 TRUE_WORDS, FALSE_WORDS = ["1", "true", "yes", "y", "on"], ["0", "false", "no", "n", "off"]
-LINK_SUFFIXES = [".csv", ".zip", ".xls", ".xlsx", ".xml", ".pdf", ".txt"]
+LINK_SUFFIXES = [".zip", ".csv", ".gz", ".tgz", ".tar", ".xlsx", ".xls"]
 
 
 def _c(c: Column | str) -> Column:
@@ -111,15 +112,27 @@ def fingerprint(columns: list[str]) -> Column:
 
 def event_line(event: Column | str, fields: Column | str) -> Column:
     """EVENT k=v k=v with values quoted as JSON unless they are plain; fields: map<string,string>."""
-    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    quoted = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     value = lambda v: F.when(v.isNull(), "null").when(v.rlike(r"^[A-Za-z0-9._:/+-]+$"), v).otherwise(quoted(v))
     return F.concat_ws(" ", _c(event), F.array_join(F.transform(F.map_entries(_c(fields)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), " "))
 
 
 def event_fields(line: Column | str) -> Column:
-    """map of the k=v parts of a log line whose values have no blanks."""
-    pairs = F.regexp_extract_all(_c(line), F.lit(r"(?:^|\s)([A-Za-z_]+=\S*)"), F.lit(1))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]+)", 1), F.regexp_replace(p, "^[^=]+=", ""))))
+    """map of the k=v parts of a log line; quoted values are read as JSON text, and of a repeated key the last value counts."""
+    shape = r'(?:^|\s)([A-Za-z_]\w*)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|\S*)'
+    names = F.regexp_extract_all(_c(line), F.lit(shape), F.lit(1))
+    values = F.regexp_extract_all(_c(line), F.lit(shape), F.lit(2))
+    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    read = lambda v: F.when(v.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"), v)).otherwise(v)
+    once = F.array_distinct(names)
+    return F.map_from_arrays(once, F.transform(once, lambda k: read(F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])))
+
+
+def csv_cells(line: Column | str) -> Column:
+    """The cells of one CSV line: quoted ones may hold commas and doubled quotes; other cells are trimmed."""
+    raw = F.regexp_extract_all(F.concat(_c(line), F.lit(",")), F.lit(r'(\s*"[^"]*+(?:""[^"]*+)*+"\s*|[^,]*+),'), F.lit(1))
+    bare = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(F.transform(raw, lambda x: F.trim(x)), lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.char_length(x) > 1), bare(x)).otherwise(x))
 
 
 def json_doc_id(json: Column | str) -> Column:
@@ -138,6 +151,15 @@ def name_failure(error: Column | str) -> Column:
     return F.coalesce(F.greatest(*[low.contains(m) for m in markers]), F.lit(False))
 
 
+def retry_after(header: Column | str, now: Column) -> Column:
+    """Seconds to wait from a Retry-After header: a number, or a date later than now; null for anything else."""
+    t = F.trim(_c(header))
+    at = F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.when(at.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(at) - F.unix_micros(now.cast("timestamp"))) / 1e6))
+    number_ = F.when(t.rlike(r"^\d+(\.\d+)?$"), t.try_cast("double"))
+    return F.coalesce(number_, wait)
+
+
 def file_link(href: Column | str) -> Column:
     """Whether a link ends like a data file, whatever its query."""
     path = F.lower(F.regexp_replace(_c(href), r"[?#].*$", ""))
@@ -150,6 +172,12 @@ def snake_case(name: str) -> str:
     return s.strip("_").lower()
 
 
+def header_order_column(columns: list[str], names: list[str] = POSTING_NAMES) -> str | None:
+    """The first column of the header, as it stands, under any of the names in any case; posting_column goes by the names' order instead."""
+    low = {n.lower() for n in names}
+    return next((c for c in columns if c.strip().lower() in low), None)
+
+
 def posting_column(columns: list[str]) -> str | None:
     """The posting-time column under any of its names, the preferred name first."""
     have = {c.strip().lower(): c for c in reversed(columns)}
@@ -167,3 +195,10 @@ def clean_header(columns: list[str]) -> list[str]:
     """Trimmed, without blanks and posting names, each once, in order."""
     names = {n.lower() for n in POSTING_NAMES}
     return list(dict.fromkeys(t for c in columns if (t := c.strip()) and t.lower() not in names))
+
+
+def first_value(columns: list[str], candidates: list[str]) -> Column:
+    """Per row, the first of the candidate columns (in any case) whose value isn't blank; null if there is none."""
+    have = {c.strip().lower(): c for c in reversed(columns)}
+    found = [blank_to_null(F.col(f"`{have[n.lower()]}`")) for n in candidates if n.lower() in have]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")

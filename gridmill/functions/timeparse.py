@@ -57,6 +57,28 @@ def parse_date(c: Column | str) -> Column:
     )
 
 
+def parse_sort_date(c: Column | str) -> Column:
+    """The date of m/d/Y, Y-m-d, m/d/y, else the UTC date of ISO: the order in which sort keys are read."""
+    t = _text(c)
+    return F.coalesce(
+        F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), _ntz(t, "M/d/yyyy")),
+        F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), _ntz(t, "yyyy-M-d")),
+        _two_digit_year(t),
+        parse_iso(t),
+    ).cast("date")
+
+
+def infer_time(c: Column | str) -> Column:
+    """A time in whichever of the known forms a text has: with a time of day, else a date, also Y/m/d and Ymd; null for others."""
+    t = _text(c)
+    return F.coalesce(
+        parse_datetime(t),
+        parse_date(t),
+        F.when(t.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), _ntz(t, "yyyy/M/d")),
+        F.when(t.rlike(r"^\d{8}$"), _ntz(t, "yyyyMMdd")),
+    )
+
+
 def parse_day(c: Column | str) -> Column:
     """The date of a text that may go on with a time: cut at ``T`` or a space; also Y/m/d."""
     t = F.split(_text(c), "[T ]")[0]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions.text import blank_to_null, fingerprint
+from gridmill.operators.windows import ordinals
 
 
 def join_series(series: list[DataFrame], key: str = "ts_local", how: str = "outer") -> DataFrame:
@@ -36,38 +37,46 @@ def selected(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(wanted.select(key), key, "left_semi")
 
 
-def fill_by_fingerprint(targets: DataFrame, sources: DataFrame, columns: list[str], posting: str = "posting", order: str = "row_idx", overwrite: bool = False, allow_unanimous: bool = False) -> DataFrame:
+def fill_by_fingerprint(targets: DataFrame, sources: DataFrame, columns: list[str], posting: str = "posting", order: str = "row_idx", overwrite: bool = False, allow_unanimous: bool = False, bucket: Column | None = None) -> DataFrame:
     """Fills targets' missing posting times from sources with the same values in ``columns``.
 
     A multiset join: the n-th target row still to fill takes the n-th source row from the end; a source
     row is used once, and one whose posting time is blank is used up without filling. A target that has
     a posting time keeps it and uses none. With overwrite all targets are to be filled, but fingerprints
-    of more than one source row are left blank, unless allow_unanimous and all of them agree.
+    of more than one source row are left blank, unless allow_unanimous and all of them agree. A coarse
+    part of the order, if given as a bucket column, keeps a very frequent fingerprint from being one task's.
     """
     key = fingerprint(columns)
-    s = sources.select(key.alias("__f"), F.col(posting).alias("__p"), F.col(order).alias("__o"))
+    part = F.lit(0) if bucket is None else bucket
+    s = sources.select(key.alias("__f"), F.col(posting).alias("__p"), F.col(order).alias("__o"), part.alias("__b"))
     t = targets.withColumn("__f", key)
     if overwrite:
         one = s.groupBy("__f").agg(F.count("*").alias("__n"), F.min("__p").alias("__lo"), F.max("__p").alias("__hi"))
         use = (F.col("__n") == 1) | (F.lit(allow_unanimous) & F.col("__lo").eqNullSafe(F.col("__hi")))
         return t.join(one.where(use).select("__f", F.col("__lo").alias("__new")), "__f", "left").withColumn(posting, blank_to_null("__new")).drop("__f", "__new")
     need = blank_to_null(posting).isNull()
-    t = t.withColumn("__need", need).withColumn("__k", F.when(F.col("__need"), F.row_number().over(Window.partitionBy("__f", "__need").orderBy(order))))
-    s = s.withColumn("__k", F.row_number().over(Window.partitionBy("__f").orderBy(F.desc("__o")))).drop("__o")
+    t = t.withColumn("__need", need).withColumn("__b", part)
+    t = ordinals(t, ["__f", "__need"], "__b", [F.col(order)], "__k").withColumn("__k", F.when(F.col("__need"), F.col("__k"))).drop("__b")
+    s = ordinals(s, ["__f"], "__b", [F.desc("__o")], "__k", descending=True).drop("__o", "__b")
     return t.join(s, ["__f", "__k"], "left").withColumn(posting, F.when(F.col("__need"), blank_to_null("__p")).otherwise(F.col(posting))).drop("__f", "__k", "__need", "__p")
 
 
+def collisions(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Values of the columns that more than one row has, and how many: fingerprints that don't tell rows apart."""
+    key = fingerprint(columns)
+    held = rows.groupBy(key.alias("__f")).agg(F.count("*").alias("n")).where("n > 1")
+    return held.select(*[F.col("__f")[f"f{i}"].alias(c) for i, c in enumerate(columns)], "n")
+
+
 def fill_by_position(rows: DataFrame, docs: DataFrame, month: str = "month", row_idx: str = "row_idx") -> DataFrame:
     """Gives each row of a month the document it lies in; docs: month, doc_id, row_start, row_end (see windows.offsets).
 
-    Rows are matched by month and by blocks of row numbers, not by comparing all of a month's rows with all its documents.
+    A document is spread to its row numbers once, so that rows meet it by equal keys.
     """
-    block = 4096
-    spread = docs.where("row_end > row_start").select(F.col(month).alias("__m"), F.col("doc_id").alias("__doc"), "row_start", "row_end").withColumn("__b", F.explode(F.sequence(F.floor(F.col("row_start") / block), F.floor((F.col("row_end") - 1) / block))))
-    at = rows.withColumn("__b", F.floor(F.col(row_idx) / block))
-    spread = spread.withColumnsRenamed({"__b": "__block", "row_start": "__from", "row_end": "__to"})
-    hit = (F.col(month) == F.col("__m")) & (F.col("__b") == F.col("__block")) & (F.col(row_idx) >= F.col("__from")) & (F.col(row_idx) < F.col("__to"))
-    return at.join(spread, hit, "left").select(*rows.columns, F.col("__doc").alias("doc_id"))
+    numbers = F.explode(F.sequence("row_start", F.col("row_end") - 1))
+    spread = docs.where("row_end > row_start").select(F.col(month).alias("__m"), F.col("doc_id").alias("__doc"), numbers.alias("__at"))
+    at = (F.col(month) == F.col("__m")) & (F.col(row_idx) == F.col("__at"))
+    return rows.join(spread, at, "left").select(*rows.columns, F.col("__doc").alias("doc_id"))
 
 
 def renamed_ids(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:

@@ -60,3 +60,9 @@ def row_counts(raw: DataFrame, clean: DataFrame, *keys: str) -> DataFrame:
 
 def null_times(df: DataFrame, time: str) -> Column:
     return F.count(F.when(F.col(time).isNull(), 1))
+
+
+def cache_issues(lines: DataFrame) -> DataFrame:
+    """file, row_idx, value of JSONL cache lines (file, line_no, line) whose posting time is there but can't be parsed; bare documents and {page, doc} lines alike."""
+    posting = F.coalesce(F.get_json_object("line", "$.doc.postDatetime"), F.get_json_object("line", "$.postDatetime"))
+    return unparsed_postings(lines.select("file", F.col("line_no").alias("row_idx"), posting.alias("value")), "value", "file", "row_idx").withColumnRenamed("posting", "value")

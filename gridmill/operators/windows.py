@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,29 @@ def streaks(df: DataFrame, failed: str, keys: list[str], order: list[str]) -> Da
     run = df.withColumn("__run", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(*keys, "__run").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
     return run.withColumn("streak", F.sum(F.col(failed).cast("int")).over(inside)).drop("__run")
+
+
+def ordinals(df: DataFrame, keys: list[str], bucket: str, order: list[Column], name: str, descending: bool = False) -> DataFrame:
+    """Numbers the rows of each key from 1, by bucket (never null) and then by order.
+
+    Rows are numbered within key and bucket; the counts of the buckets before, one row each, are added.
+    A key of very many rows is so numbered by as many tasks as it has buckets.
+    """
+    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("__held"))
+    before = Window.partitionBy(*keys).orderBy(F.desc(bucket) if descending else F.asc(bucket)).rowsBetween(Window.unboundedPreceding, 0)
+    starts = sizes.withColumn("__before", F.sum("__held").over(before) - F.col("__held")).drop("__held")
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    return df.join(starts, [*keys, bucket]).withColumn(name, F.row_number().over(inside) + F.col("__before")).drop("__before")
+
+
+def tally(df: DataFrame, status: str = "status") -> DataFrame:
+    """How many rows have each status."""
+    return df.groupBy(status).agg(F.count("*").alias("n"))
+
+
+def progress_rows(df: DataFrame, every: int, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows worth a log line: a key's first, its last and every n-th."""
+    w = Window.partitionBy(*keys).orderBy(*_order(order))
+    all_ = Window.partitionBy(*keys)
+    n = F.row_number().over(w)
+    return df.withColumn("__i", n).withColumn("__n", F.count("*").over(all_)).where((F.col("__i") == 1) | (F.col("__i") == F.col("__n")) | (F.col("__i") % every == 0)).withColumnRenamed("__i", "place").drop("__n")

@@ -53,3 +53,8 @@ def with_total(df: DataFrame, key: str, *sums: str) -> DataFrame:
     """A last row of sums, whose key is 'TOTAL'."""
     total = df.agg(F.lit("TOTAL").alias(key), *[F.sum(c).alias(c) for c in sums])
     return df.select(key, *sums).unionByName(total)
+
+
+def with_tiers(found: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Adds the tier of each dataset (a fixed table of a few rows); none for one that is in none."""
+    return found.join(F.broadcast(tiers.select("dataset_id", "tier")), "dataset_id", "left")

@@ -75,8 +75,8 @@ def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ALIASES.items()), "old_id string, new_id string")
 
 
-def resolve_ids(profile_names: list[str] = (), ids: list[str] = ()) -> list[str]:
-    """Ids of the profiles, then the explicit ones, trimmed, upper-cased, with old ids replaced, each once, in order.
+def resolve_ids(profile_names: list[str] = (), ids: list[str] = (), exclude: list[str] = ()) -> list[str]:
+    """Ids of the profiles, then the explicit ones, trimmed, upper-cased, with old ids replaced, each once, in order; excluded ones are left out.
 
     Without either, the default profile; an unknown profile is an error, an id outside the catalog is not.
     """
@@ -85,4 +85,9 @@ def resolve_ids(profile_names: list[str] = (), ids: list[str] = ()) -> list[str]
             raise ValueError(f"unknown profile {p!r}; there are {', '.join(sorted(PROFILES))}")
     names = list(profile_names) or ([] if ids else [DEFAULT_PROFILE])
     wanted = [d for p in names for d in PROFILES[p]] + [i.strip().upper() for i in ids if i.strip()]
-    return list(dict.fromkeys(ALIASES.get(i, i) for i in wanted))
+    out = {ALIASES.get(e.strip().upper(), e.strip().upper()) for e in exclude}
+    return [d for d in dict.fromkeys(ALIASES.get(i, i) for i in wanted) if d not in out]
+
+
+def tiers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, i, d) for t, ids in TIERS.items() for i, d in enumerate(ids)], "tier string, position int, dataset_id string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: UTC, so that truncating local times never meets a zone change; partitions are replaced one by one on overwrite.
@@ -15,3 +18,21 @@ CONF = {
 
 def session(app: str = "gridmill", **more: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=CONF | more).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path for a job's own files, under the folder that driver and executors share (spark.checkpoint.dir); Hadoop deletes it when the driver's JVM ends.
+
+    Where that setting is missing and all run on one machine, as in tests, a local folder stands for it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gridmill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = f"{root.rstrip('/')}/gridmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
+    return path

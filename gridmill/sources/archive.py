@@ -12,9 +12,14 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridmill.functions.text import json_doc_id
+from gridmill.functions.timeparse import parse_iso
+
 KEYS = ["archives", "items", "documents", "data", "products"]
 
 
@@ -64,5 +69,30 @@ class ArchivePages(DataSource):
         return Reader(self.options)
 
 
+def archive_pages(spark: SparkSession, path: str, first_page: int = 1, last_page: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The same rows as the data source's, read through Spark's own file readers, so from any store that Spark reads.
+
+    first_page is where an earlier listing left off (see states); start and end bound the posting times, both included.
+    """
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"page-(\d+)\.json$", 1).cast("int")
+    pages = spark.read.option("pathGlobFilter", "page-*.json").text(path, wholetext=True).select(number.alias("page"), "value").where(F.col("page") >= first_page)
+    if last_page is not None:
+        pages = pages.where(F.col("page") <= last_page)
+
+    @F.pandas_udf("array<string>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [json.dumps(d, ensure_ascii=False) for d in rows_of(json.loads(t))])
+
+    rows = pages.select("page", F.posexplode(listed("value")).alias("position", "doc"))
+    get = lambda k: F.get_json_object("doc", f"$.{k}")
+    out = rows.select("page", "position", json_doc_id("doc").alias("doc_id"), get("postDatetime").alias("posting"), F.coalesce(get("constructedName"), get("friendlyName")).alias("name"), "doc")
+    at = parse_iso("posting")
+    if start:
+        out = out.where(at >= F.lit(start).cast("timestamp_ntz"))
+    if end:
+        out = out.where(at <= F.lit(end).cast("timestamp_ntz"))
+    return out
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchivePages)

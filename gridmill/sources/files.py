@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmill.functions.text import blank_to_null, doc_id_of, event_fields, json_doc_id, posting_column
+from gridmill.functions.text import blank_to_null, clean_header, csv_cells, doc_id_of, event_fields, file_link, json_doc_id, posting_column
 from gridmill.functions.timeparse import month_of_path, parse_iso
 
 #: Monthly files are <id>_YYYYMM.csv; documents beside them are <name>__<doc id>.csv or .zip.
@@ -36,42 +39,116 @@ def monthly_files(spark: SparkSession, root: str, dataset_id: str | None = None)
     return listed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"), name.alias("dataset_id"), month_of_path("path").alias("month")).where(~F.col("dataset_id").contains("__"))
 
 
-def numbered_rows(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """file, row_idx (from 0, in file order) and text of every line but the header, and the header.
+def file_of() -> Column:
+    """The path of the file a row was read from, as it is named: Spark's own column has it encoded for URLs."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
 
-    Row order is data here, so each file is one record and its lines are numbered as it is read. Lines of CSV
-    records with line breaks inside quotes aren't supported; market files have none.
+def lines_of(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """file, line_no (from 0, in file order), line and header (the file's first line) of every line of text files.
+
+    Files are read in splits by as many tasks as they need. Within a split lines come in order; a split's
+    first line number is the count of the lines before it, from one small aggregate of a row a split.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("lines"))
-    lines = whole.select("file", F.element_at("lines", 1).alias("header"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_idx", "line"))
-    return lines.where(F.trim("line") != "")
+    read = reader.text(paths).select(file_of().alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = read.groupBy("file", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"), F.min_by("value", "__id").alias("__line"))
+    before = Window.partitionBy("file").orderBy("__split")
+    starts = splits.withColumn("__start", F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).withColumn("header", F.first("__line").over(before))
+    clean = lambda c: F.regexp_replace(c, "^\ufeff", "")
+    number = (F.col("__id") - F.col("__first") + F.col("__start")).alias("line_no")
+    line = F.when(number == 0, clean(F.col("value"))).otherwise(F.col("value"))
+    return read.join(starts.drop("__n", "__line"), ["file", "__split"]).select("file", number, line.alias("line"), clean(F.col("header")).alias("header"))
+
+
+def numbered_rows(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """file, header, row_idx (from 0, in file order) and text of every line but the header and blank ones.
+
+    Row order is data here. Lines of CSV records with line breaks inside quotes aren't supported; market files have none.
+    """
+    lines = lines_of(spark, paths, glob).where((F.col("line_no") > 0) & (F.trim("line") != ""))
+    return lines.select("file", "header", (F.col("line_no") - 1).alias("row_idx"), "line")
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """A file's first line, without a byte order mark, read through Hadoop; no more than a buffer of the file is fetched."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
+    try:
+        return (reader.readLine() or "").lstrip("\ufeff")
+    finally:
+        reader.close()
 
 
-def read_monthly(spark: SparkSession, root: str, dataset_id: str, schema: T.StructType | str | None = None, columns: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """All monthly files of a dataset as text columns (or by the schema given), with dataset file and month; no file is an error.
+def read_monthly(spark: SparkSession, root: str, dataset_id: str, schema: T.StructType | str | None = None, columns: list[str] | None = None, start: str | None = None, end: str | None = None, origin: bool = False) -> DataFrame:
+    """All monthly files of a dataset as text columns (or by the schema given); no file is an error.
 
     Per-document files in the same folders are left out. Columns not asked for are pruned by the reader.
+    origin adds source_file and source_month.
     """
     files = monthly_files(spark, root, dataset_id).where(in_window(F.col("month"), start, end))
     paths = [r.path for r in files.select("path").orderBy("path").collect()]  # names of files, not rows
     if not paths:
         raise FileNotFoundError(f"no monthly file of {dataset_id} under {root}")
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).option("mode", "PERMISSIVE")
+
+    def read(shape: T.StructType | str, chosen: list[str]) -> DataFrame:
+        df = reader.schema(shape).csv(chosen)
+        if not origin:
+            return df
+        return df.select("*", file_of().alias("source_file"), month_of_path(file_of()).alias("source_month"))
+
     if schema is not None:
-        df = reader.schema(schema).csv(paths)
-    else:  # headers may differ by month: the union of all, by name
-        headers: dict[tuple[str, ...], list[str]] = {}
-        for r in spark.read.text(paths).select(F.col("_metadata.file_path").alias("p"), F.col("value"), F.col("_metadata.file_block_start").alias("b")).where("b = 0").groupBy("p").agg(F.first("value").alias("h")).collect():
-            headers.setdefault(tuple(c.strip().strip('"') for c in (r.h or "").lstrip("﻿").split(",")), []).append(r.p)
-        frames = [reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in h])).csv(sorted(p)) for h, p in sorted(headers.items(), key=lambda x: min(x[1]))]
+        df = read(schema, paths)
+    else:  # headers may differ by month: the union of all, by name. Only first lines are read for them.
+        with ThreadPoolExecutor(8) as pool:
+            heads = list(pool.map(lambda p: first_line(spark, p), paths))
+        alike: dict[tuple[str, ...], list[str]] = {}
+        for h, p in zip(heads, paths, strict=True):
+            alike.setdefault(tuple(c.strip() for c in next(csv.reader([h]), [])), []).append(p)
+        frames = [read(T.StructType([T.StructField(c, T.StringType()) for c in h]), p) for h, p in alike.items()]
         df = frames[0]
         for f in frames[1:]:
             df = df.unionByName(f, allowMissingColumns=True)
-    kept = df.select(*(columns or df.columns), F.col("_metadata.file_path").alias("__file")) if schema is not None else df.select(*(columns or df.columns))
-    return kept.drop("__file")
+    extra = ["source_file", "source_month"] if origin else []
+    named = [c for c in df.columns if c not in extra]
+    return df.select(*[f"`{c}`" for c in columns or named], *extra)
+
+
+def monthly_rows(spark: SparkSession, root: str, dataset_id: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, list[str]]:
+    """month (text YYYYMM), row_idx, posting and the other columns (as text) of a dataset's monthly files, and these columns' names."""
+    files = monthly_files(spark, root, dataset_id).where(in_window(F.col("month"), start, end))
+    paths = [r.path for r in files.select("path").orderBy("path").collect()]  # names of files, not rows
+    if not paths:
+        raise FileNotFoundError(f"no monthly file of {dataset_id} under {root}")
+    lines = numbered_rows(spark, paths).withColumn("__h", F.transform(csv_cells("header"), lambda x: F.trim(x))).withColumn("__v", csv_cells("line"))
+    heads = [r.h for r in lines.groupBy(F.col("__h").alias("h")).agg(F.min("file").alias("f")).orderBy("f").collect()]  # headers, a row for each kind
+    columns = list(dict.fromkeys(c for h in heads for c in clean_header(h)))
+    # By position in the row's own header; a repeated name keeps its first column.
+    cell = lambda name: F.get("__v", F.array_position("__h", name).cast("int") - 1)
+    at = F.lit(None).cast("string")
+    for h in reversed(heads):
+        if name := posting_column(h):
+            at = F.when(F.col("__h") == F.array(*map(F.lit, h)), cell(name)).otherwise(at)
+    month = F.regexp_extract("file", r"_(\d{6})\.csv$", 1).alias("month")
+    return lines.select(month, "row_idx", F.coalesce(at, F.lit("")).alias("posting"), *[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns]), columns
+
+
+def month_documents(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
+    """month (text YYYYMM, by folder), doc_id, doc_position (in order of path), row_idx and columns of the documents' rows beside monthly files."""
+    docs = documents(spark, root).withColumn("month", F.concat(F.regexp_extract("path", r"/(\d{4})/(\d{2})/[^/]*$", 1), F.regexp_extract("path", r"/(\d{4})/(\d{2})/[^/]*$", 2)))
+    place = F.row_number().over(Window.partitionBy("month").orderBy("path", "doc_id")) - 1
+    placed = docs.select("path", "doc_id", "month").distinct().withColumn("doc_position", place)
+    rows = document_rows(docs).join(placed, ["path", "doc_id", "month"])
+    return rows.select("month", "doc_id", "doc_position", "row_idx", *[F.coalesce(F.try_element_at("values", F.lit(c)), F.lit("")).alias(c) for c in columns])
+
+
+def dataset_ids(spark: SparkSession, root: str) -> DataFrame:
+    """dataset_id of the folders that hold monthly files, each once."""
+    return monthly_files(spark, root).select("dataset_id").distinct()
 
 
 def tables_by_stem(spark: SparkSession, root: str, prefix: str = "") -> dict[str, DataFrame]:
@@ -111,6 +188,18 @@ def csv_text(name: str, raw: bytes) -> str | None:
     return None if chosen is None else decode(chosen)
 
 
+def any_file(spark: SparkSession, root: str, glob: str) -> bool:
+    """Whether any file under root has a name of this form."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path")
+    return bool(found.head(1))
+
+
+def document_paths(spark: SparkSession, root: str, glob: str = "*__*") -> DataFrame:
+    """path, doc_id of per-document files, unopened; sidecars are left out."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return listed.select("path", doc_id_of("path").alias("doc_id")).where(F.col("doc_id").isNotNull())
+
+
 def documents(spark: SparkSession, root: str, glob: str = "*__*") -> DataFrame:
     """path, doc_id, text of per-document files; sidecars are left out. ZIPs have no Spark codec, so files are opened in tasks."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -148,30 +237,40 @@ def document_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.regexp_replace(F.col(text), "^﻿", "")
     usable = docs.where(~F.ltrim(body).rlike(r"^[{\[]"))
     lines = usable.withColumn("__l", F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != "")).where(F.size("__l") > 1)
-    cells = lambda line: F.transform(F.split(line, ","), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
-    rows = lines.withColumn("__h", cells(F.element_at("__l", 1))).select(*[c for c in docs.columns if c != text], "__h", F.posexplode(F.slice("__l", 2, F.size("__l") - 1)).alias("row_idx", "__row"))
+    rows = lines.withColumn("__h", csv_cells(F.element_at("__l", 1))).select(*[c for c in docs.columns if c != text], "__h", F.posexplode(F.slice("__l", 2, F.size("__l") - 1)).alias("row_idx", "__row"))
     # A repeated header name keeps its first column.
-    pairs = F.filter(F.arrays_zip(F.col("__h").alias("k"), cells(F.col("__row")).alias("v")), lambda x: (x["k"] != "") & x["k"].isNotNull())
+    pairs = F.filter(F.arrays_zip(F.col("__h").alias("k"), csv_cells(F.col("__row")).alias("v")), lambda x: (x["k"] != "") & x["k"].isNotNull())
     seen = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
     return rows.withColumn("__p", pairs).withColumn("values", F.map_from_arrays(seen, F.transform(seen, lambda k: F.filter("__p", lambda x: x["k"] == k)[0]["v"]))).drop("__h", "__row", "__p")
 
 
 def listing_cache(spark: SparkSession, path: str) -> DataFrame:
     """page, doc (JSON text), doc_id, posting, row_idx of a JSONL cache of {page, doc} lines or bare documents; bad lines are left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "line"))
+    lines = lines_of(spark, path).select("file", F.col("line_no").alias("row_idx"), "line")
     inner = F.get_json_object("line", "$.doc")
     held = lines.where(F.get_json_object("line", "$").isNotNull()).withColumn("doc", F.coalesce(inner, F.col("line"))).withColumn("page", F.get_json_object("line", "$.page").try_cast("int"))
     return held.select("file", "row_idx", "page", "doc", json_doc_id("doc").alias("doc_id"), blank_to_null(F.get_json_object("doc", "$.postDatetime")).alias("posting")).where(F.col("doc_id").isNotNull())
 
 
+def last_page(cache: DataFrame) -> DataFrame:
+    """file, page: the highest page each listing cache holds; 0 where no line names one."""
+    return cache.groupBy("file").agg(F.coalesce(F.max("page"), F.lit(0)).alias("page"))
+
+
 def first_postings(cache: DataFrame) -> DataFrame:
     """doc_id and its first posting time that isn't blank."""
     return cache.where(F.col("posting").isNotNull()).groupBy("doc_id").agg(F.min_by("posting", F.struct("file", "row_idx")).alias("posting"))
 
 
+_ENTRY = "dataset_id string, doc_id string, postDateTime string, post_datetime string, filename string, size string"
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, posting, dataset_id of a JSON array."""
-    df = spark.read.option("multiLine", True).schema("dataset_id string, doc_id string, postDateTime string, post_datetime string, filename string, size string").json(path)
+    """dataset_id, doc_id, posting, filename, bytes of manifests: JSON arrays (one a file), and JSON lines as write_manifest writes them (part files)."""
+    part = F.col("_metadata.file_name").startswith("part-")
+    whole = spark.read.option("multiLine", True).schema(_ENTRY).json(path).where(~part)
+    lines = spark.read.schema(_ENTRY).json(path).where(part)
+    df = whole.unionByName(lines)
     return df.select("dataset_id", "doc_id", F.coalesce(blank_to_null("postDateTime"), blank_to_null("post_datetime")).alias("posting"), "filename", F.col("size").try_cast("bigint").alias("bytes")).where(blank_to_null("doc_id").isNotNull())
 
 
@@ -181,13 +280,12 @@ def markers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "line"))
+    return lines_of(spark, path).select("file", F.col("line_no").alias("row_idx"), "line")
 
 
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """One row a state file, those that aren't JSON with nulls: file, status, last page, index, times and the failure."""
-    df = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("dataset_id"), "value")
+    df = spark.read.text(path, wholetext=True).select(F.regexp_extract(file_of(), r"([^/]+)\.json$", 1).alias("dataset_id"), "value")
     get = lambda k: F.get_json_object("value", f"$.{k}")
     return df.select("dataset_id", get("status").alias("status"), get("last_page").try_cast("int").alias("last_page"), get("next_doc_index").try_cast("int").alias("next_doc_index"), get("total_docs").try_cast("int").alias("total_docs"), parse_iso(get("updated_at")).alias("updated_at"), get("failure").alias("failure"))
 
@@ -201,11 +299,32 @@ def run_events(spark: SparkSession, path: str, event: str = "DAY_COMPLETE") -> D
     return f.select(F.regexp_extract("file", "([^/]+)$", 1).alias("run"), "row_idx", get("dataset").alias("dataset_id"), get("date").try_cast("date").alias("day"), get("files").try_cast("int").alias("files"), parse_iso(get("completed_at")).alias("completed_at")).where("completed_at is not null and dataset_id is not null")
 
 
+def objects_in(payload: object, preferred: list[str]) -> list[dict]:
+    """The first list that holds objects: the payload itself, a preferred key's value, else depth first in the order of keys."""
+    if isinstance(payload, list):
+        return [x for x in payload if isinstance(x, dict)]
+    if not isinstance(payload, dict):
+        return []
+    for k in [*[k for k in preferred if k in payload], *[k for k in payload if k not in preferred]]:
+        if found := objects_in(payload[k], preferred):
+            return found
+    return []
+
+
 def payload_rows(payloads: DataFrame, column: str, preferred: list[str]) -> DataFrame:
-    """Rows (JSON text) of JSON payloads: the payload if it is a list, else the first preferred key that holds one."""
-    lists = [F.from_json(F.get_json_object(column, f"$.{k}"), "array<string>") for k in preferred]
-    own = F.when(F.ltrim(F.col(column)).startswith("["), F.from_json(column, "array<string>"))
-    return payloads.select("*", F.posexplode(F.coalesce(own, *lists)).alias("position", "row")).where(F.col("row").startswith("{"))
+    """position and row (JSON text) of the objects in JSON payloads of any shape; text that isn't JSON has none."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        def rows(text: str | None) -> list[str]:
+            try:
+                return [json.dumps(x, ensure_ascii=False) for x in objects_in(json.loads(text), preferred)] if text else []
+            except ValueError:
+                return []
+
+        return texts.map(rows)
+
+    return payloads.select("*", F.posexplode(found(column)).alias("position", "row"))
 
 
 def links(pages: DataFrame, html: str, base: str | None = None) -> DataFrame:
@@ -219,6 +338,17 @@ def links(pages: DataFrame, html: str, base: str | None = None) -> DataFrame:
     return out
 
 
+def follow(found: DataFrame, pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """href of data files on pages (url, html) and on the pages these link to, one level down, each once.
+
+    found: links (with href) of the first pages. A link to a page that pages holds is followed; all others are left.
+    """
+    nearer = found.select("href").distinct()
+    onward = pages.select(url, html).join(nearer.withColumnRenamed("href", url), url, "left_semi").select(F.col(url).alias("__at"), html)
+    further = links(onward, html, "__at").select("href")
+    return nearer.unionByName(further).where(file_link("href")).distinct()
+
+
 def filter_links(found: DataFrame, keywords: list[str], first_year: int | None = None, last_year: int | None = None) -> DataFrame:
     """Links with any of the keywords (in any case) whose year, if they name one, is in range."""
     low = F.lower("href")
@@ -234,3 +364,46 @@ def posting_of(columns: list[str]) -> Column:
     """The posting-time text under whichever name a table has it; null without one."""
     name = posting_column(columns)
     return blank_to_null(f"`{name}`") if name else F.lit(None).cast("string")
+
+
+def month_span(files: DataFrame) -> DataFrame:
+    """dataset_id, first_second and last_second: the window of postings that its monthly files (dataset_id, month) ask for."""
+    return files.groupBy("dataset_id").agg(F.date_format(F.min("month"), "yyyy-MM-dd'T'00:00:00").alias("first_second"), F.date_format(F.last_day(F.max("month")), "yyyy-MM-dd'T'23:59:59").alias("last_second"))
+
+
+def listed_within(cache: DataFrame, spans: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """Listed documents whose posting lies in their dataset's span; the first posting of each document counts."""
+    at, edge = parse_iso("posting"), lambda c: parse_iso(c)
+    return cache.join(spans, key).where((at >= edge("first_second")) & (at <= edge("last_second"))).drop("first_second", "last_second")
+
+
+def has_documents(cache: DataFrame, start: str, end: str, *keys: str) -> DataFrame:
+    """Which keys have any document posted from start to end (both included): one row a key, existing or not."""
+    at = parse_iso("posting")
+    inside = F.coalesce(at.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")), F.lit(False))
+    return cache.groupBy(*keys).agg(F.max(inside).alias("exists"))
+
+
+def to_fetch(listed: DataFrame, have: DataFrame, name: str = "filename", size: str = "bytes") -> DataFrame:
+    """Listed files that aren't there yet: one of that name counts if its size is the listed one, or none (or below 0) is listed."""
+    h = have.select(F.col(name).alias("__n"), F.col(size).alias("__s"))
+    same = (F.col(name) == F.col("__n")) & (F.col(size).isNull() | (F.col(size) < 0) | (F.col(size) == F.col("__s")))
+    return listed.join(h, same, "left_anti")
+
+
+def earliest(cache: DataFrame, *keys: str) -> DataFrame:
+    """The first day of each key's documents, with its year and month, from what is listed rather than by probing a service."""
+    day = F.min(parse_iso("posting").cast("date"))
+    return cache.groupBy(*keys).agg(day.alias("first_day")).where("first_day is not null").select(*keys, F.year("first_day").alias("year"), F.month("first_day").alias("month"), "first_day")
+
+
+def newest_run(runs: DataFrame, run: str = "run") -> DataFrame:
+    """The rows of the run whose name comes last."""
+    last = runs.agg(F.max(run).alias("__last"))
+    return runs.join(F.broadcast(last), F.col(run) == F.col("__last"), "left_semi")
+
+
+def edges(lines: DataFrame, n: int = 40, last: bool = False) -> DataFrame:
+    """The first (or last) n lines of each file, in order of row_idx."""
+    w = Window.partitionBy("file").orderBy(F.desc("row_idx") if last else F.asc("row_idx"))
+    return lines.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

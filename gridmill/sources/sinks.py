@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.functions.text import event_line
+from gridmill.functions.text import blank_to_null, clean_header, event_line, posting_column
 from gridmill.functions.timeparse import parse_iso
+from gridmill.registry import POSTING_NAMES
 
 UNDATED = "undated"
 
@@ -27,6 +30,11 @@ def replace_partitions(df: DataFrame, path: str, by: list[str] = ("dataset_id",
     df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_documents(rows: DataFrame, path: str, known: DataFrame | None, posting: str = "posting") -> DataFrame:
     """Appends rows (dataset_id, doc_id, posting, ...) of documents that the table doesn't hold yet; returns what it wrote.
 
@@ -38,13 +46,29 @@ def append_documents(rows: DataFrame, path: str, known: DataFrame | None, postin
     return out
 
 
+def reconciled(rows: DataFrame, header: list[str], posting_value: Column | None = None) -> DataFrame:
+    """Rows under a table's header: its posting column under whichever alias each side has, its other columns by name.
+
+    Columns that only the rows have come behind; those they lack, and a posting time that they lack, are
+    blank. posting_value (a document's own posting time) fills rows that have none.
+    """
+    theirs, mine = posting_column(header), posting_column(rows.columns)
+    name = theirs or mine or POSTING_NAMES[0]
+    at = blank_to_null(f"`{mine}`") if mine else F.lit(None).cast("string")
+    filled = F.coalesce(at, blank_to_null(posting_value)) if posting_value is not None else at
+    have = {c.strip(): c for c in reversed(rows.columns)}
+    ordered = list(dict.fromkeys([*clean_header(header), *clean_header(rows.columns)]))
+    cell = lambda c: F.coalesce(F.col(f"`{have[c]}`").cast("string"), F.lit("")) if c in have else F.lit("")
+    return rows.select(F.coalesce(filled, F.lit("")).alias(name), *[cell(c).alias(c) for c in ordered])
+
+
 def with_posting_column(df: DataFrame, name: str = "postDateTime") -> DataFrame:
     """The table with a posting-time column first, blank where it had none."""
     return df if name in df.columns else df.select(F.lit("").alias(name), *[f"`{c}`" for c in df.columns])
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """JSON lines, appended: earlier runs' entries stay, since lookups read them."""
+    """JSON lines in part files, appended: earlier runs' entries stay, since lookups read them. files.manifest reads them back."""
     df.write.mode("append").json(path)
 
 
@@ -85,3 +109,61 @@ def safe_members(names: DataFrame, name: str = "name") -> DataFrame:
     """Archive members that stay inside the folder they are extracted to."""
     n = F.regexp_replace(name, r"\\", "/")
     return names.where(~n.rlike(r"^(/|[A-Za-z]:)") & ~n.rlike(r"(^|/)\.\.(/|$)"))
+
+
+def document_files(docs: DataFrame, path: str) -> None:
+    """Writes each document's CSV text (dataset_id, month, doc_id, text) under its folder, as text of one partition a document's month."""
+    docs.select("dataset_id", "month", "doc_id", F.col("text").alias("value")).write.mode("append").partitionBy("dataset_id", "month", "doc_id").text(path)
+
+
+def json_report(df: DataFrame) -> DataFrame:
+    """A table's rows as JSON lines (value), nulls included."""
+    return df.select(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def tab_report(df: DataFrame) -> DataFrame:
+    """A table's rows as lines (value) of values between tabs; nulls are blank, tabs and line breaks in values become spaces."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[\t\r\n]", " ")
+    return df.select(F.concat_ws("\t", *[cell(c) for c in df.columns]).alias("value"))
+
+
+def sort_cache(found: DataFrame) -> DataFrame:
+    """What a sort found of each file (file, n_rows, strategy, order, status, modified_at), as the rows that a later sort looks up."""
+    return found.select("file", F.col("n_rows").cast("long").alias("n_rows"), "strategy", "order", "status", F.col("modified_at").cast("timestamp_ntz").alias("modified_at"))
+
+
+def still_sorted(files: DataFrame, cache: DataFrame, strategy: str, order: str) -> DataFrame:
+    """Files (file, modified_at) that need no sort: the cache knows them as sorted this way, unchanged since."""
+    good = cache.where((F.col("strategy") == strategy) & (F.col("order") == order) & F.col("status").isin("sorted", "already")).select("file", "modified_at")
+    return files.join(good, ["file", "modified_at"], "left_semi")
+
+
+def export_files(lines: DataFrame, path: str, key: str, order: list[str], name: Callable[[str], str]) -> None:
+    """One text file for each key, of its rows' ``value`` in order, under path/name(key): the layout that other tools read.
+
+    A file is one task's, so this is for files that have to be single; tables are written by partition
+    (write_table). Files are moved to their names when all are written; only names pass through the driver.
+    """
+    spark = lines.sparkSession
+    made = f"{path.rstrip('/')}/_writing"
+    lines.repartition(key).sortWithinPartitions(key, *order).select(key, "value").write.mode("overwrite").partitionBy(key).text(made)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(conf)
+    for status in fs.globStatus(Path(f"{made}/{key}=*/part-*")):
+        held = status.getPath()
+        to = Path(f"{path.rstrip('/')}/{name(held.getParent().getName().split('=', 1)[1])}")
+        fs.mkdirs(to.getParent())
+        fs.rename(held, to)
+    fs.delete(Path(made), True)
+
+
+def export_monthly(df: DataFrame, path: str, dataset_id: str, month: str, order: list[str]) -> None:
+    """Monthly CSV files <id>/<YYYY>/<MM>/<id>_<YYYYMM>.csv of df's columns, quoted as needed; month is text YYYYMM."""
+    columns = [c for c in df.columns if c != month]
+    quoted = lambda c: F.when(c.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = [F.coalesce(quoted(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns]
+    body = df.select(month, F.lit(1).alias("__part"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(order)], F.concat_ws(",", *cells).alias("value"))
+    head = df.select(month).distinct().select(month, F.lit(0).alias("__part"), F.lit(",".join(columns)).alias("value"))
+    lines = head.unionByName(body, allowMissingColumns=True)
+    export_files(lines, path, month, ["__part", *[f"__{i}" for i in range(len(order))]], lambda m: f"{dataset_id}/{m[:4]}/{m[4:]}/{dataset_id}_{m}.csv")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridmill.sources.sinks import UNDATED, month_columns
+from gridmill.sources.sinks import UNDATED, month_columns, path_exists
 
 
 def document_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -32,12 +32,9 @@ def consolidate(stream: DataFrame, table: str, checkpoint: str, posting: str = "
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = month_columns(batch, posting).withColumn("batch", F.lit(batch_id))
-        try:
-            before = spark.read.parquet(table).where(F.col("batch") != batch_id).select("doc_id").distinct()
+        if path_exists(spark, table):
+            before = spark.read.schema("doc_id string, batch long").parquet(table).where(F.col("batch") != batch_id).select("doc_id").distinct()
             rows = rows.join(before, "doc_id", "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "year", "month").parquet(table)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
