@@ -2,13 +2,16 @@
 
 A vector is scaled to length one and rotated at random; the signs are its code. Stored beside the
 packed bits are its length and the code's inner product with the rotated vector, the correction.
-A query's inner product with the code over the correction estimates the true one, with an error that
-stays under ``epsilon * sqrt((1 - c^2) / c^2) / sqrt(dim - 1)`` with high probability. Per block of
-codes a query reranks, on the original vectors in double precision, those whose upper bound reaches
-its k-th best so far.
+A rotated query is rounded to PLANES bits a component and packed by bit planes, so its inner product
+with a code is a sum of bit counts of ANDs. That over the correction estimates the true one, with an
+error that stays under ``epsilon * sqrt((1 - c^2) / c^2) / sqrt(dim - 1)`` with high probability, plus
+the length of what rounding took from the query. Per block of codes a query reranks, on the original
+vectors in double precision, those whose upper bound reaches its k-th best so far; others' vectors
+aren't touched.
 
 Every vector is indexed. Queries are taken in waves of bounded size, each broadcast to one scan of
-the index; a task keeps k results a query and hands them on once, at its end.
+the index; a task keeps k results a query and hands them on once, at its end. Of many waves each few
+are written to the shared folder, so that no plan holds them all.
 
 Defined results: vectors that are null, zero or empty or hold null or non-finite components take no
 part, nor do rows without vec_id or with another dimension than the most frequent one (of equally
@@ -30,6 +33,8 @@ from gridmill.llm.common import materialise, table
 EVERY, K, EPSILON, SEED = 20, 20, 3.0, 7
 #: Numbers in a wave's broadcast matrix; rows of codes met at once; queries met at once.
 WAVE, ROWS, QUERIES = 4 << 20, 4096, 256
+#: Bits of a rounded query's components; waves of which results are written together.
+PLANES, TOGETHER = 6, 16
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -87,20 +92,55 @@ class Best:
         self.ids, self.scores = ids[order], scores[order]
 
 
-def scan(best: list[Best], query_ids: np.ndarray, queries: np.ndarray, turned: np.ndarray, lengths: np.ndarray, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, length: np.ndarray, correction: np.ndarray, epsilon: float) -> None:
+def as_words(packed: np.ndarray) -> np.ndarray:
+    """Packed bits (rows of bytes) as rows of 64-bit words."""
+    wide = -(-packed.shape[1] // 8) * 8
+    out = np.zeros((len(packed), wide), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+class Rounded:
+    """Rotated queries rounded to PLANES bits: low + step * u, with u as bit planes, and the length of what rounding took."""
+
+    def __init__(self, turned: np.ndarray):
+        self.low = turned.min(axis=1)
+        top = (1 << PLANES) - 1
+        self.step = np.maximum(turned.max(axis=1) - self.low, 1e-300) / top
+        u = np.clip(np.rint((turned - self.low[:, None]) / self.step[:, None]), 0, top).astype(np.uint8)
+        self.planes = [as_words(np.packbits((u >> b) & 1, axis=1)) for b in range(PLANES)]
+        near = self.low[:, None] + self.step[:, None] * u
+        self.total = near.sum(axis=1)
+        self.lost = np.linalg.norm(turned - near, axis=1)
+
+    def signed_sums(self, x: slice, codes: np.ndarray) -> np.ndarray:
+        """For queries x and codes (rows of words): the sum of the query's components, each with the code's sign."""
+        held = np.zeros((len(self.low[x]), len(codes)), np.int32)
+        for b, plane in enumerate(self.planes):
+            for w in range(codes.shape[1]):
+                held += np.bitwise_count(plane[x, w][:, None] & codes[:, w]).astype(np.int32) << b
+        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+        return 2 * (self.low[x, None] * ones + self.step[x, None] * held) - self.total[x, None]
+
+
+def scan(best: list[Best], query_ids: np.ndarray, queries: np.ndarray, rounded: Rounded, lengths: np.ndarray, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, length: np.ndarray, correction: np.ndarray, epsilon: float) -> None:
     """Meets one block of codes with all queries."""
     dim = v.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    scale = (length / (np.sqrt(dim) * correction)).astype(np.float32)
-    slack = (length * epsilon * np.sqrt(np.maximum(0, 1 - correction**2)) / correction / np.sqrt(max(1, dim - 1)) + 1e-5 * length).astype(np.float32)
+    words = as_words(codes)
+    scale = length / (np.sqrt(dim) * correction)
+    slack = length * epsilon * np.sqrt(np.maximum(0, 1 - correction**2)) / correction / np.sqrt(max(1, dim - 1)) + 1e-9 * length
     for a in range(0, len(queries), QUERIES):
-        upper = (turned[a : a + QUERIES] @ signs.T) * scale + lengths[a : a + QUERIES, None] * slack
+        x = slice(a, a + QUERIES)
+        # A code is a unit vector, so rounding moves its inner product by no more than the length it took.
+        upper = rounded.signed_sums(x, words) * scale + lengths[x, None] * slack + rounded.lost[x, None] * (length / correction)
         for i, bound in enumerate(upper, a):
             found, k = best[i], best[i].k
+
             def exact(at: np.ndarray, i=i, found=found) -> None:
                 at = at[ids[at] != query_ids[i]]
                 if len(at):
                     found.add(ids[at], np.einsum("ij,j->i", v[at], queries[i]))
+
             if len(found.scores) < k and len(bound) > 2 * k:
                 # The likeliest first, so that most of the rest falls under their k-th.
                 first = np.argpartition(-bound, 2 * k)[: 2 * k]
@@ -118,7 +158,7 @@ def search(index: DataFrame, queries: DataFrame, dim: int, k: int = K, epsilon:
     waves = -(-asked.count() // per_wave)
     asked = materialise(asked.withColumn("wave", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, waves)))), "queries")
     schema = "query_id long, vec_id long, score double"
-    found = None
+    found, written = None, []
     for w in range(waves):
         rows = asked.where(F.col("wave") == w).select("vec_id", "v").toArrow().combine_chunks()
         if not rows.num_rows:
@@ -128,8 +168,8 @@ def search(index: DataFrame, queries: DataFrame, dim: int, k: int = K, epsilon:
         def meet(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             query_ids, q = shared.value
             top = np.abs(q).max(axis=1)
-            lengths = (top * np.linalg.norm(q / top[:, None], axis=1)).astype(np.float32)
-            turned = (q @ rotation(dim, seed)).astype(np.float32)
+            lengths = top * np.linalg.norm(q / top[:, None], axis=1)
+            turned = Rounded(q @ rotation(dim, seed))
             best = [Best(k) for _ in query_ids]
             for batch in batches:
                 for a in range(0, batch.num_rows, ROWS):
@@ -142,6 +182,11 @@ def search(index: DataFrame, queries: DataFrame, dim: int, k: int = K, epsilon:
 
         met = index.mapInArrow(meet, schema)
         found = met if found is None else found.unionByName(met)
+        if waves > TOGETHER and w % TOGETHER == TOGETHER - 1:
+            written.append(materialise(found, "waves"))
+            found = None
+    for part in written:
+        found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # A task's list is bounded by k, so a query's window holds k rows a task at most.

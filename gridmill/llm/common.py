@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +15,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this process only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this process only where that is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediates are written there")
         found = "file://" + tempfile.mkdtemp(prefix="gridmill-")
         spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_remove, spark, found)
     return found.rstrip("/")
 
 
+_own: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; Hadoop deletes it when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/gridmill/{spark.sparkContext.applicationId}"
+    if path not in _own:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _own.add(path)
+    return path
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing, _lock = {}, threading.Lock()
+
 
+class _cleaned:
+    """While writes run, Spark drops the shuffle files that led to what was written; the first one in sets that, the last one out takes it back."""
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        with _lock:
+            n, before = _writing.get(id(self.spark), (0, None))
+            if not n:
+                before = self.spark.conf.get(_CLEANUP, None)
+                self.spark.conf.set(_CLEANUP, "true")
+            _writing[id(self.spark)] = n + 1, before
+
+    def __exit__(self, *_: object) -> None:
+        with _lock:
+            n, before = _writing.pop(id(self.spark))
+            if n > 1:
+                _writing[id(self.spark)] = n - 1, before
+            elif before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -41,23 +77,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a driver-built file of checked size to the shared folder; returns its URI."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridmill/{uuid.uuid4().hex}/{name}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}")
     out = path.getFileSystem(conf).create(path)
     try:
         for i in range(0, len(data), 1 << 20):

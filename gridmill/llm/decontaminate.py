@@ -18,7 +18,10 @@ A-Z lower-cased. A document is contaminated by an item if some stretch of it is
 
 Items go to the tasks in shards of a checked size. Defined results: null and empty texts, and items
 without words, match nothing; a doc_id that is repeated or null is judged row by row, and rows of the
-same (doc_id, item_id) give one result with the smallest distance that was verified. Items with equal words are all named.
+same (doc_id, item_id) give one result with the smallest distance that was verified. Items with equal
+words are all named. Very long texts are scanned whole, a block of words at a time; empty tables of
+documents or items give no rows. Only doc_id, item_id and text are read, so other columns may have any
+names.
 """
 
 from __future__ import annotations

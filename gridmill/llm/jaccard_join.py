@@ -12,10 +12,10 @@ smallest doc_id stands for; only classes are compared.
 2. Links to the bucket's centre: the member whose buckets hold most members altogether, so the one
    with the fewest edits of a group of near copies. They connect nearly all; components follow.
 3. Buckets that still hold several components are cut into blocks of bounded size, and blocks meet in
-   pairs. A first pass names the documents with a partner of another component that the bound below
-   allows; only these come again with their sets, and every pair of them is decided in its tile. A
-   tile hands on at most one link for each time two components of it join, so what leaves it grows
-   with its rows and not with its pairs.
+   pairs. A tile whose pairs of different components that the bound below allows are no more than its
+   rows hands these on, each once over all tiles. Of any other tile only the documents in such pairs
+   come again, with their sets, and all pairs of them are decided in their tile, which hands on a link
+   for each time two of its components join. So what leaves a tile grows with its rows, not its pairs.
 4. Bounds. A set's bitmap has the parity of its shingles by hash; the count of bits in which two
    differ is at most the count of shingles in which they do, which bounds the overlap from above.
    Pairs that pass are intersected as sorted arrays of 64-bit shingle hashes, exactly.
@@ -42,8 +42,10 @@ from gridmill.llm.components import components
 from gridmill.llm.words import U, blocks, grams, mix, signed, utf8, word_hashes
 
 SHINGLE, PERCENT = 3, 90
-#: A band's sizes grow by half; members of a bucket that meet as one block, and the shingles these may have together.
-BAND, BLOCK_ROWS, BLOCK_SHINGLES = 1.5, 1024, 8 << 20
+#: A band's sizes grow by half; members of a bucket that meet as one block.
+BAND, BLOCK_ROWS = 1.5, 1024
+#: Shingles that a block's rows may have together, where they come as bitmaps and where as sets.
+BLOCK_BITS, BLOCK_SHINGLES = 64 << 20, 1 << 20
 #: Bytes of incidence bits that a tile compares at once.
 BITS_AT_ONCE = 16 << 20
 
@@ -261,33 +263,44 @@ def allowed_pairs(rows: pa.Table, maps: np.ndarray, percent: int) -> Iterator[tu
                 yield r[fine] + a, t[fine] + a
 
 
-def dealt_tiles(members: DataFrame, block_rows: int) -> DataFrame:
-    """Members (key, node, label, n, bits, held, mass) once for each tile (key, i, j) of their bucket's blocks."""
-    count = F.ceil(F.greatest(F.col("held") / block_rows, F.col("mass") / BLOCK_SHINGLES)).cast("int")
-    return (
-        members.withColumn("blocks", count)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
-    )
+def dealt_tiles(members: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Members (key, node, label, n, ...) once for each tile (key, i, j) of their bucket's blocks."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("held"), F.sum("n").alias("mass"))
+    count = F.ceil(F.greatest(F.col("held") / block_rows, F.col("mass") / block_shingles)).cast("int")
+    own = members.join(sizes.select("key", count.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n")
 
 
 _TILE = "key long, i int, j int, own int, node long, label long, n long"
 _TILE_COLUMNS = [c.split()[0] for c in _TILE.split(", ")]
 
 
-def with_partners(dealt: DataFrame, percent: int) -> DataFrame:
-    """The tiles' rows that have a partner of another label whose bitmap allows a link; at most those that came."""
+def with_partners(dealt: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Of each tile what its bitmaps leave open; info has (node, bits). Never more rows than the tile has.
+
+    Pairs (node, other) of different labels that may link, if there are no more of them than rows; else
+    (key, node, label, n) of the rows that are in any, with other null.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in tiles_in(batches):
-            some = np.zeros(tile.num_rows, bool)
+            some, left, right, count = np.zeros(tile.num_rows, bool), [], [], 0
             for p, q in allowed_pairs(tile, folded(tile["bits"].to_pylist()), percent):
                 some[p] = some[q] = True
-            if some.any():
-                yield from tile.select(_TILE_COLUMNS).filter(pa.array(some)).combine_chunks().to_batches()
+                count += len(p)
+                if count <= tile.num_rows:
+                    left.append(p)
+                    right.append(q)
+            if count:
+                few = count <= tile.num_rows
+                mine = np.concatenate(left) if few else np.flatnonzero(some)
+                rows = tile.select(["key", "node", "label", "n"]).take(pa.array(mine)).combine_chunks()
+                other = tile["node"].take(pa.array(np.concatenate(right))).combine_chunks() if few else pa.nulls(len(mine), pa.int64())
+                yield from rows.append_column("other", other).combine_chunks().to_batches()
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(look, _TILE)
+    whole = dealt.join(info, "node").select(*_TILE_COLUMNS, "bits")
+    return whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(look, "key long, node long, label long, n long, other long")
 
 
 class Common:
@@ -325,8 +338,8 @@ class Common:
         return self.made[start]
 
 
-def tile_links(partners: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the labels of each tile; partners from with_partners, sets with (node, shingles)."""
+def tile_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the labels of each tile; sets has (node, shingles)."""
 
     def decide(tile: pa.Table) -> tuple[list[int], list[int]]:
         # Rows that repeat a doc_id with another text come with each of its sets; a set's own size counts.
@@ -354,7 +367,7 @@ def tile_links(partners: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    whole = partners.join(sets, "node").select(*_TILE_COLUMNS, "shingles")
+    whole = dealt.join(sets, "node").select(*_TILE_COLUMNS, "shingles")
     return whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "a long, b long")
 
 
@@ -387,13 +400,18 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_
     found = components(verified(materialise(stars, "stars"), stand, docs, shingle, percent).unionByName(ties))
     labelled = materialise(members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label")), "labelled")
     # In a bucket of two the star was the only pair.
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"), F.sum("n").alias("mass")).where("lo < hi and held > 2").select("key", "held", "mass")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo < hi and held > 2").select("key")
     info = stand.select(F.col("doc_id").alias("node"), "bits")
-    partners = materialise(with_partners(dealt_tiles(labelled.join(open_keys, "key").join(info, "node"), block_rows), percent), "partners")
-    if partners.head(1):
-        needed = docs.join(partners.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    still = labelled.join(open_keys, "key", "left_semi")
+    partners = materialise(with_partners(dealt_tiles(still, block_rows, BLOCK_BITS), info, percent), "partners")
+    pairs = partners.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    crowds = partners.where("other is null").drop("other").distinct()
+    more = verified(pairs, stand, docs, shingle, percent)
+    if crowds.head(1):
+        needed = docs.join(crowds.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
         sets = materialise(set_rows(needed, shingle).where("length(shingles) > 0"), "sets").withColumnRenamed("doc_id", "node")
-        found = merged(found, tile_links(partners, sets, percent))
+        more = more.unionByName(tile_links(dealt_tiles(crowds, block_rows, BLOCK_SHINGLES), sets, percent))
+    found = merged(found, more)
     final = found.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     return own.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
 

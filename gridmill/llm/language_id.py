@@ -7,7 +7,9 @@ a block of texts and sums them by text: a sparse product in numpy.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 there is nothing to learn from. Equal scores go to the language that sorts first. held_out is false
-for a null doc_id; such rows are not learned from either.
+for a null doc_id; such rows are not learned from either. Rows that repeat a doc_id are predicted each by
+itself; very long texts are scored whole, a block at a time; an empty table gives no rows. Only doc_id,
+text and lang are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -3,13 +3,21 @@
 Documents become token ids plus an end id, cut into pieces of at most ``capacity`` tokens (the first
 may be shorter). Full pieces are sequences of their own. The other pieces are dealt to partitions of
 bounded size, each packed by best-fit decreasing; dual-feasible functions give a lower bound of its
-bins. A partition at its bound is certified and keeps its bins. Of the others, the emptiest bins'
-pieces (a bounded number) are exchanged: eight partitions' are packed again together, and the new
-bins replace the old ones only if they are fewer. That repeats over ever larger unions until one is
-left. Pieces move as rows of lengths, never as texts.
+bins. A partition at its bound is certified: no packing of its pieces has fewer bins, and it keeps
+them. Partitions with a gap exchange their pieces: eight of them are packed again together, the new
+bins replace the old ones if they are fewer, and a union at its bound is certified. One that is not is
+cut into eight again, whole bins each, and the next exchange is between other eight, until each has met
+all others. The emptiest bin of each certified group, one in many thousands, is packed again with those
+of the others at the end. Pieces move as rows of lengths, never as texts; no exchange takes more than
+eight partitions' pieces.
+
+With each piece come ``bins`` and ``lower_bound`` of the group that its sequence was packed in: where
+they are equal the group is packed in as few sequences as can be (1 and 1 for a full piece).
 
 Defined results: a null text is empty and packs as its end id alone; rows that repeat a doc_id, or
-have none, are packed as documents of their own; an empty table gives no rows.
+have none, are packed as documents of their own; an empty table gives no rows; very long texts, and
+very long runs of blanks in them, are encoded whole. Only doc_id and text are read, so other columns
+may have any names. Which of equally good packings is chosen is not defined.
 """
 
 from __future__ import annotations
@@ -32,8 +40,8 @@ from gridmill.llm.common import docs_of, materialise, table
 from gridmill.llm.token_counts import byte_symbols
 
 TOKENIZER, CAPACITY, END_ID = "byte_bpe_50k.json", 2048, 0
-#: Pieces packed together, pieces that a partition gives to an exchange, and partitions in an exchange.
-PIECES, EXCHANGED, UNION = 100_000, 20_000, 8
+#: Pieces packed together, and partitions in an exchange.
+PIECES, UNION = 100_000, 8
 
 
 class Encoder:
@@ -137,56 +145,76 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 _COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"{_COLUMNS}, part long, bin long, offset long, settled boolean"
+_PACKED = f"{_COLUMNS}, part long, bin long, offset long, bins long, lower_bound long, state int"
+#: A piece's bin is for good, goes to the next exchange, or is its group's emptiest, which is packed again with those of others.
+SETTLED, OPEN, TAIL = 0, 1, 2
 
 
-def _settle(rows: pd.DataFrame, bins: np.ndarray, offsets: np.ndarray, capacity: int, last: bool) -> pd.DataFrame:
-    """Marks the bins that stay: all of them where the bound is met and nothing can be joined; else all but the emptiest."""
-    fill = np.bincount(bins, rows["length"].to_numpy())
-    held = np.bincount(bins)
-    order = np.argsort(fill, kind="stable")
-    going = np.zeros(len(fill), bool)
-    if not last and (len(fill) > lower_bound(rows["length"].to_numpy(), capacity) or fill[order[0]] < capacity):
-        going[order[np.cumsum(held[order]) <= EXCHANGED]] = True
-        going &= fill < capacity
-    return rows.assign(bin=bins, offset=offsets, settled=~going[bins])
+def _judged(rows: pd.DataFrame, bins: np.ndarray, offsets: np.ndarray, capacity: int, last: bool, tails: bool) -> pd.DataFrame:
+    """Rows with their bins, the bound of all of them, and what becomes of each bin."""
+    lengths = rows["length"].to_numpy()
+    made, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
+    state = np.full(len(rows), SETTLED if made == bound or last else OPEN)
+    if made == bound and tails:
+        fill = np.bincount(bins, lengths)
+        if fill.min() < capacity:
+            state[bins == fill.argmin()] = TAIL
+    return rows.assign(bin=bins, offset=offsets, bins=made, lower_bound=bound, state=state)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id, offset, bins and lower_bound to pieces (doc_id, piece, start, length, ids_crc32)."""
     pieces = materialise(pieces, "pieces")
-    full = pieces.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    full = pieces.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("bins"), one.alias("lower_bound"))
     rest = pieces.where(F.col("length") < capacity)
     parts = -(-rest.count() // per_partition)
     if not parts:
         return full
+    rounds = 0
+    while UNION**rounds < parts:
+        rounds += 1
+
+    def dealt_by(df: DataFrame, n: int) -> DataFrame:
+        # The id is of the row's place in the written pieces: dealt evenly whatever the keys, and alike when a task is run again.
+        return df.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
 
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        return _settle(rows, *best_fit(rows["length"].to_numpy(), capacity), capacity, parts == 1)
+    def packed_alone(last: bool, tails: bool):
+        return lambda rows: _judged(rows, *best_fit(rows["length"].to_numpy(), capacity), capacity, last, tails)
 
-    # The id is of the row's place in the written pieces: dealt evenly whatever the keys, and alike when a task is run again.
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
-    now = materialise(dealt.groupBy("part").applyInPandas(first, _PACKED), "packed")
-    done, level = [now.where("settled").withColumn("level", F.lit(0))], 0
-    while parts > 1:
-        parts, level = -(-parts // UNION), level + 1
-        last = parts == 1
+    now = materialise(dealt_by(rest, parts).groupBy("part").applyInPandas(packed_alone(parts == 1, parts > 1), _PACKED), "packed")
+    made = [now]
+    for digit in range(rounds):
+        step, last = UNION**digit, digit == rounds - 1
 
-        def again(rows: pd.DataFrame, last: bool = last) -> pd.DataFrame:
+        def again(rows: pd.DataFrame, step: int = step, last: bool = last) -> pd.DataFrame:
+            # The partitions of a group differ in one digit of their numbers, to the base UNION.
             old = pd.factorize(pd.MultiIndex.from_frame(rows[["part", "bin"]]))[0]
             bins, offsets = best_fit(rows["length"].to_numpy(), capacity)
             if bins.max() >= old.max():
                 bins, offsets = old, rows["offset"].to_numpy()
-            return _settle(rows.assign(part=rows["part"] // UNION), bins, offsets, capacity, last)
-
-        left = now.where("not settled")
-        now = materialise(left.groupBy(F.expr(f"part div {UNION}")).applyInPandas(lambda rows, *, f=again: f(rows), _PACKED), "repacked")
-        done.append(now.where("settled").withColumn("level", F.lit(level)))
-    packed = done[0]
-    for d in done[1:]:
-        packed = packed.unionByName(d)
-    numbered = (F.shiftleft(F.col("level").cast("long"), 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")).alias("sequence_id")
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", numbered, "offset").unionByName(full)
+            part = int(rows["part"].iloc[0])
+            base = part - part // step % UNION * step
+            return _judged(rows.assign(part=base + bins % UNION * step), bins, offsets, capacity, last, True)
+
+        left = made[-1].where(F.col("state") == OPEN)
+        if not left.head(1):
+            break
+        group = F.expr(f"part - (part div {step}) % {UNION} * {step}")
+        made.append(materialise(left.groupBy(group).applyInPandas(lambda rows, *, f=again: f(rows), _PACKED), "repacked"))
+    if parts > 1:
+        tails = made[0]
+        for m in made[1:]:
+            tails = tails.unionByName(m)
+        tails = materialise(tails.where(F.col("state") == TAIL).select(*[c.split()[0] for c in _COLUMNS.split(", ")]), "tails")
+        n = -(-tails.count() // per_partition)
+        if n:
+            made.append(materialise(dealt_by(tails, n).groupBy("part").applyInPandas(packed_alone(True, False), _PACKED), "tails_packed"))
+    packed = full
+    for level, m in enumerate(made):
+        number = (F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft(F.col("part"), 24) + F.col("bin")).alias("sequence_id")
+        packed = packed.unionByName(m.where(F.col("state") == SETTLED).select("doc_id", "piece", "start", "length", "ids_crc32", number, "offset", "bins", "lower_bound"))
+    return packed
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -3,16 +3,20 @@
 Base spans come from three patterns (leftmost, non-overlapping, each kind by itself). The method adds
 spans of kind ``entropy``: runs of key-like characters of at least a window's length whose Shannon
 entropy, over a window sliding by one character, reaches the threshold of their character class. The
-counts of the window's characters and the sum of count * log2(count) are carried from step to step:
-a step takes one character out and one in. A span goes from the first qualifying window's start to
-the last one's end. Allow-listed candidates (placeholders, UUIDs, paths and hosts, runs that are
-letters only or digits only) are suppressed, and so is a span that overlaps a base one.
+counts of the window's characters (five bits each, packed into six numbers) and the sum of
+count * log2(count) are carried from step to step: a step takes one character out and one in, so the
+work grows with a run's length and not with its square. A span goes from the first qualifying
+window's start to the last one's end, less what base spans cover already.
 
-Positions: ``\\G`` anchors each match behind the one before, so that a match and the gap before it
-come as one string, and the strings' lengths in code points add up to the positions.
+Suppressed are runs on the allow-list (names and paths of words and short numbers up to NAME_MAX
+characters, UUIDs, runs of digits), and windows that touch a placeholder word.
 
-Defined results: a null text is empty (no spans); each row gets its own result, repeated or null
-doc_id or not. Spans are ordered by start, then kind as in KINDS, then end.
+Positions: a text is split at the matches, and the gaps' and matches' lengths in code points add up.
+
+Defined results: a null text is empty (no spans); an empty table gives no rows; each row gets its own
+result, repeated or null doc_id or not. Spans are ordered by start, then kind as in KINDS, then end.
+Very long texts and keys are scanned whole. scan reads doc_id and text only, redact keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,31 +31,41 @@ KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 VALUE_MIN = 12
 # A run that is too short has no long enough part either, so these two can ask for the length at once.
-ACCESS, HEX = "()(AKIA[A-Z0-9]{14,})", "()([0-9a-f]{16,})"
-#: Candidates of the entropy method; the window in characters; the least entropy in bits by class.
-CANDIDATE, WINDOW = "()([A-Za-z0-9+/_=-]{20,})", 20
-HEX_BITS, MIXED_BITS = 3.0, 3.8
-ALLOW = r"(?i)example|placeholder|changeme|your[_-]?|xxxx|^[a-z_=-]+$|^[0-9_=-]+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^/?([a-z0-9_-]{1,15}/)+[a-z0-9_=-]{0,15}$|^[a-z]+([_-][a-z]+)+[0-9]{0,4}$"
+ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
+#: Candidates of the entropy method; the window in characters.
+CANDIDATE, WINDOW = "[A-Za-z0-9+/_=-]{20,}", 20
+#: Character classes, the first that fits counts, and their least entropy in bits: what 99 of 100 windows of random characters reach.
+CLASSES = [("^([0-9a-f]+|[0-9A-F]+)$", 2.9), ("^[A-Z0-9=]+$", 3.3), ("^[a-z0-9]+$", 3.4), ("^[A-Za-z0-9]+$", 3.6), ("", 3.6)]
+#: Words in any usual case, with up to four digits behind, between single separators.
+_WORD = "([A-Za-z][a-z]*([A-Z][a-z]{2,})*|[A-Z]{2,}|)[0-9]{0,4}"
+NAME, NAME_MAX = f"^{_WORD}([_/=-]{_WORD})*$", 200
+ALLOW = "^[0-9_=-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+#: Fixed words: windows that touch one, in either case, don't count.
+PLACEHOLDERS = ["example", "placeholder", "changeme", "your", "xxxx"]
 #: Every character of a candidate has a place in the counts.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_PLACE = "array<struct<start:int,kind:int,end:int>>"
+#: Counts in a number and bits of a count: a window's length must fit.
+_PACKED, _BITS = 12, 5
 
 
 def found(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans of all matches whose second group has at least so many characters."""
-    whole = rf"\G(?s:.*?)(?:{pattern})"
-    parts = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
-    heads = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
+    """Spans (with the matched text) of all matches; where ``least`` is given, only those whose second group has so many characters."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     step = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def add(state: Column, x: Column) -> Column:
-        end = state["at"] + F.char_length(x["part"])
-        span = F.struct((end - F.char_length(x["head"]) - F.char_length(x["value"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
+        start = state["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["match"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
+        good = F.char_length(F.regexp_extract(x["match"], pattern, 2)) >= least if least else F.lit(True)
+        return F.struct(end.alias("at"), F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    # There is one gap more than there are matches: the last one is the text's rest.
+    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
     # Most texts match nothing: they are told by one search that ends at the text's end.
-    return F.when(text.rlike(pattern), F.aggregate(F.arrays_zip(parts.alias("part"), heads.alias("head"), values.alias("value")), step, add, lambda s: s["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), F.aggregate(pairs, step, add, lambda s: s["spans"])).otherwise(F.array().cast(_SPAN))
 
 
 def _term(n: Column) -> Column:
@@ -59,41 +73,86 @@ def _term(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(0.0)
 
 
+def masked(value: Column) -> Column:
+    """The value with placeholder words overwritten by as many dots, which are in no key."""
+    for word in PLACEHOLDERS:
+        value = F.regexp_replace(value, f"(?i){word}", "." * len(word))
+    return value
+
+
 def entropy_spans(candidates: Column, window: int = WINDOW) -> Column:
     """Of candidate spans, the stretch covered by windows of high entropy; candidates without any are dropped."""
+    words = -(-len(ALPHABET) // _PACKED)
+    names = [f"w{k}" for k in range(words)]
 
     def stretch(c: Column) -> Column:
-        value, length = c["value"], F.char_length(c["value"])
-        bits = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(MIXED_BITS)
+        value = c["value"]
+        bits = F.lit(CLASSES[-1][1])
+        for shape, least in reversed(CLASSES[:-1]):
+            bits = F.when(value.rlike(shape), least).otherwise(bits)
         limit = F.log2(F.lit(float(window))) - bits  # entropy >= bits, as sum / window <= limit
-        start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+        # Place in the alphabet, from one; none for a placeholder's dots. One pass, so that a step finds its characters at once.
+        codes = F.transform(F.split(masked(value), ""), lambda x: F.instr(F.lit(ALPHABET), x))
+        # With each character the one that leaves the window as it comes in.
+        moves = F.arrays_zip(codes.alias("enter"), F.concat(F.array_repeat(F.lit(0), window), codes).alias("leave"))
+        start = F.struct(*[F.lit(0).cast("long").alias(k) for k in names], F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("broken"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+        def slide(state: Column, move: Column) -> Column:
+            i, enter, leave = state["at"] + 1, move["enter"], move["leave"]
+            shift = lambda code: (code - 1) % _PACKED * _BITS
+            one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))
+            within = lambda code, k: code.between(k * _PACKED + 1, (k + 1) * _PACKED)
+
+            def count(code: Column) -> Column:
+                held = F.lit(0).cast("long")
+                for k, name in enumerate(names):
+                    held = F.when(within(code, k), state[name]).otherwise(held)
+                return F.call_function("shiftright", held, F.greatest(shift(code), F.lit(0))).bitwiseAND((1 << _BITS) - 1)
 
-        def slide(state: Column, i: Column) -> Column:
-            enter = F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-            leave = F.when(i > window, F.instr(F.lit(ALPHABET), F.substring(value, i - window, F.lit(1)))).otherwise(0)
-            n, m = F.element_at(state["counts"], enter), F.when(leave > 0, F.element_at(state["counts"], F.greatest(leave, F.lit(1)))).otherwise(0)
             # One in and one out: equal characters cancel.
-            total = state["sum"] + F.when(enter == leave, 0.0).otherwise(_term(n + 1) - _term(n) + F.when(leave > 0, _term(m - 1) - _term(m)).otherwise(0.0))
-            counts = F.transform(state["counts"], lambda v, k: v + F.when(k + 1 == enter, 1).otherwise(0) - F.when(k + 1 == leave, 1).otherwise(0))
-            high = (i >= window) & (total / window <= limit + 1e-9)
-            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(high & (state["first"] == 0), i - window + 1).otherwise(state["first"]).alias("first"), F.when(high, i).otherwise(state["last"]).alias("last"))
-
-        done = F.aggregate(F.sequence(F.lit(1), length), start, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+            same = enter == leave
+            more = F.when(same | (enter == 0), 0.0).otherwise(_term(count(enter) + 1) - _term(count(enter)))
+            less = F.when(same | (leave == 0), 0.0).otherwise(_term(count(leave) - 1) - _term(count(leave)))
+            total = state["sum"] + more + less
+            packed = [(state[name] + F.when(~same & within(enter, k), one(enter)).otherwise(0) - F.when(~same & within(leave, k), one(leave)).otherwise(0)).alias(name) for k, name in enumerate(names)]
+            broken = F.when(enter == 0, i).otherwise(state["broken"])
+            high = (i - broken >= window) & (total / window <= limit + 1e-9)
+            return F.struct(*packed, total.alias("sum"), i.alias("at"), broken.alias("broken"), F.when(high & (state["first"] == 0), i - window + 1).otherwise(state["first"]).alias("first"), F.when(high, i).otherwise(state["last"]).alias("last"))
+
+        done = F.aggregate(F.slice(moves, 1, F.size(codes)), start, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
         return F.struct(c["start"].alias("from"), done.alias("seen"))
 
-    kept = F.transform(F.filter(candidates, lambda c: ~c["value"].rlike(ALLOW)), stretch)
+    allowed = lambda v: v.rlike(ALLOW) | ((F.char_length(v) <= NAME_MAX) & v.rlike(NAME))
+    kept = F.transform(F.filter(candidates, lambda c: ~allowed(c["value"])), stretch)
     hit = F.filter(kept, lambda c: c["seen"]["last"] > 0)
     return F.transform(hit, lambda c: F.struct((c["from"] + c["seen"]["first"] - 1).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (c["from"] + c["seen"]["last"]).alias("end")))
 
 
+def uncovered(spans: Column) -> Column:
+    """From base and entropy spans in order of start: the entropy spans' parts that no base span covers. One pass."""
+    entropy = F.lit(KINDS.index("entropy"))
+    piece = lambda a, b: F.array(F.struct(a.alias("start"), entropy.alias("kind"), b.alias("end")))
+    # ``at`` to ``end`` is what is left of the entropy span that came last, ``covered`` the end of base spans so far.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("covered"), F.array().cast(_PLACE).alias("out"))
+
+    def sweep(state: Column, x: Column) -> Column:
+        new = x["kind"] == entropy
+        upto = F.least(state["end"], x["start"])
+        out = F.when(state["at"] < upto, F.concat(state["out"], piece(state["at"], upto))).otherwise(state["out"])
+        covered = F.when(new, state["covered"]).otherwise(F.greatest(state["covered"], x["end"]))
+        at = F.when(new, F.greatest(x["start"], state["covered"])).otherwise(F.greatest(state["at"], covered))
+        return F.struct(at.alias("at"), F.when(new, x["end"]).otherwise(state["end"]).alias("end"), covered.alias("covered"), out.alias("out"))
+
+    return F.aggregate(spans, start, sweep, lambda s: F.when(s["at"] < s["end"], F.concat(s["out"], piece(s["at"], s["end"]))).otherwise(s["out"]))
+
+
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (start, kind number, end), in order; other columns stay."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     base = F.array_sort(bare(F.concat(found(t, ASSIGN, 0, VALUE_MIN), found(t, ACCESS, 1), found(t, HEX, 2))))
     out = docs.withColumn("base", base).withColumn("__more", entropy_spans(found(t, CANDIDATE, 3)))
-    new = F.filter("__more", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", new))).drop("__more")
+    return out.withColumn("spans", F.array_sort(F.concat("base", uncovered(F.array_sort(F.concat("base", "__more")))))).drop("__more")
 
 
 def joined(spans: str) -> Column:
@@ -128,6 +187,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RE_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\']?\x20*[:=]\x20*["\']?"""
+_NAMED = f"length(val) <= {NAME_MAX} AND regexp_matches(val, '{NAME}')"
+_BITS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(val, '{shape}') THEN {least}" for shape, least in CLASSES) + " END"
+_MASKED = "val"
+for _w in PLACEHOLDERS:
+    _MASKED = f"regexp_replace({_MASKED}, '(?i){_w}', '{'.' * len(_w)}', 'g')"
 _MATCHES = "\n  UNION ALL ".join(
     f"SELECT rid, {k} AS kind, {least} AS least, regexp_extract_all(t, $$(?s:.*?)(?:{p})$$, 0) AS parts, regexp_extract_all(t, $$(?s:.*?)({p})$$, 1) AS wholes, regexp_extract_all(t, $$(?s:.*?){q}$$, 1) AS vals FROM d"
     for k, least, p, q in (
@@ -151,21 +215,26 @@ WITH d AS (
 ), base AS (
   SELECT rid, kind, start, fin FROM found WHERE kind < 3
 ), candidates AS (
-  SELECT rid, start, val, CASE WHEN regexp_matches(val, '^([0-9a-f]+|[0-9A-F]+)$') THEN {HEX_BITS} ELSE {MIXED_BITS} END AS bits
-  FROM found WHERE kind = 3 AND NOT regexp_matches(val, '{ALLOW}')
+  SELECT rid, start, {_MASKED} AS val, {_BITS_SQL} AS bits
+  FROM found WHERE kind = 3 AND NOT regexp_matches(val, '{ALLOW}') AND NOT ({_NAMED})
 ), windows AS (
   SELECT rid, start, bits, val, unnest(range(1, length(val) - {WINDOW - 2})) AS w FROM candidates
 ), letters AS (
-  SELECT rid, start, bits, w, unnest(string_split(substr(val, w, {WINDOW}), '')) AS c FROM windows
+  SELECT rid, start, bits, w, unnest(string_split(substr(val, w, {WINDOW}), '')) AS c FROM windows WHERE NOT contains(substr(val, w, {WINDOW}), '.')
 ), counts AS (
   SELECT rid, start, bits, w, c, count(*) AS n FROM letters GROUP BY ALL
 ), high AS (
   SELECT rid, start, w FROM counts GROUP BY rid, start, bits, w HAVING log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} >= bits - 1e-9
-), more AS (
-  SELECT rid, 3 AS kind, start + min(w) - 1 AS start, start + max(w) + {WINDOW - 1} AS fin FROM high GROUP BY rid, high.start
+), stretches AS (
+  SELECT rid, start + min(w) - 1 AS start, start + max(w) + {WINDOW - 1} AS fin FROM high GROUP BY rid, high.start
+), places AS (
+  SELECT rid, start, unnest(range(start, fin)) AS p FROM stretches
+), open_places AS (
+  SELECT rid, start, p, p - row_number() OVER (PARTITION BY rid, start ORDER BY p) AS island
+  FROM places WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = places.rid AND b.start <= p AND p < b.fin)
 ), spans AS (
   SELECT * FROM base UNION ALL
-  SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = more.rid AND b.start < more.fin AND more.start < b.fin)
+  SELECT rid, 3 AS kind, min(p) AS start, max(p) + 1 AS fin FROM open_places GROUP BY rid, start, island
 ), texts AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || fin, ',' ORDER BY start, kind, fin) FILTER (kind < 3) AS base,

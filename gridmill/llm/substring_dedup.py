@@ -3,8 +3,9 @@
 A window is ``width`` consecutive words. A word goes if a window that covers it also starts in a
 document with a smaller doc_id.
 
-1. Copies. Documents with equal word sequences are one class, which its smallest doc_id stands for; of
-   the others every word goes, if they have a window at all. Only classes go on.
+1. Copies. Documents with equal word sequences (by SHA-256 of the words) are one class, which its
+   smallest doc_id stands for; of the others every word goes, if they have a window at all. Only classes
+   go on.
 2. Anchors. Among a window's ``anchor``-word grams the one with the smallest hash is its anchor, so equal
    windows have equal anchors, and windows that follow each other mostly share theirs. Anchors that only
    one document has cannot be in a recurring window.
@@ -19,7 +20,10 @@ document with a smaller doc_id.
 5. Occurrences go back to the documents that have the context, and their words are removed.
 
 Defined results: a null text has no words; rows without doc_id are left as they are and remove nothing
-from others; rows that share a doc_id are judged each by itself against other doc_ids.
+from others; rows that share a doc_id are judged each by itself against other doc_ids; rows that repeat
+a doc_id and its text are alike. Ties go to the smaller doc_id. Very long texts are taken whole, as many
+short stretches; an empty table gives no rows. Only doc_id and text are read, so other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -176,7 +180,9 @@ def dealt(contexts: DataFrame, width: int, shard_contexts: int) -> DataFrame:
     places = F.sequence(F.lit(0), F.size("words") - width)
     large = materialise(contexts.groupBy("anchor").count().where(F.col("count") > shard_contexts).select("anchor", parts_of("count").alias("splits")), "large")
     hashes = F.array_distinct(F.transform(places, lambda i: F.xxhash64(window(i))))
-    counted = contexts.join(large, "anchor", "left_semi").select("anchor", F.split("context", " ").alias("words")).select("anchor", F.explode(hashes).alias("hash")).groupBy("anchor", "hash").count()
+    counted = contexts.join(large, "anchor", "left_semi").select("anchor", F.split("context", " ").alias("words")).select(F.explode(F.transform(hashes, lambda h: F.struct("anchor", h.alias("hash")))).alias("window"))
+    # Grouped by the pair as one value: a hot anchor's windows are then combined before they are dealt anew, wherever its rows were joined.
+    counted = counted.groupBy("window").count().select("window.*", "count")
     hot = materialise(counted.where(F.col("count") > shard_contexts).groupBy("anchor").agg(F.collect_list(F.struct("hash", parts_of("count").alias("salts"))).alias("hot")), "hot")
     rows = (
         contexts.join(large.join(hot, "anchor", "left"), "anchor", "left")
@@ -244,7 +250,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_conte
     docs = docs_of(docs)
     rows = summaries(docs, width, anchor)
     known = rows.where(F.col("doc_id").isNotNull())
-    classes = materialise(known.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep")), "classes")
+    # Copies have equal SHA-256 of their words, not just equal hashes.
+    classes = materialise(known.groupBy("h1", "h2", "n_words", "sha").agg(F.min("doc_id").alias("rep")), "classes")
     stand = known.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     anchors = stand.select("doc_id", F.explode("anchors").alias("anchor"))
     recurring = materialise(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "recurring")
@@ -258,7 +265,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_conte
     starts = pairs.select("doc_id", "h1", gone.alias("at")).where("size(at) > 0").groupBy("doc_id", "h1").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("starts"))
     removed = remove_words(docs.join(starts, "doc_id"), width)
     removed = materialise((removed if with_text else removed.withColumn("kept", F.lit(None).cast("string"))).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "h1"]), "removed")
-    own = rows.select("doc_id", "n_words", "h1", "h2", "sha").join(classes, ["h1", "h2", "n_words"], "left").join(removed, ["h1", "rep"], "left")
+    own = rows.select("doc_id", "n_words", "h1", "h2", "sha").join(classes, ["h1", "h2", "n_words", "sha"], "left").join(removed, ["h1", "rep"], "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= width)
     mine = F.col("doc_id") == F.col("rep")
     out = own.select(

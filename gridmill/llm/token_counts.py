@@ -5,7 +5,9 @@ pattern. A word's symbols form a linked list; a heap holds its adjacent pairs by
 lowest pair is popped and merged until no pair has a rank. No token ids are made. Counts of words
 are kept in a cache of bounded size in each Python worker, since words recur.
 
-Defined results: a null text counts as empty (0 tokens); a very long word takes O(n log n).
+Defined results: a null text counts as empty (0 tokens); a very long word takes O(n log n) and
+texts are never cut. Rows that repeat a doc_id, or have none, are counted each by itself; an empty table
+gives no rows. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -2,13 +2,16 @@
 
 The rules' strings (host + path prefix) are hashed, sorted by hash and written with their full
 strings to one file in the shared folder. Spark hands that file to every executor
-(``SparkContext.addFile``), where tasks memory-map it. A url's probes are its host's suffixes times
-its path's prefixes of the lengths that rules have; each hit is confirmed on the stored string, so
+(``SparkContext.addFile``), where tasks memory-map it. A url's probes are its host's suffixes and its
+path's prefixes of the sizes (labels, characters) that rules have together, so a url has no more of
+them than rules have shapes, however long it is; each hit is confirmed on the stored string, so
 collisions of the hash never decide.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the
 default verdict. Of the rules that fit, the one with the longest string wins; between equally long
-ones that with the longer host. A repeated rule string keeps its first verdict.
+ones that with the longer host. A repeated rule string keeps its first verdict. Repeated rows are
+judged each by itself, an empty table gives no rows, very long urls are taken whole, and columns other
+than the two named are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ _HEAD = struct.Struct("<QQ")
 
 
 def digest_bytes(rules: list[tuple[str, str]]) -> bytes:
-    """Header (rules, string bytes); sorted keys; verdict numbers; string offsets; string bytes; distinct path lengths at the end."""
+    """Header (rules, shapes); sorted keys; verdict numbers; string offsets; distinct shapes (host labels, path length); string bytes."""
     kept = list({rule: verdict for verdict, rule in reversed(rules)}.items())
     strings = [rule.encode() for rule, _ in kept]
     keys = np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
@@ -51,8 +54,9 @@ def digest_bytes(rules: list[tuple[str, str]]) -> bytes:
     blob = b"".join(strings)
     ends = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype("<i8")
     verdicts = np.array([VERDICTS.index(kept[i][1]) for i in order], "<i8")
-    lengths = np.array(sorted({len(rule) - rule.index("/") if "/" in rule else 0 for rule, _ in kept}), "<i8")
-    return _HEAD.pack(len(keys), len(lengths)) + keys[order].astype("<u8").tobytes() + verdicts.tobytes() + ends.tobytes() + lengths.tobytes() + blob
+    hosts = [rule.partition("/")[0] for rule, _ in kept]
+    shapes = np.array(sorted({(host.count(".") + 1, len(rule) - len(host)) for host, (rule, _) in zip(hosts, kept, strict=True)}), "<i8").reshape(-1, 2)
+    return _HEAD.pack(len(keys), len(shapes)) + keys[order].astype("<u8").tobytes() + verdicts.tobytes() + ends.tobytes() + shapes.tobytes() + blob
 
 
 class Digest:
@@ -66,8 +70,8 @@ class Digest:
         self.keys = np.frombuffer(self.map, "<u8", n, at)
         self.verdicts = np.frombuffer(self.map, "<i8", n, at + 8 * n)
         self.ends = np.frombuffer(self.map, "<i8", n + 1, at + 16 * n)
-        self.lengths = np.frombuffer(self.map, "<i8", m, at + 24 * n + 8).tolist()
-        self.blob = at + 24 * n + 8 + 8 * m
+        self.shapes = np.frombuffer(self.map, "<i8", 2 * m, at + 24 * n + 8).reshape(-1, 2).tolist()
+        self.blob = at + 24 * n + 8 + 16 * m
 
     def string(self, i: int) -> bytes:
         return self.map[self.blob + self.ends[i] : self.blob + self.ends[i + 1]]
@@ -89,11 +93,13 @@ class Digest:
         return found.tolist()
 
 
-def probes(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Host suffixes at label bounds times path prefixes of the given lengths, best rule first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    made = [(h, path[:k]) for h in hosts for k in lengths if k <= len(path)]
+def probes(host: str, path: str, shapes: list[list[int]]) -> list[str]:
+    """Host suffixes at label bounds with path prefixes, of the given shapes (labels, characters); best rule first."""
+    most = max((labels for labels, _ in shapes), default=0)
+    # The last labels only: what is before them stays in one piece.
+    parts = host.rsplit(".", most)
+    held = len(parts) if len(parts) <= most else most
+    made = [(".".join(parts[-labels:]), path[:size]) for labels, size in shapes if labels <= held and size <= len(path)]
     return [h + p for h, p in sorted(made, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))]
 
 
@@ -120,7 +126,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
         for batch in batches:
             owner, asked, strings = [], [], []
             for i, (h, p) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                for probe in probes(h, p, digest.lengths):
+                for probe in probes(h, p, digest.shapes):
                     owner.append(i)
                     asked.append(probe.encode())
                     strings.append(probe)

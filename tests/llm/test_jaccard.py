@@ -120,15 +120,15 @@ def test_a_large_group_of_near_copies_gives_no_more_rows_than_it_has(spark, monk
     handed = []
     real = J.tile_links
 
-    def counted(partners, sets, percent):
-        found = real(partners, sets, percent)
-        handed.append((partners.count(), found.count()))
+    def counted(dealt, sets, percent):
+        found = real(dealt, sets, percent)
+        handed.append((dealt.count(), found.count()))
         return found
 
     monkeypatch.setattr(J, "tile_links", counted)
     got = sorted(map(tuple, J.link(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 256).collect()))
     assert got == brute(rows, 5, 80)
-    assert all(out < came for came, out in handed)
+    assert (handed or n == 9) and all(out < came for came, out in handed)
 
 
 def test_keep_one_judges_texts_of_a_repeated_id_by_themselves(spark):

@@ -79,9 +79,28 @@ def test_documents_round_trip(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("per_partition", [50, 700])
+def sample(spark, n, top):
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (1 + F.pmod(F.xxhash64("id"), F.lit(top))).alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+
+
+@pytest.mark.parametrize("per_partition", [50, 700, 5000])
 def test_exchanges_reach_the_bound(spark, per_partition):
-    pieces = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (1 + F.pmod(F.xxhash64("id"), F.lit(60))).alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
-    got = packing.pack(pieces, 100, per_partition).toPandas()
+    got = packing.pack(sample(spark, 3000, 60), 100, per_partition).toPandas()
     assert len(got) == 3000 and got.doc_id.nunique() == 3000
     assert check(got, 100) <= 1.01 * packing.lower_bound(got["length"].to_numpy(), 100) + 1
+    assert (got["bins"] >= got["lower_bound"]).all()
+
+
+def test_partitions_with_gaps_exchange_and_certified_ones_do_not(spark, monkeypatch):
+    """Pieces of 34 in bins of 100: a partition of 50 is at its bound (two a bin, by a dual-feasible function)."""
+    even = sample(spark, 400, 1).withColumn("length", F.lit(34).cast("long"))
+    seen = []
+    real = packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name: seen.append(name) or real(df, name))
+    got = packing.pack(even, 100, 50).toPandas()
+    assert "repacked" not in seen and "tails_packed" in seen
+    assert check(got, 100) == 200 == packing.lower_bound(got["length"].to_numpy(), 100)
+    seen.clear()
+    got = packing.pack(sample(spark, 900, 90), 100, 30).toPandas()  # few large pieces: best fit leaves gaps
+    assert "repacked" in seen and len(got) == 900
+    check(got, 100)

@@ -1,3 +1,7 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,3 +48,50 @@ def test_density_matches_the_formula():
         diff = x - m.mean[c]
         log.append(np.log(0.5) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff)))
     assert np.allclose(m.score(x), 1 / (1 + np.exp(log[0] - log[1])))
+
+
+def plain_statistics(text):
+    """NAMES of one text, from its words as strings."""
+    text = text or ""
+    raw = text.encode()
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[^\x20\x09-\x0d]+", raw)]
+    size = [len(w) for w in words]
+    n, mean = len(words), sum(size) / max(1, len(words))
+    spread = max(0.0, sum(x * x for x in size) / max(1, n) - mean**2) ** 0.5
+    share = [(sum(b in set(c) for b in raw) / max(1, len(raw))) ** 0.5 for c in quality.CLASSES.values()]
+    own = [0.0] * 5
+    if words:
+        five = [tuple(words[i : i + 5]) for i in range(n - 4)]
+        lines = [tuple(re.findall(rb"[^\x20\x09-\x0d]+", line)) for line in raw.lower().split(b"\n")]
+        lines = [line for line in lines if line]
+        own = [len(set(words)) / n, (max(Counter(words).values()) / n) ** 0.5, (1 - len(set(five)) / len(five)) ** 0.5 if five else 0.0, (1 - len(set(lines)) / len(lines)) ** 0.5, np.log1p(len(raw) / (raw.count(b"\n") + 1))]
+    return [np.log1p(len(raw)), np.log1p(n), np.log1p(mean), np.log1p(spread), *share, sum(x <= 3 for x in size) / max(1, n), *own]
+
+
+def test_against_brute_force(spark):
+    """Statistics, class moments and scores of a small table, all again in plain Python."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    rows += [(90001, None), (90002, ""), (90003, "a\n\n b\na"), (90004, "Üx é 🙂 one ONE")]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
+    x = np.array([plain_statistics(t) for _, t in rows])
+    assert np.allclose(quality.statistics(pa.array([t for _, t in rows])), x, atol=1e-9)
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in rows]
+    label = dict(labels)
+    mean, cov, n = [], [], []
+    for c in (0, 1):
+        mine = x[[label.get(i) == c and not h for (i, _), h in zip(rows, held, strict=True)]]
+        assert len(mine) > 5
+        n.append(len(mine))
+        mean.append(mine.mean(axis=0))
+        cov.append(np.cov(mine.T, bias=True))
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled) + 1e-4) + 1e-6 * np.eye(len(pooled))
+    log = []
+    for c in (0, 1):
+        s, diff = 0.8 * cov[c] + 0.2 * pooled, x - mean[c]
+        log.append(np.log(n[c] / sum(n)) - 0.5 * (np.linalg.slogdet(s)[1] + np.einsum("ij,ij->i", diff @ np.linalg.inv(s), diff)))
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert len(got) == len(rows)
+    for (i, _), h, w in zip(rows, held, want, strict=True):
+        assert got[i].held_out == h and abs(got[i].score - w) < 1e-4 and got[i].predicted == int(got[i].score >= 0.7)

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -17,20 +18,23 @@ def brute(text):
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
-    more = []
+    more, covered = [], {p for a, _, b in base for p in range(a, b)}
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        if re.search(S.ALLOW, m[0]):
+        value = m[0]
+        if re.search(S.ALLOW, value) or len(value) <= S.NAME_MAX and re.search(S.NAME, value):
             continue
-        bits = S.HEX_BITS if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", m[0]) else S.MIXED_BITS
+        bits = next(least for shape, least in S.CLASSES if re.search(shape, value))
+        for word in S.PLACEHOLDERS:
+            value = re.sub(f"(?i){word}", "." * len(word), value)
         high = []
-        for i in range(len(m[0]) - S.WINDOW + 1):
-            entropy = -sum(n / S.WINDOW * math.log2(n / S.WINDOW) for n in Counter(m[0][i : i + S.WINDOW]).values())
-            if entropy >= bits - 1e-9:
+        for i in range(len(value) - S.WINDOW + 1):
+            w = value[i : i + S.WINDOW]
+            if "." not in w and -sum(n / S.WINDOW * math.log2(n / S.WINDOW) for n in Counter(w).values()) >= bits - 1e-9:
                 high.append(i)
         if high:
-            a, b = m.start() + high[0], m.start() + high[-1] + S.WINDOW
-            if not any(s < b and a < e for s, _, e in base):
-                more.append((a, 3, b))
+            left = set(range(m.start() + high[0], m.start() + high[-1] + S.WINDOW)) - covered
+            ends = sorted(p + 1 for p in left if p + 1 not in left)
+            more += [(a, 3, b) for a, b in zip(sorted(p for p in left if p - 1 not in left), ends, strict=True)]
     text_of = lambda spans: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
     return (*(sum(k == j for _, k, _ in base) for j in range(3)), hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(base + more))
 
@@ -39,7 +43,8 @@ def texts():
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
     key = lambda n, a=alphabet: "".join(rng.choice(a) for _ in range(n))
-    out = [None, "", "a", "🙂é " * 3 + "token=" + key(15), "passſword=abcdefghijklmnop", "secret: token: abcdefghijklmnop", "token=token=abcdefghijklmnop", "API_KEY : 'x' apikey=\"" + key(12) + '"', "password==" + key(11), "AKIAAKIA" + key(10, "ABC"), "AKIA" + key(13, "XYZ9"), "a" * 200000, "deadbeef" * 5000, "\n".join(["password=" + key(14)] * 300), key(3000), "id 123e4567-e89b-12d3-a456-426614174000", "some/path/to/a/very/long/file", "YOUR_API_TOKEN_PLACEHOLDER_1", "snake_case_name_that_is_long_enough"]
+    out = [None, "", "a", "🙂é " * 3 + "token=" + key(15), "passſword=abcdefghijklmnop", "secret: token: abcdefghijklmnop", "token=token=abcdefghijklmnop", "API_KEY : 'x' apikey=\"" + key(12) + '"', "password==" + key(11), "AKIAAKIA" + key(10, "ABC"), "AKIA" + key(13, "XYZ9"), "a" * 200000, "deadbeef" * 5000, "\n".join(["password=" + key(14)] * 300), key(3000), "id 123e4567-e89b-12d3-a456-426614174000", "some/path/to/a/very/long/file", "YOUR_API_TOKEN_PLACEHOLDER_1", "snake_case_name_that_is_long_enough", "Some/Path-2024/of_words/andCamelCase", "A-" * 95 + "bC1", key(40) + "Example" + key(40), key(30) + "yourXXXX" + key(12), "password: " + key(13) + "/" + key(30) + "deadbeef01234567" + key(25)]
+    out += [key(24, a) for a in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", alphabet[:62]) for _ in range(4)]
     for _ in range(60):
         bits = [rng.choice(["token=", "Secret : ", "passwd:'", "AKIA", key(rng.randrange(40)), key(rng.randrange(30), "0123456789abcdef"), "word ", "é🙂", "\n", " = ", '"']) for _ in range(14)]
         out.append("".join(bits))
@@ -74,3 +79,22 @@ def test_redaction(spark):
 def test_plan_has_no_python(spark):
     plan = S.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_keys_of_every_alphabet_are_found(spark):
+    rng = random.Random(5)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": S.ALPHABET[:62], "base64": S.ALPHABET[:64]}
+    rows = [(i, name, "".join(rng.choice(a) for _ in range(24))) for name, a in alphabets.items() for i in range(200)]
+    share = {r.name: r.n for r in S.with_spans(spark.createDataFrame(rows, "i long, name string, text string")).where("size(spans) > 0").groupBy("name").agg(S.F.count("*").alias("n")).collect()}
+    assert all(share[name] >= 190 for name in alphabets), share
+
+
+def test_very_long_keys_take_time_by_their_length(spark):
+    rng = random.Random(6)
+    keys = ["".join(rng.choice(S.ALPHABET) for _ in range(n)) for n in (100_000, 300_000)]
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    for i, k in enumerate(keys):
+        spans = [x.split(":") for x in got[i].split(",")]
+        assert min(int(a) for _, a, _ in spans) < 40 and max(int(b) for _, _, b in spans) > len(k) - 40

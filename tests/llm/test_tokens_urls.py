@@ -72,6 +72,14 @@ def test_digest_survives_colliding_keys(tmp_path, monkeypatch):
     assert url_filter.Digest(str(path)).find([b"x"]) == [-1]
 
 
+def test_probes_of_very_long_urls(spark):
+    host, path = "a." * 20_000 + "example.com", "/en/" + "x/" * 100_000
+    assert len(url_filter.probes(host, path, [[1, 1], [2, 4], [3, 4]])) == 3
+    rows = [(1, f"http://{host}{path}"), (2, "http://" + "." * 50_000 + "net/es/")]
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("example.com/en/", "block", len(host)), 2: ("net/es/", "block", 50_003)}
+
+
 def test_byte_symbols_match_the_vocabulary():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
