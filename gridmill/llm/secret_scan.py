@@ -21,6 +21,9 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,9 +71,9 @@ def found(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, step, add, lambda s: s["spans"])).otherwise(F.array().cast(_SPAN))
 
 
-def _term(n: Column) -> Column:
-    """count * log2(count)"""
-    return F.when(n > 1, n * F.log2(n)).otherwise(0.0)
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def masked(value: Column) -> Column:
@@ -82,8 +85,43 @@ def masked(value: Column) -> Column:
 
 def entropy_spans(candidates: Column, window: int = WINDOW) -> Column:
     """Of candidate spans, the stretch covered by windows of high entropy; candidates without any are dropped."""
-    words = -(-len(ALPHABET) // _PACKED)
-    names = [f"w{k}" for k in range(words)]
+    # What a character that comes in as the n-th of its kind, from 0, adds to the sum of count * log2(count).
+    steps = F.array(*[F.lit((n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)) for n in range(window)])
+    none = F.struct(*[F.lit(0).alias(k) for k in ("code", "word", "shift")], F.lit(0).cast("long").alias("unit"))
+
+    def placed(x: Column) -> Column:
+        """A character's place in the alphabet (from one, 0: a placeholder's dot) and in the packed counts."""
+
+        def spread(code: Column) -> Column:
+            at = F.greatest(code - 1, F.lit(0))
+            shift = at % _PACKED * _BITS
+            unit = F.when(code > 0, F.call_function("shiftleft", F.lit(1).cast("long"), shift)).otherwise(F.lit(0).cast("long"))
+            return F.struct(code.alias("code"), ((at - at % _PACKED) / _PACKED).cast("int").alias("word"), shift.alias("shift"), unit.alias("unit"))
+
+        return _with(F.instr(F.lit(ALPHABET), x), spread)
+
+    def slide(state: Column, move: Column) -> Column:
+        enter, leave = move["enter"], move["leave"]
+        count = lambda c: F.call_function("shiftright", F.get(state["words"], c["word"]), c["shift"]).bitwiseAND((1 << _BITS) - 1).cast("int")
+
+        def moved(c: Column) -> Column:
+            # One in and one out: equal characters cancel.
+            more = F.when(enter["code"] > 0, F.get(steps, c["n"])).otherwise(0.0)
+            less = F.when(leave["code"] > 0, F.get(steps, c["m"] - 1)).otherwise(0.0)
+            return F.when(enter["code"] == leave["code"], state["sum"]).otherwise(state["sum"] + more - less)
+
+        total = _with(F.struct(count(enter).alias("n"), count(leave).alias("m")), moved)
+        of = lambda c, k: F.when(c["word"] == k, c["unit"]).otherwise(F.lit(0).cast("long"))
+        words = F.transform(state["words"], lambda w, k: w + of(enter, k) - of(leave, k))
+        i = state["at"] + 1
+        broken = F.when(enter["code"] == 0, i).otherwise(state["broken"])
+
+        def after(t: Column) -> Column:
+            high = (i - t["broken"] >= window) & (t["sum"] / window <= state["limit"] + 1e-9)
+            first = F.when(high & (state["first"] == 0), i - window + 1).otherwise(state["first"])
+            return F.struct(words.alias("words"), t["sum"].alias("sum"), i.alias("at"), t["broken"].alias("broken"), first.alias("first"), F.when(high, i).otherwise(state["last"]).alias("last"), state["limit"].alias("limit"))
+
+        return _with(F.struct(total.alias("sum"), broken.alias("broken")), after)
 
     def stretch(c: Column) -> Column:
         value = c["value"]
@@ -91,36 +129,10 @@ def entropy_spans(candidates: Column, window: int = WINDOW) -> Column:
         for shape, least in reversed(CLASSES[:-1]):
             bits = F.when(value.rlike(shape), least).otherwise(bits)
         limit = F.log2(F.lit(float(window))) - bits  # entropy >= bits, as sum / window <= limit
-        # Place in the alphabet, from one; none for a placeholder's dots. One pass, so that a step finds its characters at once.
-        codes = F.transform(F.split(masked(value), ""), lambda x: F.instr(F.lit(ALPHABET), x))
-        # With each character the one that leaves the window as it comes in.
-        moves = F.arrays_zip(codes.alias("enter"), F.concat(F.array_repeat(F.lit(0), window), codes).alias("leave"))
-        start = F.struct(*[F.lit(0).cast("long").alias(k) for k in names], F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("broken"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-
-        def slide(state: Column, move: Column) -> Column:
-            i, enter, leave = state["at"] + 1, move["enter"], move["leave"]
-            shift = lambda code: (code - 1) % _PACKED * _BITS
-            one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))
-            within = lambda code, k: code.between(k * _PACKED + 1, (k + 1) * _PACKED)
-
-            def count(code: Column) -> Column:
-                held = F.lit(0).cast("long")
-                for k, name in enumerate(names):
-                    held = F.when(within(code, k), state[name]).otherwise(held)
-                return F.call_function("shiftright", held, F.greatest(shift(code), F.lit(0))).bitwiseAND((1 << _BITS) - 1)
-
-            # One in and one out: equal characters cancel.
-            same = enter == leave
-            more = F.when(same | (enter == 0), 0.0).otherwise(_term(count(enter) + 1) - _term(count(enter)))
-            less = F.when(same | (leave == 0), 0.0).otherwise(_term(count(leave) - 1) - _term(count(leave)))
-            total = state["sum"] + more + less
-            packed = [(state[name] + F.when(~same & within(enter, k), one(enter)).otherwise(0) - F.when(~same & within(leave, k), one(leave)).otherwise(0)).alias(name) for k, name in enumerate(names)]
-            broken = F.when(enter == 0, i).otherwise(state["broken"])
-            high = (i - broken >= window) & (total / window <= limit + 1e-9)
-            return F.struct(*packed, total.alias("sum"), i.alias("at"), broken.alias("broken"), F.when(high & (state["first"] == 0), i - window + 1).otherwise(state["first"]).alias("first"), F.when(high, i).otherwise(state["last"]).alias("last"))
-
-        done = F.aggregate(F.slice(moves, 1, F.size(codes)), start, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-        return F.struct(c["start"].alias("from"), done.alias("seen"))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // _PACKED)).alias("words"), F.lit(0.0).cast("double").alias("sum"), *[F.lit(0).alias(k) for k in ("at", "broken", "first", "last")], limit.cast("double").alias("limit"))
+        # One pass finds all characters; each is met with the one that leaves the window as it comes in.
+        slid = lambda codes: F.aggregate(F.slice(F.arrays_zip(codes.alias("enter"), F.concat(F.array_repeat(none, window), codes).alias("leave")), F.lit(1), F.size(codes)), start, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+        return F.struct(c["start"].alias("from"), _with(F.transform(F.split(masked(value), ""), placed), slid).alias("seen"))
 
     allowed = lambda v: v.rlike(ALLOW) | ((F.char_length(v) <= NAME_MAX) & v.rlike(NAME))
     kept = F.transform(F.filter(candidates, lambda c: ~allowed(c["value"])), stretch)
