@@ -84,5 +84,11 @@ def top(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*by).limit(n) if n > 0 else df.orderBy(*by)
 
 
+def bottom(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last n rows in this order, the very last first; missing keys, which come last, are among them."""
+    by = [F.col(o[1:]).asc_nulls_first() if o.startswith("-") else F.col(o).desc_nulls_first() for o in order]
+    return df.orderBy(*by).limit(n)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)

@@ -264,7 +264,7 @@ def cleanup_gate(spark, d):
 def safe_members(spark, d):
     m = F.col("p_partkey") % 5
     start = F.when(m == 0, "../").when(m == 1, "/etc/").when(m == 2, "a/..b/").when(m == 3, "C:").otherwise("x\\..\\")
-    return K.safe_members(table(spark, d, "part").select(F.concat(start, "p_name", F.col("p_partkey").cast("string")).alias("name")))
+    return S.safe_members(table(spark, d, "part").select(F.concat(start, "p_name", F.col("p_partkey").cast("string")).alias("name")))
 
 
 @query("SELECT o_orderpriority AS file FROM orders GROUP BY 1 HAVING count(*) % 2 = 0")

@@ -232,6 +232,24 @@ def bulk_documents(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return raw.mapInPandas(opened, "doc_id string, text string, problem string")
 
 
+def unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """archive, name, text of the files in ZIPs under path whose names stay inside the folder they would be extracted to."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, name, decode(b)) for p, content in zip(f["path"], f["content"], strict=True) for name, b in members(bytes(content))]
+            yield pd.DataFrame(rows, columns=["archive", "name", "text"])
+
+    return safe_members(raw.mapInPandas(opened, "archive string, name string, text string"))
+
+
+def safe_members(names: DataFrame, name: str = "name") -> DataFrame:
+    """Archive members that stay inside the folder they are extracted to."""
+    n = F.regexp_replace(name, r"\\", "/")
+    return names.where(~n.rlike(r"^(/|[A-Za-z]:)") & ~n.rlike(r"(^|/)\.\.(/|$)"))
+
+
 def document_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents' CSV rows: other columns, row_idx, values (name -> text). JSON bodies and header-only documents give none."""
     body = F.regexp_replace(F.col(text), "^﻿", "")

@@ -105,12 +105,6 @@ def redundant_documents(docs: DataFrame, coverage: DataFrame) -> DataFrame:
     return docs.join(done, ["dataset_id", "month"], "left_semi")
 
 
-def safe_members(names: DataFrame, name: str = "name") -> DataFrame:
-    """Archive members that stay inside the folder they are extracted to."""
-    n = F.regexp_replace(name, r"\\", "/")
-    return names.where(~n.rlike(r"^(/|[A-Za-z]:)") & ~n.rlike(r"(^|/)\.\.(/|$)"))
-
-
 def document_files(docs: DataFrame, path: str) -> None:
     """Writes each document's CSV text (dataset_id, month, doc_id, text) under its folder, as text of one partition a document's month."""
     docs.select("dataset_id", "month", "doc_id", F.col("text").alias("value")).write.mode("append").partitionBy("dataset_id", "month", "doc_id").text(path)

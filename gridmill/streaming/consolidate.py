@@ -45,23 +45,28 @@ def windowed_mean(stream: DataFrame, time: str, value: str, *keys: str, minutes:
     return stream.withWatermark(time, late).groupBy(F.window(time, f"{minutes} minutes"), *keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).select(F.col("window.start").alias("ts"), *keys, "mean", "n")
 
 
-def failure_breaks(stream: DataFrame, key: str, time: str, failed: str, limit: int = 5) -> DataFrame:
-    """A row whenever a key's consecutive failures reach the limit, after which the count begins anew; rows of a batch count in time order."""
+def failure_breaks(stream: DataFrame, key: str, time: str, failed: str, limit: int = 5, cooldown: float = 0.0) -> DataFrame:
+    """A row whenever a key's consecutive failures reach the limit, after which the count begins anew; rows of a batch count in time order.
+
+    For ``cooldown`` seconds after such a break nothing counts.
+    """
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
+        streak, until = state.get if state.exists else (0, float("-inf"))
         rows = pd.concat(list(frames)).sort_values(time)
         out = []
         for at, bad in zip(rows[time], rows[failed], strict=True):
+            if at.timestamp() < until:
+                continue
             streak = streak + 1 if bad else 0
             if streak == limit:
                 out.append((name[0], at))
-                streak = 0
-        state.update((streak,))
+                streak, until = 0, at.timestamp() + cooldown
+        state.update((streak, until))
         yield pd.DataFrame(out, columns=[key, time])
 
     kind = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {time} {kind[time]}", "streak int", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {time} {kind[time]}", "streak int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 __all__ = ["UNDATED", "consolidate", "document_stream", "failure_breaks", "windowed_mean"]

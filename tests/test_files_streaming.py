@@ -1,3 +1,4 @@
+import datetime as dt
 import io
 import json
 import zipfile
@@ -118,7 +119,7 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", None)], "x string, y int")
     assert sinks.markdown(df).first().value == "| a |  |" and sinks.markdown_header(df).startswith("| x | y |")
     names = spark.createDataFrame([("ok/a.csv",), ("../x",), ("/abs",), ("a/../../b",), ("C:\\x",)], "name string")
-    assert [r.name for r in sinks.safe_members(names).collect()] == ["ok/a.csv"]
+    assert [r.name for r in S.safe_members(names).collect()] == ["ok/a.csv"]
     sinks.write_log(spark.createDataFrame([("E", {"a": "1"})], "event string, fields map<string,string>"), str(tmp_path / "log"))
     assert spark.read.text(str(tmp_path / "log")).first().value == "E a=1"
     sinks.write_manifest(df, str(tmp_path / "m"))
@@ -152,3 +153,43 @@ def test_streamed_windows_and_breaks(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert [(r.mean, r.n) for r in spark.table("w").collect()] == [(2.0, 2)]
     assert [(r.k, r.ts.minute) for r in spark.table("b").collect()] == [("k", 25)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"row {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "a b+c%.csv").write_text("﻿h1,h2\n" + "\n".join(lines) + "\n")
+    (tmp_path / "e.csv").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = S.numbered_rows(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line for r in sorted(got, key=lambda r: r.row_idx)] == lines
+    assert [r.row_idx for r in sorted(got, key=lambda r: r.row_idx)] == list(range(3000))
+    assert {r.header for r in got} == {"h1,h2"} and {r.file.rsplit("/", 1)[1] for r in got} == {"a b+c%.csv"}
+
+
+def test_manifests_of_both_forms(spark, tmp_path):
+    df = spark.createDataFrame([(f"d{i}", "A", f"t{i}") for i in range(6)], "doc_id string, dataset_id string, postDateTime string")
+    sinks.write_manifest(df.coalesce(1), str(tmp_path / "m"))
+    (tmp_path / "m" / "old.json").write_text('[\n {"doc_id": "d9", "dataset_id": "A",\n  "post_datetime": "t9", "size": 5},\n {"doc_id": " "}\n]')
+    got = {r.doc_id: (r.posting, r.bytes) for r in S.manifest(spark, str(tmp_path / "m")).collect()}
+    assert got == {f"d{i}": (f"t{i}", None) for i in range(6)} | {"d9": ("t9", 5)}
+
+
+def test_breaks_cool_down(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    rows = [("k", at + dt.timedelta(seconds=i), True) for i in range(10)]
+    src = spark.createDataFrame(rows, "k string, ts timestamp, bad boolean")
+    src.coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "s"))
+    C.failure_breaks(stream, "k", "ts", "bad", 2, cooldown=4).writeStream.format("memory").queryName("cool").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.ts.second for r in spark.table("cool").collect()) == [1, 6]
+
+
+def test_zip_members_are_unpacked_safely(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name in ("ok/a.csv", "../out.csv", "b.csv"):
+            z.writestr(name, name.upper())
+    assert sorted((r.name, r.text) for r in S.unpacked(spark, str(tmp_path)).collect()) == [("b.csv", "B.CSV"), ("ok/a.csv", "OK/A.CSV")]

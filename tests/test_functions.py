@@ -86,3 +86,21 @@ def test_profiles():
     assert registry.resolve_ids([], ["X-1"]) == ["X-1"]
     with pytest.raises(ValueError):
         registry.resolve_ids(["nope"])
+
+
+def test_event_text_and_csv_cells_come_back(spark):
+    values = ['two words', 'say "hi" \\ there', "a=b c=d", "line\nbreak\ttab", "plain", "", None]
+    df = spark.createDataFrame([(i, {"k": v, "z": "1"}) for i, v in enumerate(values)], "i int, f map<string,string>")
+    back = df.select("i", X.event_fields(X.event_line(F.lit("E"), "f")).alias("f")).collect()
+    assert {r.i: r.f["k"] for r in back} == {i: "null" if v is None else v for i, v in enumerate(values)}
+    one = spark.createDataFrame([('E a=1 b="x" a="2 3" c=',)], "line string").select(X.event_fields("line").alias("f")).first().f
+    assert one == {"a": "2 3", "b": "x", "c": ""}
+    lines = ['1,"x, y",3', '"a ""q""",, z ', "", '"open,b', '"a"b,c']
+    cells = [r.c for r in spark.createDataFrame([(x,) for x in lines], "line string").select(X.csv_cells("line").alias("c")).collect()]
+    assert cells == [["1", "x, y", "3"], ['a "q"', "", "z"], [""], ['"open', "b"], ['"a"b', "c"]]
+
+
+def test_link_suffixes(spark):
+    links = ["x.TGZ", "x.tar?y=1", "x.gz#z", "x.xls", "x.pdf", "x.xml", "x.txt", "x"]
+    got = spark.createDataFrame([(x,) for x in links], "l string").select(X.file_link("l").alias("f")).collect()
+    assert [r.f for r in got] == [True] * 4 + [False] * 4

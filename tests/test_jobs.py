@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from gridmill import jobs
 from gridmill.plans import backfill as B
 
@@ -43,3 +45,54 @@ def test_jobs(spark, tmp_path, capsys):
     jobs.main(["datasets", "--profile", "market", "--dataset", "X"])
     out = capsys.readouterr().out
     assert "| A | done |" in out and "| NP6-788-CD | LMPs" in out
+
+
+def _month(root, d, month, header, rows, docs):
+    folder = root / d / month[:4] / month[4:]
+    folder.mkdir(parents=True)
+    (folder / f"{d}_{month}.csv").write_text("\n".join([header, *rows]) + "\n")
+    for doc_id, lines in docs.items():
+        (folder / f"report__{doc_id}.csv").write_text("\n".join(lines) + "\n")
+
+
+def test_backfill_command(spark, tmp_path, capsys):
+    root, d = tmp_path / "raw", "NP6-346-CD"
+    # November has just its documents' rows, December lacks one.
+    _month(root, d, "202511", "postDateTime,OperDay,Note", [",11/01/2025,\"a, b\"", "2025-11-09T00:00:00,11/02/2025,c"], {"1": ["OperDay,Note", "11/01/2025,\"a, b\""], "2": ["OperDay,Note", "11/02/2025,c"]})
+    _month(root, d, "202512", "OperDay,PostingTime,Note", ["12/02/2025,,q"], {"3": ["OperDay,Note", "12/01/2025,p", "12/02/2025,q"]})
+    (tmp_path / "manifest.json").write_text(json.dumps([{"dataset_id": d, "doc_id": "1", "postDateTime": "2025-11-02T00:00:00"}, {"dataset_id": "other", "doc_id": "2", "postDateTime": "x"}], indent=1))
+    (tmp_path / "cache.jsonl").write_text('{"page": 1, "doc": {"docId": "3", "postDatetime": "2025-12-03T00:00:00"}}\n{bad\n')
+    out = str(tmp_path / "out")
+    run = lambda **o: {r.month: (r.rows, r.filled, r.malformed) for r in jobs.backfill(spark, str(root), out, d, manifests=str(tmp_path / "manifest.json"), caches=str(tmp_path / "cache.jsonl"), **o).collect()}
+    want = {"202511": (2, 2, 0), "202512": (1, 1, 0)}
+    assert run(dry_run=True) == want and not (tmp_path / "out").exists()
+    assert run() == want
+    got = sorted((r.row_idx, r.posting, r.OperDay, r.Note) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "2025-11-02T00:00:00", "11/01/2025", "a, b"), (0, "2025-12-03T00:00:00", "12/02/2025", "q"), (1, "2025-11-09T00:00:00", "11/02/2025", "c")]
+    gone = sorted(r.path.rsplit("__", 1)[1] for r in jobs.removable(spark, str(root), out, d).collect())
+    assert gone == ["1.csv", "2.csv", "3.csv"]
+    assert run(mode="rebuild", order="descending") == {"202511": (2, 1, 0), "202512": (2, 2, 0)}
+    assert [str(r.first_day) for r in jobs.earliest(spark, str(tmp_path / "cache.jsonl")).collect()] == ["2025-12-03"]
+    with pytest.raises(ValueError):
+        jobs.backfill(spark, str(root), out, d)
+    assert jobs.main(["earliest", "--caches", str(tmp_path / "cache.jsonl")]) == 0
+    (root / d / f"{d}.docs.jsonl").write_text('{"docId": "4", "postDatetime": "soon"}\n')
+    assert jobs.main(["audit", "--root", str(root), "--dataset", d]) == 1
+    assert "soon" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        jobs.main(["size", "--root", "x", "--as-of", "tomorrow"])
+    assert jobs.chunk_size("2048") == 2048
+    with pytest.raises(Exception, match="not between"):
+        jobs.chunk_size("2049")
+
+
+def test_options_from_a_config(tmp_path, capsys):
+    (tmp_path / "c.json").write_text(json.dumps({"as-of": "2025-01-01", "time": {"logs": "x"}, "dataset": ["NP3-233-CD"], "none": None}))
+    assert jobs.config(str(tmp_path / "c.json")) == {"as_of": "2025-01-01", "time_logs": "x", "dataset": ["NP3-233-CD"]}
+    assert jobs.main(["datasets", "--config", str(tmp_path / "c.json"), "--dataset", "NP4-523-CD"]) == 0
+    out = capsys.readouterr().out
+    assert out.index("NP3-233-CD") < out.index("NP4-523-CD")
+    with pytest.raises(SystemExit):
+        jobs.main(["size", "--config", str(tmp_path / "c.json")])
+    with pytest.raises(ValueError):
+        jobs.config(str(tmp_path / "c.txt")) if (tmp_path / "c.txt").write_text("") == 0 else None

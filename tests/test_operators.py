@@ -121,3 +121,12 @@ def test_windows(spark):
     docs = W.offsets(spark.createDataFrame([("m", "a", 2), ("m", "b", 0), ("m", "c", 1)], "month string, doc_id string, n long"), "n", ["month"], ["doc_id"])
     rows = spark.range(4).select(F.lit("m").alias("month"), F.col("id").alias("row_idx"))
     assert [r.doc_id for r in J.fill_by_position(rows, docs).orderBy("row_idx").collect()] == ["a", "a", "c", None]
+
+
+def test_ordinals_by_bucket_number_as_one_window_does(spark):
+    df = spark.range(500).selectExpr("id % 3 AS k", "id div 40 AS b", "id AS o")
+    up = W.ordinals(df, ["k"], "b", [F.col("o")], "n").collect()
+    down = W.ordinals(df, ["k"], "b", [F.desc("o")], "n", descending=True).collect()
+    for k in range(3):
+        assert [r.o for r in sorted((r for r in up if r.k == k), key=lambda r: r.n)] == list(range(k, 500, 3))
+        assert [r.o for r in sorted((r for r in down if r.k == k), key=lambda r: r.n)] == list(range(k, 500, 3))[::-1]
