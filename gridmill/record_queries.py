@@ -87,14 +87,14 @@ def document_rows(spark, d):
     return found.select("doc_id", "row_idx", F.col("values")["label"].alias("label"), F.col("values")["quantity"].cast("long").alias("quantity"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 40 = 0")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, s_name AS name, s_nationkey AS nation FROM supplier")
 def document_files(spark, d):
-    """Documents written to a file each, found by the ids in their names and opened."""
-    root = scratch(spark, "files")
-    picked = table(spark, d, "orders").where("o_orderkey % 40 = 0")
-    header = picked.select("o_orderkey", F.lit(0).alias("i"), F.lit("status").alias("value"))
-    K.export_files(header.unionByName(picked.select("o_orderkey", F.lit(1).alias("i"), F.col("o_orderstatus").alias("value"))), root, "o_orderkey", ["i"], lambda k: f"report__{k}.csv")
-    return S.document_rows(S.documents(spark, root)).select("doc_id", F.col("values")["status"].alias("status"))
+    """A document of each supplier written to a file, found by the id in its name and opened."""
+    root, s = scratch(spark, "files"), table(spark, d, "supplier")
+    header = s.select("s_suppkey", F.lit(0).alias("i"), F.lit("name,nation").alias("value"))
+    body = s.select("s_suppkey", F.lit(1).alias("i"), F.concat("s_name", F.lit(","), F.col("s_nationkey").cast("string")).alias("value"))
+    K.export_files(header.unionByName(body), root, "s_suppkey", ["i"], lambda k: f"report__{k}.csv")
+    return S.document_rows(S.documents(spark, root)).select("doc_id", F.col("values")["name"].alias("name"), F.col("values")["nation"].cast("int").alias("nation"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS posting FROM orders WHERE o_orderkey % 7 <> 0")
