@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from gridmill.llm import ann, decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, token_counts, url_filter
+from gridmill.llm import ann, collocations, decontaminate, divergence, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,8 @@ QUERIES = {
     "op10_nearest_neighbours": ann.query,
     "op2_url_filter": url_filter.query,
     "op4_token_counts": token_counts.query,
+    "op11_collocations": collocations.query,
+    "op12_divergence": divergence.query,
     "op13_exact_dedup": exact_dedup.query,
 }
 ORACLES = {
@@ -24,5 +26,7 @@ ORACLES = {
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op1_secret_scan": secret_scan.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_divergence": divergence.ORACLE,
     "op13_exact_dedup": exact_dedup.ORACLE,
 }
