@@ -122,11 +122,11 @@ def fingerprints(docs: DataFrame, bases: tuple[int, ...], moduli: tuple[int, ...
     return short.unionByName(long_rows).groupBy("doc_id", "x", "sha", "n", "f").agg(F.count("*").alias("copies"))
 
 
-def compared(docs: DataFrame, open_rows: DataFrame, chunk: int, salt_rows: int) -> DataFrame:
-    """doc_id, x, n, f, rep (its group's smallest row) and same (equal to it), for rows (doc_id, x, n, f)."""
-    least = open_rows.groupBy("n", "f").agg(F.min(F.struct("doc_id", "x")).alias("rep"), F.count("*").alias("rows"))
-    wanted = open_rows.join(least, ["n", "f"]).withColumn("salts", F.ceil(F.col("rows") / salt_rows).cast("int"))
-    texts = docs.withColumn("x", F.xxhash64(F.coalesce("text", F.lit("")))).join(wanted.drop("rows"), ["doc_id", "x"])
+def compared(docs: DataFrame, rows: DataFrame, least: DataFrame, chunk: int, salt_rows: int) -> DataFrame:
+    """doc_id, x, n, f, rep (its group's smallest row) and same (equal to it), for rows (doc_id, x, n, f) of the groups in least."""
+    wanted = rows.join(least, ["n", "f"]).withColumn("salts", F.ceil(F.col("rows") / salt_rows).cast("int"))
+    # What is wanted has no bound, so it is merged with the texts at every size.
+    texts = docs.withColumn("x", F.xxhash64(F.coalesce("text", F.lit("")))).join(wanted.drop("rows").hint("merge"), ["doc_id", "x"])
     # Rows that repeat a doc_id and its text give it once.
     texts = materialise(texts.select("doc_id", "x", "n", "f", "rep", "salts", normalised(F.col("text")).cast("binary").alias("body")), "texts")
     first = (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("x") == F.col("rep.x"))
@@ -143,11 +143,13 @@ def classes(docs: DataFrame, bases: tuple[int, ...] = BASES, moduli: tuple[int,
     docs = docs_of(docs)
     prints = materialise(fingerprints(docs, bases, moduli, chunk), "prints")
     named = prints.where(F.col("doc_id").isNotNull())
-    shared = named.groupBy("n", "f").agg(F.count("*").alias("rows")).where("rows > 1").select("n", "f")
-    open_rows = materialise(named.select("doc_id", "x", "n", "f").join(shared, ["n", "f"], "left_semi"), "open")
-    settled = []
-    while open_rows.limit(1).count():
-        done = materialise(compared(docs, open_rows, chunk, salt_rows), "compared")
+    open_rows, settled = named.select("doc_id", "x", "n", "f"), []
+    while True:
+        # Written, so that a hot fingerprint's rows meet their one group in a join that Spark can split.
+        least = materialise(open_rows.groupBy("n", "f").agg(F.min(F.struct("doc_id", "x")).alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "least")
+        if not least.limit(1).count():
+            break
+        done = materialise(compared(docs, open_rows, least, chunk, salt_rows), "compared")
         settled.append(done.where("same").select("doc_id", "x", F.col("rep.doc_id").alias("keep_id"), F.col("rep.x").alias("keep_x")))
         open_rows = done.where(~F.col("same")).select("doc_id", "x", "n", "f")
     alone = prints.select("doc_id", "x", "sha", "copies")
