@@ -129,10 +129,19 @@ def event_fields(line: Column | str) -> Column:
 
 
 def csv_cells(line: Column | str) -> Column:
-    """The cells of one CSV line: quoted ones may hold commas and doubled quotes; other cells are trimmed."""
+    """The cells of one CSV line: quoted ones may hold commas and doubled quotes; other cells are trimmed. A line without quotes is just split."""
     raw = F.regexp_extract_all(F.concat(_c(line), F.lit(",")), F.lit(r'(\s*"[^"]*+(?:""[^"]*+)*+"\s*|[^,]*+),'), F.lit(1))
     bare = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
-    return F.transform(F.transform(raw, lambda x: F.trim(x)), lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.char_length(x) > 1), bare(x)).otherwise(x))
+    quoted = F.transform(F.transform(raw, lambda x: F.trim(x)), lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.char_length(x) > 1), bare(x)).otherwise(x))
+    return F.when(_c(line).contains('"'), quoted).otherwise(F.transform(F.split(_c(line), ","), lambda x: F.trim(x)))
+
+
+def csv_records(body: Column | str) -> Column:
+    """The CSV records of a whole text, blank ones left out; a line break inside quotes belongs to its cell. A quote that is never closed ends with the text."""
+    cell = r'(?:[ \t]*+"[^"]*+(?:""[^"]*+)*+"?)?+[^,\r\n]*+'
+    found = F.regexp_extract_all(_c(body), F.lit(f"({cell}(?:,{cell})*+)"), F.lit(1))
+    plain = F.split(_c(body), r"\r\n|[\r\n]")
+    return F.filter(F.when(_c(body).contains('"'), found).otherwise(plain), lambda x: F.trim(x) != "")
 
 
 def json_doc_id(json: Column | str) -> Column:
@@ -146,6 +155,7 @@ def json_link(json: Column | str, rel: str) -> Column:
 
 def name_failure(error: Column | str) -> Column:
     """Whether an error's text is that of a host name that could not be resolved."""
+    # What resolvers say.
     markers = ["name resolution", "nodename nor servname", "name or service not known", "getaddrinfo failed", "failed to resolve"]
     low = F.lower(_c(error))
     return F.coalesce(F.greatest(*[low.contains(m) for m in markers]), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.text import blank_to_null, fingerprint
@@ -56,8 +56,13 @@ def fill_by_fingerprint(targets: DataFrame, sources: DataFrame, columns: list[st
         return t.join(one.where(use).select("__f", F.col("__lo").alias("__new")), "__f", "left").withColumn(posting, blank_to_null("__new")).drop("__f", "__new")
     need = blank_to_null(posting).isNull()
     t = t.withColumn("__need", need).withColumn("__b", part)
-    t = ordinals(t, ["__f", "__need"], "__b", [F.col(order)], "__k").withColumn("__k", F.when(F.col("__need"), F.col("__k"))).drop("__b")
-    s = ordinals(s, ["__f"], "__b", [F.desc("__o")], "__k", descending=True).drop("__o", "__b")
+    if bucket is None:
+        t = t.withColumn("__k", F.row_number().over(Window.partitionBy("__f", "__need").orderBy(order)))
+        s = s.withColumn("__k", F.row_number().over(Window.partitionBy("__f").orderBy(F.desc("__o"))))
+    else:
+        t = ordinals(t, ["__f", "__need"], "__b", [F.col(order)], "__k")
+        s = ordinals(s, ["__f"], "__b", [F.desc("__o")], "__k", descending=True)
+    t, s = t.withColumn("__k", F.when(F.col("__need"), F.col("__k"))).drop("__b"), s.drop("__o", "__b")
     return t.join(s, ["__f", "__k"], "left").withColumn(posting, F.when(F.col("__need"), blank_to_null("__p")).otherwise(F.col(posting))).drop("__f", "__k", "__need", "__p")
 
 
@@ -68,15 +73,17 @@ def collisions(rows: DataFrame, columns: list[str]) -> DataFrame:
     return held.select(*[F.col("__f")[f"f{i}"].alias(c) for i, c in enumerate(columns)], "n")
 
 
-def fill_by_position(rows: DataFrame, docs: DataFrame, month: str = "month", row_idx: str = "row_idx") -> DataFrame:
+def fill_by_position(rows: DataFrame, docs: DataFrame, month: str = "month", row_idx: str = "row_idx", give: dict[str, str] | None = None) -> DataFrame:
     """Gives each row of a month the document it lies in; docs: month, doc_id, row_start, row_end (see windows.offsets).
 
-    A document is spread to its row numbers once, so that rows meet it by equal keys.
+    A document is spread to its row numbers once, so that rows meet it by equal keys. give: new name -> column of docs,
+    in place of doc_id.
     """
+    give = give or {"doc_id": "doc_id"}
     numbers = F.explode(F.sequence("row_start", F.col("row_end") - 1))
-    spread = docs.where("row_end > row_start").select(F.col(month).alias("__m"), F.col("doc_id").alias("__doc"), numbers.alias("__at"))
+    spread = docs.where("row_end > row_start").select(F.col(month).alias("__m"), *[F.col(c).alias(f"__g_{n}") for n, c in give.items()], numbers.alias("__at"))
     at = (F.col(month) == F.col("__m")) & (F.col(row_idx) == F.col("__at"))
-    return rows.join(spread, at, "left").select(*rows.columns, F.col("__doc").alias("doc_id"))
+    return rows.join(spread, at, "left").select(*rows.columns, *[F.col(f"__g_{n}").alias(n) for n in give])
 
 
 def renamed_ids(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:

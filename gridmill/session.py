@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC, so that truncating local times never meets a zone change; partitions are replaced one by one on overwrite.
 CONF = {
@@ -36,3 +36,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
     return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in a scratch folder and rereads it: what is built on it twice is computed once, and a lost executor costs its own tasks only."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmill.functions.text import blank_to_null, clean_header, csv_cells, doc_id_of, event_fields, file_link, json_doc_id, posting_column
+from gridmill.functions.text import blank_to_null, clean_header, csv_cells, csv_records, doc_id_of, event_fields, file_link, json_doc_id, posting_column
 from gridmill.functions.timeparse import month_of_path, parse_iso
+from gridmill.session import saved
 
 #: Monthly files are <id>_YYYYMM.csv; documents beside them are <name>__<doc id>.csv or .zip.
 MONTHLY = "_[0-9][0-9][0-9][0-9][0-9][0-9].csv"
@@ -45,31 +46,40 @@ def file_of() -> Column:
 
 
 def lines_of(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """file, line_no (from 0, in file order), line and header (the file's first line) of every line of text files.
+    """file, line_no (from 0, in file order), line, header (the file's first line) and broken (whether a quote of the file stays open at a line's end) of every line of text files.
 
-    Files are read in splits by as many tasks as they need. Within a split lines come in order; a split's
-    first line number is the count of the lines before it, from one small aggregate of a row a split.
+    Files are read once, in splits by as many tasks as they need, and written with each line's place in its
+    split. A split's first line number is the count of the lines before it, from one small aggregate of a row a split.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     read = reader.text(paths).select(file_of().alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"), "value")
-    splits = read.groupBy("file", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"), F.min_by("value", "__id").alias("__line"))
-    before = Window.partitionBy("file").orderBy("__split")
-    starts = splits.withColumn("__start", F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).withColumn("header", F.first("__line").over(before))
+    read = saved(read, "lines")
+    odd = F.max((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
+    splits = read.groupBy("file", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"), F.min_by("value", "__id").alias("__line"), odd.alias("__odd"))
+    before, whole = Window.partitionBy("file").orderBy("__split"), Window.partitionBy("file")
+    starts = splits.withColumn("__start", F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).withColumn("header", F.first("__line").over(before)).withColumn("broken", F.max("__odd").over(whole) == 1)
     clean = lambda c: F.regexp_replace(c, "^\ufeff", "")
     number = (F.col("__id") - F.col("__first") + F.col("__start")).alias("line_no")
     line = F.when(number == 0, clean(F.col("value"))).otherwise(F.col("value"))
-    return read.join(starts.drop("__n", "__line"), ["file", "__split"]).select("file", number, line.alias("line"), clean(F.col("header")).alias("header"))
+    return read.join(starts.drop("__n", "__line", "__odd"), ["file", "__split"]).select("file", number, line.alias("line"), clean(F.col("header")).alias("header"), "broken")
 
 
 def numbered_rows(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """file, header, row_idx (from 0, in file order) and text of every line but the header and blank ones.
+    """file, header, row_idx (from 0, in file order) and text of every CSV record but the header and blank ones.
 
-    Row order is data here. Lines of CSV records with line breaks inside quotes aren't supported; market files have none.
+    Row order is data here. A file with line breaks inside quotes is read whole, by one task, since its lines
+    are no records; all others are read in splits.
     """
-    lines = lines_of(spark, paths, glob).where((F.col("line_no") > 0) & (F.trim("line") != ""))
-    return lines.select("file", "header", (F.col("line_no") - 1).alias("row_idx"), "line")
+    lines = lines_of(spark, paths, glob)
+    broken = [r.file for r in lines.where("broken").select("file").distinct().collect()]  # names of files, not rows
+    rows = lines.where(~F.col("broken") & (F.col("line_no") > 0) & (F.trim("line") != "")).select("file", "header", (F.col("line_no") - 1).alias("row_idx"), "line")
+    if broken:
+        whole = spark.read.text(broken, wholetext=True).select(file_of().alias("file"), csv_records(F.regexp_replace("value", "^\ufeff", "")).alias("__r"))
+        parts = whole.select("file", F.get("__r", F.lit(0)).alias("header"), F.posexplode(F.slice("__r", 2, F.size("__r"))).alias("row_idx", "line"))
+        rows = rows.unionByName(parts.withColumn("row_idx", F.col("row_idx").cast("long")))
+    return rows
 
 
 def first_line(spark: SparkSession, path: str) -> str:
@@ -83,16 +93,27 @@ def first_line(spark: SparkSession, path: str) -> str:
         reader.close()
 
 
+def headers(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The header's names of each file, of which only the first lines are read; one that is cut inside quotes ends there."""
+    with ThreadPoolExecutor(8) as pool:
+        return [[c.strip() for c in next(csv.reader([h]), [])] for h in pool.map(lambda p: first_line(spark, p), paths)]
+
+
+def monthly_paths(spark: SparkSession, root: str, dataset_id: str, start: str | None = None, end: str | None = None) -> list[str]:
+    """Names of a dataset's monthly files; none is an error."""
+    files = monthly_files(spark, root, dataset_id).where(in_window(F.col("month"), start, end))
+    if not (paths := [r.path for r in files.select("path").orderBy("path").collect()]):
+        raise FileNotFoundError(f"no monthly file of {dataset_id} under {root}")
+    return paths
+
+
 def read_monthly(spark: SparkSession, root: str, dataset_id: str, schema: T.StructType | str | None = None, columns: list[str] | None = None, start: str | None = None, end: str | None = None, origin: bool = False) -> DataFrame:
     """All monthly files of a dataset as text columns (or by the schema given); no file is an error.
 
     Per-document files in the same folders are left out. Columns not asked for are pruned by the reader.
     origin adds source_file and source_month.
     """
-    files = monthly_files(spark, root, dataset_id).where(in_window(F.col("month"), start, end))
-    paths = [r.path for r in files.select("path").orderBy("path").collect()]  # names of files, not rows
-    if not paths:
-        raise FileNotFoundError(f"no monthly file of {dataset_id} under {root}")
+    paths = monthly_paths(spark, root, dataset_id, start, end)
     reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).option("mode", "PERMISSIVE")
 
     def read(shape: T.StructType | str, chosen: list[str]) -> DataFrame:
@@ -104,11 +125,9 @@ def read_monthly(spark: SparkSession, root: str, dataset_id: str, schema: T.Stru
     if schema is not None:
         df = read(schema, paths)
     else:  # headers may differ by month: the union of all, by name. Only first lines are read for them.
-        with ThreadPoolExecutor(8) as pool:
-            heads = list(pool.map(lambda p: first_line(spark, p), paths))
         alike: dict[tuple[str, ...], list[str]] = {}
-        for h, p in zip(heads, paths, strict=True):
-            alike.setdefault(tuple(c.strip() for c in next(csv.reader([h]), [])), []).append(p)
+        for h, p in zip(headers(spark, paths), paths, strict=True):
+            alike.setdefault(tuple(h), []).append(p)
         frames = [read(T.StructType([T.StructField(c, T.StringType()) for c in h]), p) for h, p in alike.items()]
         df = frames[0]
         for f in frames[1:]:
@@ -119,31 +138,67 @@ def read_monthly(spark: SparkSession, root: str, dataset_id: str, schema: T.Stru
 
 
 def monthly_rows(spark: SparkSession, root: str, dataset_id: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, list[str]]:
-    """month (text YYYYMM), row_idx, posting and the other columns (as text) of a dataset's monthly files, and these columns' names."""
-    files = monthly_files(spark, root, dataset_id).where(in_window(F.col("month"), start, end))
-    paths = [r.path for r in files.select("path").orderBy("path").collect()]  # names of files, not rows
-    if not paths:
-        raise FileNotFoundError(f"no monthly file of {dataset_id} under {root}")
-    lines = numbered_rows(spark, paths).withColumn("__h", F.transform(csv_cells("header"), lambda x: F.trim(x))).withColumn("__v", csv_cells("line"))
-    heads = [r.h for r in lines.groupBy(F.col("__h").alias("h")).agg(F.min("file").alias("f")).orderBy("f").collect()]  # headers, a row for each kind
-    columns = list(dict.fromkeys(c for h in heads for c in clean_header(h)))
-    # By position in the row's own header; a repeated name keeps its first column.
-    cell = lambda name: F.get("__v", F.array_position("__h", name).cast("int") - 1)
-    at = F.lit(None).cast("string")
-    for h in reversed(heads):
-        if name := posting_column(h):
-            at = F.when(F.col("__h") == F.array(*map(F.lit, h)), cell(name)).otherwise(at)
-    month = F.regexp_extract("file", r"_(\d{6})\.csv$", 1).alias("month")
-    return lines.select(month, "row_idx", F.coalesce(at, F.lit("")).alias("posting"), *[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns]), columns
-
-
-def month_documents(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """month (text YYYYMM, by folder), doc_id, doc_position (in order of path), row_idx and columns of the documents' rows beside monthly files."""
-    docs = documents(spark, root).withColumn("month", F.concat(F.regexp_extract("path", r"/(\d{4})/(\d{2})/[^/]*$", 1), F.regexp_extract("path", r"/(\d{4})/(\d{2})/[^/]*$", 2)))
-    place = F.row_number().over(Window.partitionBy("month").orderBy("path", "doc_id")) - 1
-    placed = docs.select("path", "doc_id", "month").distinct().withColumn("doc_position", place)
-    rows = document_rows(docs).join(placed, ["path", "doc_id", "month"])
-    return rows.select("month", "doc_id", "doc_position", "row_idx", *[F.coalesce(F.try_element_at("values", F.lit(c)), F.lit("")).alias(c) for c in columns])
+    """month (text YYYYMM), row_idx, posting and the other columns (as text) of a dataset's monthly files, and these columns' names.
+
+    Headers come from the files' first lines, so a row's cells are taken by places that are known before it is read.
+    """
+    paths = monthly_paths(spark, root, dataset_id, start, end)
+    heads = list(dict.fromkeys(map(tuple, headers(spark, paths))))
+    columns = list(dict.fromkeys(c for h in heads for c in clean_header(list(h))))
+    lines = numbered_rows(spark, paths).withColumn("__v", csv_cells("line")).withColumn("__h", F.concat_ws("\n", csv_cells("header")))
+
+    def cell(name_of) -> Column:
+        """The cell of each header's own column; a repeated name keeps its first."""
+        out = F.lit(None).cast("string")
+        for h in heads:
+            if (name := name_of(list(h))) in h:
+                out = F.when(F.col("__h") == "\n".join(h), F.get("__v", F.lit(h.index(name)))).otherwise(out)
+        return F.coalesce(out, F.lit(""))
+
+    return lines.select(month_text("file"), "row_idx", cell(posting_column).alias("posting"), *[cell(lambda _, c=c: c).alias(c) for c in columns]), columns
+
+
+def month_text(path: str) -> Column:
+    """month (text YYYYMM) of a monthly file or of a file beside it."""
+    return F.regexp_extract(path, r"_(\d{6})\.csv[^/]*$", 1).alias("month")
+
+
+def unposted_months(spark: SparkSession, root: str, dataset_id: str, start: str | None = None, end: str | None = None) -> list[str]:
+    """Months (text YYYYMM) whose monthly file has no posting-time column."""
+    paths = monthly_paths(spark, root, dataset_id, start, end)
+    return [re.search(r"_(\d{6})\.csv$", p)[1] for p, h in zip(paths, headers(spark, paths), strict=True) if not posting_column(h)]
+
+
+def month_markers(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
+    """month (text YYYYMM), doc_position, doc_id of the marker files beside monthly files: the documents in the order in which their rows were laid."""
+    lines = lines_of(spark, root, f"{dataset_id}{MONTHLY}.docids")
+    return lines.select(month_text("file"), F.col("line_no").alias("doc_position"), F.trim("line").alias("doc_id")).where("doc_id <> ''")
+
+
+def sort_classes(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
+    """month (text YYYYMM) and classification of the sort notes beside monthly files: 'skipped' (never sorted) or 'sorted'; others are left out."""
+    notes = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{dataset_id}{MONTHLY}.sortcache.json").text(root, wholetext=True)
+    found = notes.select(month_text(file_of()), F.trim(F.get_json_object("value", "$.classification")).alias("classification"))
+    return found.where(F.col("classification").isin("sorted", "skipped"))
+
+
+def month_documents(spark: SparkSession, root: str, columns: list[str], dataset_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents beside a dataset's monthly files: (month, doc_id) of each (month: text YYYYMM, by folder), and month, doc_id, row_idx, columns of their rows.
+
+    Documents are opened once; of several files of a document in a month the first by path counts.
+    """
+    own = f"{root.rstrip('/')}/{dataset_id}"
+    docs = documents(spark, own if dataset_id and path_exists(spark, own) else root)
+    at = r"/(\d{4})/(\d{2})/[^/]*$"
+    docs = docs.withColumn("month", F.concat(F.regexp_extract("path", at, 1), F.regexp_extract("path", at, 2)))
+    docs = saved(docs.groupBy("month", "doc_id").agg(F.min_by("text", "path").alias("text")), "documents")
+    rows = document_rows(docs, columns=columns)
+    return docs.select("month", "doc_id"), saved(rows.select("month", "doc_id", F.col("row_idx").cast("long").alias("row_idx"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns]), "document_rows")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def dataset_ids(spark: SparkSession, root: str) -> DataFrame:
@@ -250,16 +305,25 @@ def safe_members(names: DataFrame, name: str = "name") -> DataFrame:
     return names.where(~n.rlike(r"^(/|[A-Za-z]:)") & ~n.rlike(r"(^|/)\.\.(/|$)"))
 
 
-def document_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents' CSV rows: other columns, row_idx, values (name -> text). JSON bodies and header-only documents give none."""
-    body = F.regexp_replace(F.col(text), "^﻿", "")
-    usable = docs.where(~F.ltrim(body).rlike(r"^[{\[]"))
-    lines = usable.withColumn("__l", F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != "")).where(F.size("__l") > 1)
-    rows = lines.withColumn("__h", csv_cells(F.element_at("__l", 1))).select(*[c for c in docs.columns if c != text], "__h", F.posexplode(F.slice("__l", 2, F.size("__l") - 1)).alias("row_idx", "__row"))
-    # A repeated header name keeps its first column.
-    pairs = F.filter(F.arrays_zip(F.col("__h").alias("k"), csv_cells(F.col("__row")).alias("v")), lambda x: (x["k"] != "") & x["k"].isNotNull())
-    seen = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
-    return rows.withColumn("__p", pairs).withColumn("values", F.map_from_arrays(seen, F.transform(seen, lambda k: F.filter("__p", lambda x: x["k"] == k)[0]["v"]))).drop("__h", "__row", "__p")
+def document_rows(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The documents' CSV rows: other columns, row_idx, and values (name -> text), or the columns named instead (null where a document lacks one).
+
+    JSON bodies and header-only documents give none; a line break inside quotes belongs to its cell. A document's header
+    is resolved once: the first place of each of its names, or of each column asked for.
+    """
+    body = F.regexp_replace(F.col(text), "^\ufeff", "")
+    others = [c for c in docs.columns if c != text]
+    usable = docs.where(~F.ltrim(body).rlike(r"^[{\[]")).select(*others, csv_records(body).alias("__l")).where(F.size("__l") > 1)
+    heads = usable.withColumn("__h", csv_cells(F.element_at("__l", 1)))
+    if columns is not None:
+        heads = heads.withColumn("__at", F.array(*[F.array_position("__h", F.lit(c)).cast("int") - 1 for c in columns]))
+    else:
+        heads = heads.withColumn("__n", F.filter(F.array_distinct("__h"), lambda x: x != "")).withColumn("__at", F.transform("__n", lambda k: F.array_position("__h", k).cast("int") - 1))
+    names = ["__at"] if columns is not None else ["__at", "__n"]
+    rows = heads.select(*others, *names, F.posexplode(F.slice("__l", 2, F.size("__l") - 1)).alias("row_idx", "__row")).withColumn("__v", csv_cells("__row"))
+    if columns is not None:
+        return rows.select(*others, "row_idx", *[F.get("__v", F.get("__at", F.lit(i))).alias(c) for i, c in enumerate(columns)])
+    return rows.select(*others, "row_idx", F.map_from_arrays("__n", F.transform("__at", lambda i: F.get("__v", i))).alias("values"))
 
 
 def listing_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridmill.functions.text import blank_to_null, clean_header, event_line, posting_column
 from gridmill.functions.timeparse import parse_iso
 from gridmill.registry import POSTING_NAMES
+from gridmill.sources.files import path_exists
 
 UNDATED = "undated"
 
@@ -30,11 +31,6 @@ def replace_partitions(df: DataFrame, path: str, by: list[str] = ("dataset_id",
     df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def append_documents(rows: DataFrame, path: str, known: DataFrame | None, posting: str = "posting") -> DataFrame:
     """Appends rows (dataset_id, doc_id, posting, ...) of documents that the table doesn't hold yet; returns what it wrote.
 

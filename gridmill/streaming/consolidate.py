@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridmill.sources.sinks import UNDATED, month_columns, path_exists
+from gridmill.sources.files import path_exists
+from gridmill.sources.sinks import UNDATED, month_columns
 
 
 def document_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:

@@ -47,10 +47,14 @@ def test_jobs(spark, tmp_path, capsys):
     assert "| A | done |" in out and "| NP6-788-CD | LMPs" in out
 
 
-def _month(root, d, month, header, rows, docs):
+def _month(root, d, month, header, rows, docs, markers=None, sort=None):
     folder = root / d / month[:4] / month[4:]
     folder.mkdir(parents=True)
     (folder / f"{d}_{month}.csv").write_text("\n".join([header, *rows]) + "\n")
+    if markers is not False:
+        (folder / f"{d}_{month}.csv.docids").write_text("\n".join(markers or sorted(docs)) + "\n")
+    if sort:
+        (folder / f"{d}_{month}.csv.sortcache.json").write_text(json.dumps({"classification": sort}))
     for doc_id, lines in docs.items():
         (folder / f"report__{doc_id}.csv").write_text("\n".join(lines) + "\n")
 
@@ -86,6 +90,84 @@ def test_backfill_command(spark, tmp_path, capsys):
         jobs.chunk_size("2049")
 
 
+def _cache(path, postings):
+    path.write_text("".join(json.dumps({"page": 1, "doc": {"docId": k, "postDatetime": v}}) + "\n" for k, v in postings.items()))
+    return str(path)
+
+
+def _rows(spark, out, month):
+    df = spark.read.parquet(out).where(f"concat(format_string('%04d', int(year)), format_string('%02d', int(month))) = '{month}'")
+    return [(r.posting, r.v) for r in df.orderBy("row_idx").collect()]
+
+
+def test_backfill_lays_documents_in_the_order_of_the_markers(spark, tmp_path):
+    root, d = tmp_path / "raw", "NP6-346-CD"
+    docs = {"1": ["v", "same"], "2": ["v", "same"]}
+    # Only a table without a posting column that was never sorted is filled by position.
+    _month(root, d, "202511", "v", ["same", "same"], docs, markers=["2", "1"], sort="skipped")
+    cache = _cache(tmp_path / "c.jsonl", {"1": "2025-11-01T00:00:00", "2": "2025-11-02T00:00:00"})
+    out = str(tmp_path / "out")
+    jobs.backfill(spark, str(root), out, d, caches=cache, order="none")
+    assert _rows(spark, out, "202511") == [("2025-11-02T00:00:00", "same"), ("2025-11-01T00:00:00", "same")]
+    new = str(tmp_path / "new")
+    jobs.backfill(spark, str(root), new, d, caches=cache, order="none", mode="rebuild")
+    assert _rows(spark, new, "202511") == [("2025-11-02T00:00:00", "same"), ("2025-11-01T00:00:00", "same")]
+    jobs.backfill(spark, str(root), new, d, caches=cache, mode="rebuild")
+    assert _rows(spark, new, "202511") == [("2025-11-01T00:00:00", "same"), ("2025-11-02T00:00:00", "same")]
+
+
+def test_backfill_by_fingerprint_where_order_is_not_known(spark, tmp_path):
+    """With as many rows as the documents have, but sorted or with a posting column: rows are matched, not counted off."""
+    root, d = tmp_path / "raw", "NP6-346-CD"
+    docs = {"1": ["v", "from1"], "2": ["v", "from2"]}
+    _month(root, d, "202511", "v", ["from2", "from1"], docs, markers=["1", "2"], sort="sorted")
+    _month(root, d, "202512", "postDateTime,v", [",from2", ",from1"], docs, markers=["1", "2"], sort="skipped")
+    cache, out = _cache(tmp_path / "c.jsonl", {"1": "2025-11-01T00:00:00", "2": "2025-11-02T00:00:00"}), str(tmp_path / "out")
+    jobs.backfill(spark, str(root), out, d, caches=cache, order="none")
+    for month in ("202511", "202512"):
+        assert _rows(spark, out, month) == [("2025-11-02T00:00:00", "from2"), ("2025-11-01T00:00:00", "from1")]
+
+
+def test_backfill_takes_state_before_manifest_before_service(spark, tmp_path):
+    root, d = tmp_path / "raw", "NP6-346-CD"
+    _month(root, d, "202511", "v", ["a", "b", "c", "d"], {k: ["v", k] for k in "abcd"})
+    (tmp_path / "m.json").write_text(json.dumps([{"dataset_id": d, "doc_id": k, "postDateTime": f"2025-11-0{i}T00:00:00"} for k, i in (("a", 4), ("b", 5))]))
+    cache = _cache(tmp_path / "c.jsonl", {"a": "2025-11-01T00:00:00", "b": ""})
+    fetched = _cache(tmp_path / "f.jsonl", {"a": "2025-11-08T00:00:00", "b": "2025-11-08T00:00:00", "c": "2025-11-09T00:00:00"})
+    out = str(tmp_path / "out")
+    told = jobs.backfill(spark, str(root), out, d, manifests=str(tmp_path / "m.json"), caches=cache, fetched=fetched).first()
+    assert _rows(spark, out, "202511") == [("2025-11-01T00:00:00", "a"), ("2025-11-05T00:00:00", "b"), ("2025-11-09T00:00:00", "c"), ("", "d")]
+    assert (told.docs, told.docs_missing_posting, told.status, told.filled, told.filled_before) == (4, 1, "updated", 3, 0)
+
+
+def test_months_that_cannot_be_repaired_stay(spark, tmp_path):
+    root, d = tmp_path / "raw", "NP6-346-CD"
+    _month(root, d, "202510", "v", ["x", "y"], {"1": ["v", "x"]}, markers=["1", "gone"])
+    _month(root, d, "202511", "v", ["p"], {"3": ["v", "p"]}, markers=False)
+    _month(root, d, "202512", "v", ["q"], {"4": ["v", "q", "r"]})
+    # The same document id and folder of another dataset is none of this one's.
+    _month(root, "NP6-905-CD", "202512", "v", ["z"], {"4": ["v", "z"]})
+    cache, out = _cache(tmp_path / "c.jsonl", {"1": "2025-10-01T00:00:00", "4": "2025-12-01T00:00:00"}), str(tmp_path / "out")
+    run = lambda **o: {r.month: (r.status, r.rows, r.filled, r.missing_sources) for r in jobs.backfill(spark, str(root), out, d, caches=cache, **o).collect()}
+    want = {"202510": ("skipped_missing_sources", 2, 0, 1), "202511": ("missing_docids", 1, 0, 0), "202512": ("rebuilt", 2, 2, 0)}
+    assert run(mode="rebuild", dry_run=True) == want | {"202512": ("planned", 2, 2, 0)}
+    assert run(mode="rebuild") == want
+    assert _rows(spark, out, "202510") == [("", "x"), ("", "y")] and _rows(spark, out, "202511") == [("", "p")]
+    # What is missing for a rebuild doesn't keep the others' rows from being filled; those of before stay.
+    assert run() == {"202510": ("updated_row_count_mismatch", 2, 1, 1), "202511": ("missing_docids", 1, 0, 0), "202512": ("updated_row_count_mismatch", 1, 1, 0)}
+    assert _rows(spark, out, "202510") == [("2025-10-01T00:00:00", "x"), ("", "y")]
+    assert run(mode="rebuild")["202510"] == ("skipped_missing_sources", 2, 1, 1)
+    assert _rows(spark, out, "202510") == [("2025-10-01T00:00:00", "x"), ("", "y")]
+
+
+def test_rows_in_posting_order(spark):
+    rows = [(1, i, p) for i, p in enumerate(["2025-01-03T01:00:00", "", "2025-01-01T05:00:00", "2025-01-03T00:00:00", "2025-01-03T01:00:00"])]
+    df = spark.createDataFrame(rows, "month int, row_idx long, posting string")
+    got = lambda order: [r.posting[8:13] for r in B.in_posting_order(df, order).orderBy("row_idx").collect()]
+    assert got("ascending") == ["01T05", "03T00", "03T01", "03T01", ""]
+    assert got("descending") == ["03T01", "03T01", "03T00", "01T05", ""]
+
+
 def test_options_from_a_config(tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps({"as-of": "2025-01-01", "time": {"logs": "x"}, "dataset": ["NP3-233-CD"], "none": None}))
     assert jobs.config(str(tmp_path / "c.json")) == {"as_of": "2025-01-01", "time_logs": "x", "dataset": ["NP3-233-CD"]}
