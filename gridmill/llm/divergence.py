@@ -7,10 +7,11 @@ in each (lang, source) group and in each language; two of them differ by f(p, q)
 1. Document frequencies. A task takes each document's distinct terms and adds them up by language before they
    are shuffled.
 2. Occurrences. Kept terms are dealt to shards by checksum, at most about ``SHARD_TERMS`` of a language each, and
-   the documents' whole texts are cut up in the same way: a shard gets the words that may be its. In a shard's task
-   the kept terms, padded with a space on either side, make an Aho-Corasick automaton; the texts, padded
-   likewise, stream through it, and each hit is an occurrence. A shard of many words is several streams, each
-   with the shard's terms. No vocabulary is broadcast, and a task holds one shard's automaton.
+   the documents' whole texts are read again and cut up in the same way: a shard gets the words that may be its, those
+   of a source that a task meets several times once, with that number. In a shard's task the kept terms, padded with a
+   space on either side, make an Aho-Corasick automaton; the words, padded likewise, stream through it, and each hit
+   counts as often as its word came. A shard of many words is several streams, each with the shard's terms. No
+   vocabulary is broadcast, and a task holds one shard's automaton.
 3. Postings (lang, source, term, count) hold only terms that occur. A term that a group lacks has the group's
    smallest p, so a pair's sum over all kept terms is put together from three sparse parts: each group's p by how many
    terms have it, against the other's smallest; what the terms that both have add to that; and the terms that neither has.
@@ -25,10 +26,10 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from operator import itemgetter
 from zlib import crc32
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,8 +40,8 @@ from gridmill.llm.common import bound_batches, materialise, table
 LEAST, SCALE, KEEP = 3, 1_000_000_000, 200
 #: Kept terms of a language in a shard's automaton, about, and words that stream through it in one task, about.
 SHARD_TERMS, STREAM_WORDS = 50_000, 2_000_000
-#: Counts that a task holds before it hands them on, bytes of text split at once, words of a row that goes to a shard.
-HELD, SLICE, ROW_WORDS = 300_000, 1 << 22, 8_000
+#: Words that a task holds before it hands them on, bytes of text split at once, words of a row that goes to a shard, and counts that a stream holds.
+HELD, SLICE, ROW_WORDS, CELLS = 500_000, 1 << 22, 8_000, 4_000_000
 
 #: Bytes to lower case; all that is in no term to spaces.
 _TERMS = bytes(32 if b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if b <= 0x5A else b for b in range(256))
@@ -84,49 +85,44 @@ def document_frequencies(docs: DataFrame, least: int) -> DataFrame:
 
 
 def dealt_words(docs: DataFrame, shards: int, streams: int) -> DataFrame:
-    """lang, shard, stream, source, text: the words of all documents, each in its shard's rows."""
-    schema = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("stream", pa.int32()), ("source", pa.string()), ("text", pa.binary())])
-
-    class Shards(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) > HELD:
-                self.clear()
-            self[word] = found = crc32(word) % shards
-            return found
+    """lang, shard, stream, source, text, times: the words of all documents, each in its shard's rows; a row has a word once, and how often it came."""
+    schema = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("stream", pa.int32()), ("source", pa.string()), ("text", pa.binary()), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, turn = Shards(), TaskContext.get().partitionId()
-        for batch in batches:
-            groups: dict[tuple, list[list[bytes]]] = {}
-            rows: list[tuple] = []
+        held, turn, size = defaultdict(Counter), TaskContext.get().partitionId(), 0
 
-            def give(key: tuple, shard: int, words: list[bytes], rows: list = rows) -> None:
-                nonlocal turn
-                turn += 1
-                rows.append((key[0], shard, turn % streams, key[1], b" ".join(words)))
-                words.clear()
-
-            for key, text in zip(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                own = groups.setdefault(key, [[] for _ in range(shards)])
-                for words in words_of(text):
-                    if shards == 1:
-                        own[0] += words
-                    else:
-                        for w in words:
-                            own[of[w]].append(w)
-                    for shard, mine in enumerate(own):
-                        if len(mine) > ROW_WORDS:
-                            give(key, shard, mine)
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
+            rows: list[tuple] = []
+            for (lang, source), bag in held.items():
+                dealt: list[tuple[list, list]] = [([], []) for _ in range(shards)]
+                for word, n in bag.items():
+                    words, times = dealt[crc32(word) % shards]
+                    words.append(word)
+                    times.append(n)
+                for shard, (words, times) in enumerate(dealt):
+                    for i in range(0, len(words), ROW_WORDS):
+                        turn += 1
+                        rows.append((lang, shard, turn % streams, source, b" ".join(words[i : i + ROW_WORDS]), times[i : i + ROW_WORDS]))
                 if len(rows) > 100:
                     yield batch_of(rows, schema)
                     rows.clear()
-            for key, own in groups.items():
-                for shard, mine in enumerate(own):
-                    if mine:
-                        give(key, shard, mine)
+            held.clear()
             yield batch_of(rows, schema)
 
-    return docs.mapInArrow(run, "lang string, shard int, stream int, source string, text binary")
+        for batch in batches:
+            for key, text in zip(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+                bag = held[key]
+                for words in words_of(text):
+                    size -= len(bag)
+                    bag.update(words)
+                    size += len(bag)
+                    if size > HELD:
+                        yield from flush()
+                        size, bag = 0, held[key]
+        yield from flush()
+
+    return docs.mapInArrow(run, "lang string, shard int, stream int, source string, text binary, times array<long>")
 
 
 def recounted(rows: DataFrame) -> DataFrame:
@@ -134,50 +130,59 @@ def recounted(rows: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, automaton, terms, counts = None, None, [], defaultdict(Counter)
+        at, automaton, terms, counts = None, None, [], {}
 
-        def flush() -> pa.RecordBatch:
-            out = batch_of([(at[0], source, terms[i], n) for source, bag in counts.items() for i, n in bag.items()], schema)
+        def flush() -> Iterator[pa.RecordBatch]:
+            own = pa.array(terms, pa.binary())
+            for source, n in counts.items():
+                found = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), own.take(pa.array(found)), pa.array(n[found])], schema=schema)
             counts.clear()
-            return out
 
         for batch in batches:
-            for *key, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "stream", "source", "text")), strict=True):
+            times = batch.column("times")
+            for i, (*key, source, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "stream", "source", "text")), strict=True)):
                 if key != at:
-                    if counts:
-                        yield flush()
+                    yield from flush()
                     at, automaton, terms = key, None, []
                 if source is None:
                     terms.append(text)
                 elif terms:
                     if automaton is None:
                         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                        for i, term in enumerate(terms):
-                            automaton.add_word(f" {term.decode('latin-1')} ", i)
+                        for k, term in enumerate(terms):
+                            automaton.add_word(f" {term.decode('latin-1')} ", k)
                         automaton.make_automaton()
-                    # Each byte as a character: padded terms and texts match as their bytes do.
-                    counts[source].update(map(itemgetter(1), automaton.iter(f" {text.decode('latin-1')} ")))
-            if sum(map(len, counts.values())) > HELD:
-                yield flush()
-        if counts:
-            yield flush()
+                    # Each byte as a character: padded terms and texts match as their bytes do. A hit ends at the space behind its word.
+                    if hits := list(automaton.iter(f" {text.decode('latin-1')} ")):
+                        ends, found = np.array(hits, np.int64).T
+                        gaps = np.flatnonzero(np.frombuffer(text + b" ", np.uint8) == 32) + 1
+                        own = counts.get(source)
+                        if own is None:
+                            if len(counts) * len(terms) > CELLS:
+                                yield from flush()
+                            own = counts[source] = np.zeros(len(terms), np.int64)
+                        own[found] += np.asarray(times[i].values)[np.searchsorted(gaps, ends)]
+        yield from flush()
 
     return rows.mapInArrow(run, "lang string, source string, term binary, n long")
 
 
 def postings_of(docs: DataFrame, least: int, shard_terms: int, stream_words: int) -> tuple[DataFrame, DataFrame]:
-    """Kept terms (lang, term), and how often each source has those that occur there (lang, source, term, n)."""
+    """Kept terms (lang, term), and how often each source has those that occur there (lang, source, term, n), with all sources' count (every)."""
     known = document_frequencies(docs, least)
     kept = known.where("octet_length(term) > 0").select("lang", "term")
     most_terms = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     most_words = known.where("octet_length(term) = 0").agg(F.max("df")).first()[0] or 0
     shards = max(1, -(-most_terms // shard_terms))
     streams = max(1, -(-most_words // (shards * stream_words)))
-    terms = kept.select("lang", F.pmod(F.crc32("term"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream"), F.lit(None).cast("string").alias("source"), F.col("term").alias("text"))
+    terms = kept.select("lang", F.pmod(F.crc32("term"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream"), F.lit(None).cast("string").alias("source"), F.col("term").alias("text"), F.lit(None).cast("array<long>").alias("times"))
     rows = terms.unionByName(dealt_words(docs, shards, streams)).repartition("lang", "shard", "stream")
     rows = rows.sortWithinPartitions("lang", "shard", "stream", F.asc_nulls_first("source"))
-    counts = recounted(rows).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return kept, materialise(counts.withColumn("term", F.col("term").cast("string")), "postings")
+    # Dealt by term once: a term's sources lie together, so its sum needs no other exchange.
+    counts = recounted(rows).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    every = F.sum("n").over(Window.partitionBy("lang", "term"))
+    return kept, materialise(counts.select("lang", "source", F.col("term").cast("string").alias("term"), "n", every.alias("every")), "postings")
 
 
 def share(n: Column, total: Column, scale: int) -> Column:
@@ -201,11 +206,9 @@ def audit(docs: DataFrame, least: int = LEAST, scale: int = SCALE, keep: int = K
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").join(whole, "lang", "left").na.fill(0, ["total", "held", "v", "lang_total"])
     groups = materialise(groups.withColumn("low", share(F.lit(0), F.col("total") + F.col("v"), scale)), "groups")
     own = postings.join(groups.select("lang", "source", "total", "v", "low", "lang_total"), ["lang", "source"])
-    own = materialise(own.withColumn("p", share(F.col("n"), F.col("total") + F.col("v"), scale)), "shares")
+    own = materialise(own.select("lang", "source", "term", "low", share(F.col("n"), F.col("total") + F.col("v"), scale).alias("p"), share(F.col("every"), F.col("lang_total") + F.col("v"), scale).alias("q")), "shares")
 
-    every = own.groupBy("lang", "term").agg(F.sum("n").alias("all"))
-    terms = own.join(every, ["lang", "term"]).withColumn("q", share(F.col("all"), F.col("lang_total") + F.col("v"), scale)).where("p > q")
-    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    terms = own.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
 
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
     side = lambda df, c, *names: df.select("lang", *(F.col(n).alias(f"{c}_{n}") for n in names))
