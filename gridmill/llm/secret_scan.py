@@ -8,14 +8,17 @@ count * log2(count) are carried from step to step: a step takes one character ou
 work grows with a run's length and not with its square. A span goes from the first qualifying
 window's start to the last one's end, less what base spans cover already.
 
-Suppressed are runs on the allow-list (names and paths of words and short numbers up to NAME_MAX
-characters, UUIDs, runs of digits), and windows that touch a placeholder word.
+Suppressed are runs on the allow-list (names and paths of words and short numbers of any length, UUIDs, runs of
+digits), and windows that touch a placeholder word.
 
-Positions: a text is split at the matches, and the gaps' and matches' lengths in code points add up.
+Positions: a text is split at the matches, and the gaps' and matches' lengths in code points add up. Matches are met
+in blocks of BLOCK, each of which gathers its own spans, so that work grows with the number of matches and not with
+its square. A span also carries how many bytes more than code points lie before it (matches themselves are ASCII):
+masking cuts the text's bytes.
 
 Defined results: a null text is empty (no spans); an empty table gives no rows; each row gets its own
 result, repeated or null doc_id or not. Spans are ordered by start, then kind as in KINDS, then end.
-Very long texts and keys are scanned whole. scan reads doc_id and text only, redact keeps all columns,
+Very long texts and keys, and texts of very many matches, are scanned whole. scan reads doc_id and text only, redact keeps all columns,
 whatever their names.
 """
 
@@ -39,41 +42,72 @@ ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 CANDIDATE, WINDOW = "[A-Za-z0-9+/_=-]{20,}", 20
 #: Character classes, the first that fits counts, and their least entropy in bits: what 99 of 100 windows of random characters reach.
 CLASSES = [("^([0-9a-f]+|[0-9A-F]+)$", 2.9), ("^[A-Z0-9=]+$", 3.3), ("^[a-z0-9]+$", 3.4), ("^[A-Za-z0-9]+$", 3.6), ("", 3.6)]
-#: Words in any usual case, with up to four digits behind, between single separators.
-_WORD = "([A-Za-z][a-z]*([A-Z][a-z]{2,})*|[A-Z]{2,}|)[0-9]{0,4}"
-NAME, NAME_MAX = f"^{_WORD}([_/=-]{_WORD})*$", 200
+#: Words in any usual case, with up to four digits behind; a name is made of these, between single separators.
+WORD, SEPARATOR = "^([A-Za-z][a-z]*([A-Z][a-z]{2,})*|[A-Z]{2,}|)[0-9]{0,4}$", "[_/=-]"
+#: The same without going back, for Java: its plain groups recurse on very long words.
+_WORD_AHEAD = "^(?:[A-Za-z][a-z]*+(?:[A-Z][a-z]{2,}+)*+|[A-Z]{2,}+|)[0-9]{0,4}$"
 ALLOW = "^[0-9_=-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Fixed words: windows that touch one, in either case, don't count.
 PLACEHOLDERS = ["example", "placeholder", "changeme", "your", "xxxx"]
 #: Every character of a candidate has a place in the counts.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-_PLACE = "array<struct<start:int,kind:int,end:int>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,shift:int,value:string>>"
+_PLACE = "array<struct<start:int,kind:int,end:int,shift:int>>"
+#: Items that are met together; what a block gives is gathered by itself.
+BLOCK = 32
 #: Counts in a number and bits of a count: a window's length must fit.
 _PACKED, _BITS = 12, 5
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _gathered(items: Column, carry: list[str], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]], end: Callable[[Column], Column] | None = None) -> Column:
+    """All that steps give for items (a column, or what _with gives), in order: step(state, item) says the next state (numbers named in carry, from 0) and an array of what is given; end(state) gives what comes last.
+
+    Spark copies a state at each step. So one pass finds the numbers with which each block of items begins, and another gathers
+    each block's results by themselves, which are laid end to end once.
+    """
+    plain = lambda s: F.struct(*[s[k].alias(k) for k in carry])
+    zero = F.struct(*[F.lit(0).alias(k) for k in carry])
+    none, no_starts = F.array().cast(kind), F.array().cast(f"array<struct<{','.join(f'{k}:int' for k in carry)}>>")
+    blocks = F.sequence(F.lit(0), F.call_function("div", F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)).cast("int"))
+    places = lambda k: F.filter(F.sequence(k * BLOCK, k * BLOCK + (BLOCK - 1)), lambda i: i < F.size(items))
+
+    def moved(s: Column, k: Column) -> Column:
+        keep = lambda c: F.struct(plain(c).alias("now"), F.concat(s["starts"], F.array(plain(s["now"]))).alias("starts"))
+        return F.aggregate(places(k), plain(s["now"]), lambda c, i: plain(step(c, F.get(items, i))[0]), keep)
+
+    def given(start: Column, k: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            values, more = step(s["now"], F.get(items, i))
+            return F.struct(plain(values).alias("now"), F.concat(s["out"], more).alias("out"))
+
+        return F.aggregate(places(k), F.struct(plain(start).alias("now"), none.alias("out")), one, lambda s: s["out"])
+
+    starts = F.aggregate(blocks, F.struct(zero.alias("now"), no_starts.alias("starts")), moved, lambda s: F.concat(s["starts"], F.array(plain(s["now"]))))
+    last = lambda of: F.array(end(F.element_at(of, -1))) if end else F.array().cast(f"array<{kind}>")
+    return _with(starts, lambda of: F.flatten(F.concat(F.transform(blocks, lambda k: given(F.get(of, k), k)), last(of))))
+
+
 def found(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     """Spans (with the matched text) of all matches; where ``least`` is given, only those whose second group has so many characters."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def add(state: Column, x: Column) -> Column:
+    def add(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
         start = state["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
+        end, shift = start + F.char_length(x["match"]), state["shift"] + F.octet_length(x["gap"]) - F.char_length(x["gap"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), shift.alias("shift"), x["match"].alias("value"))
         good = F.char_length(F.regexp_extract(x["match"], pattern, 2)) >= least if least else F.lit(True)
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return {"at": end, "shift": shift}, F.when(good, F.array(span)).otherwise(F.array().cast(_SPAN))
 
     # There is one gap more than there are matches: the last one is the text's rest.
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
     # Most texts match nothing: they are told by one search that ends at the text's end.
-    return F.when(text.rlike(pattern), F.aggregate(pairs, step, add, lambda s: s["spans"])).otherwise(F.array().cast(_SPAN))
-
-
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    spans = _with(pairs, lambda p: _gathered(p, ["at", "shift"], _SPAN, add))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
 def masked(value: Column) -> Column:
@@ -132,39 +166,39 @@ def entropy_spans(candidates: Column, window: int = WINDOW) -> Column:
         start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // _PACKED)).alias("words"), F.lit(0.0).cast("double").alias("sum"), *[F.lit(0).alias(k) for k in ("at", "broken", "first", "last")], limit.cast("double").alias("limit"))
         # One pass finds all characters; each is met with the one that leaves the window as it comes in.
         slid = lambda codes: F.aggregate(F.slice(F.arrays_zip(codes.alias("enter"), F.concat(F.array_repeat(none, window), codes).alias("leave")), F.lit(1), F.size(codes)), start, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-        return F.struct(c["start"].alias("from"), _with(F.transform(F.split(masked(value), ""), placed), slid).alias("seen"))
+        return F.struct(c["start"].alias("from"), c["shift"].alias("shift"), _with(F.transform(F.split(masked(value), ""), placed), slid).alias("seen"))
 
-    allowed = lambda v: v.rlike(ALLOW) | ((F.char_length(v) <= NAME_MAX) & v.rlike(NAME))
+    allowed = lambda v: v.rlike(ALLOW) | F.forall(F.split(v, SEPARATOR), lambda word: word.rlike(_WORD_AHEAD))
     kept = F.transform(F.filter(candidates, lambda c: ~allowed(c["value"])), stretch)
     hit = F.filter(kept, lambda c: c["seen"]["last"] > 0)
-    return F.transform(hit, lambda c: F.struct((c["from"] + c["seen"]["first"] - 1).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (c["from"] + c["seen"]["last"]).alias("end")))
+    return F.transform(hit, lambda c: F.struct((c["from"] + c["seen"]["first"] - 1).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (c["from"] + c["seen"]["last"]).alias("end"), c["shift"].alias("shift")))
 
 
 def uncovered(spans: Column) -> Column:
     """From base and entropy spans in order of start: the entropy spans' parts that no base span covers. One pass."""
-    entropy = F.lit(KINDS.index("entropy"))
-    piece = lambda a, b: F.array(F.struct(a.alias("start"), entropy.alias("kind"), b.alias("end")))
-    # ``at`` to ``end`` is what is left of the entropy span that came last, ``covered`` the end of base spans so far.
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("covered"), F.array().cast(_PLACE).alias("out"))
+    entropy, none = F.lit(KINDS.index("entropy")), F.array().cast(_PLACE)
+    piece = lambda s, b: F.array(F.struct(s["at"].alias("start"), entropy.alias("kind"), b.alias("end"), s["shift"].alias("shift")))
 
-    def sweep(state: Column, x: Column) -> Column:
+    # ``at`` to ``end`` is what is left of the entropy span that came last, ``covered`` the end of base spans so far.
+    def sweep(state: Column, x: Column) -> tuple[dict[str, Column], Column]:
         new = x["kind"] == entropy
         upto = F.least(state["end"], x["start"])
-        out = F.when(state["at"] < upto, F.concat(state["out"], piece(state["at"], upto))).otherwise(state["out"])
         covered = F.when(new, state["covered"]).otherwise(F.greatest(state["covered"], x["end"]))
         at = F.when(new, F.greatest(x["start"], state["covered"])).otherwise(F.greatest(state["at"], covered))
-        return F.struct(at.alias("at"), F.when(new, x["end"]).otherwise(state["end"]).alias("end"), covered.alias("covered"), out.alias("out"))
+        then = {"at": at, "end": F.when(new, x["end"]).otherwise(state["end"]), "covered": covered, "shift": F.when(new, x["shift"]).otherwise(state["shift"])}
+        return then, F.when(state["at"] < upto, piece(state, upto)).otherwise(none)
 
-    return F.aggregate(spans, start, sweep, lambda s: F.when(s["at"] < s["end"], F.concat(s["out"], piece(s["at"], s["end"]))).otherwise(s["out"]))
+    return _gathered(spans, ["at", "end", "covered", "shift"], _PLACE, sweep, lambda s: F.when(s["at"] < s["end"], piece(s, s["end"])).otherwise(none))
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base`` and ``spans``: arrays of (start, kind number, end), in order; other columns stay."""
+    """Adds ``base`` and ``spans``: arrays of (start, kind number, end, bytes before it less code points), in order; other columns stay."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    base = F.array_sort(bare(F.concat(found(t, ASSIGN, 0, VALUE_MIN), found(t, ACCESS, 1), found(t, HEX, 2))))
+    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["kind"], s["end"], s["shift"]))
+    base = F.sort_array(bare(F.concat(found(t, ASSIGN, 0, VALUE_MIN), found(t, ACCESS, 1), found(t, HEX, 2))))
     out = docs.withColumn("base", base).withColumn("__more", entropy_spans(found(t, CANDIDATE, 3)))
-    return out.withColumn("spans", F.array_sort(F.concat("base", uncovered(F.array_sort(F.concat("base", "__more")))))).drop("__more")
+    both = F.sort_array(F.concat("base", _with(F.sort_array(F.concat("base", "__more")), uncovered)))
+    return out.withColumn("spans", F.when(F.size("__more") > 0, both).otherwise(F.col("base"))).drop("__more")
 
 
 def joined(spans: str) -> Column:
@@ -181,13 +215,18 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """documents with every span of ``text`` replaced by the mask (overlapping spans by one); n_chars follows the text."""
     s = with_spans(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"]).alias("out"))
+    def rewritten(body: Column) -> Column:
+        cut = lambda frm, n: F.call_function("substring", body, frm + 1, n).cast("string")
+
+        # ``at`` is the byte up to which the text is written.
+        def put(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            start, end = x["start"] + x["shift"], x["end"] + x["shift"]
+            return {"at": F.greatest(a["at"], end)}, F.when(start >= a["at"], F.array(cut(a["at"], start - a["at"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
+
+        return F.array_join(_gathered(F.col("spans"), ["at"], "array<string>", put, lambda a: F.array(cut(a["at"], F.octet_length(body)))), "")
 
-    text = F.aggregate("spans", state, put, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    text = _with(F.col("text").cast("binary"), rewritten)
     s = s.select("row", F.when(F.size("spans") > 0, text).alias("changed"))
     new = {"text": F.col("changed"), "n_chars": F.char_length("changed")}
     of = lambda f: F.coalesce(new[f.name], F.col("row")[f.name]).cast(f.dataType) if f.name in new else F.col("row")[f.name]
@@ -199,7 +238,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RE_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\']?\x20*[:=]\x20*["\']?"""
-_NAMED = f"length(val) <= {NAME_MAX} AND regexp_matches(val, '{NAME}')"
+_NAMED = f"regexp_matches(val, '^{WORD[1:-1]}({SEPARATOR}{WORD[1:-1]})*$')"
 _BITS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(val, '{shape}') THEN {least}" for shape, least in CLASSES) + " END"
 _MASKED = "val"
 for _w in PLACEHOLDERS:
