@@ -39,7 +39,7 @@ from gridmill.llm.common import bound_batches, materialise, table
 
 LEAST, SCALE, KEEP = 3, 1_000_000_000, 200
 #: Kept terms of a language in a shard's automaton, about, and words that stream through it in one task, about.
-SHARD_TERMS, STREAM_WORDS = 50_000, 2_000_000
+SHARD_TERMS, STREAM_WORDS = 50_000, 8_000_000
 #: Words that a task holds before it hands them on, bytes of text split at once, words of a row that goes to a shard, and counts that a stream holds.
 HELD, SLICE, ROW_WORDS, CELLS = 500_000, 1 << 22, 8_000, 4_000_000
 
@@ -126,7 +126,7 @@ def dealt_words(docs: DataFrame, shards: int, streams: int) -> DataFrame:
 
 
 def recounted(rows: DataFrame) -> DataFrame:
-    """lang, source, term, n from rows sorted so that in each shard's stream the terms (source null) come before the texts."""
+    """lang, source, term, n from rows sorted so that in each shard's stream its terms (source null) come before the texts."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def recounted(rows: DataFrame) -> DataFrame:
                     yield from flush()
                     at, automaton, terms = key, None, []
                 if source is None:
-                    terms.append(text)
+                    terms = text.split(b" ")
                 elif terms:
                     if automaton is None:
                         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -176,7 +176,9 @@ def postings_of(docs: DataFrame, least: int, shard_terms: int, stream_words: int
     most_words = known.where("octet_length(term) = 0").agg(F.max("df")).first()[0] or 0
     shards = max(1, -(-most_terms // shard_terms))
     streams = max(1, -(-most_words // (shards * stream_words)))
-    terms = kept.select("lang", F.pmod(F.crc32("term"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream"), F.lit(None).cast("string").alias("source"), F.col("term").alias("text"), F.lit(None).cast("array<long>").alias("times"))
+    # A shard's terms are one row of bounded size.
+    terms = kept.groupBy("lang", F.pmod(F.crc32("term"), F.lit(shards)).cast("int").alias("shard")).agg(F.array_join(F.collect_list(F.col("term").cast("string")), " ").cast("binary").alias("text"))
+    terms = terms.select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream"), F.lit(None).cast("string").alias("source"), "text", F.lit(None).cast("array<long>").alias("times"))
     rows = terms.unionByName(dealt_words(docs, shards, streams)).repartition("lang", "shard", "stream")
     rows = rows.sortWithinPartitions("lang", "shard", "stream", F.asc_nulls_first("source"))
     # Dealt by term once: a term's sources lie together, so its sum needs no other exchange.
