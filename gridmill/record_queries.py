@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill import registry
+from gridmill import jobs, registry
 from gridmill.catalog_queries import query, rounded, table
 from gridmill.functions import text as X
 from gridmill.functions import timeparse as T
@@ -225,16 +225,37 @@ def append_reconciled(spark, d):
     return K.reconciled(rows, ["PostingTime", "price", "customer "], F.lit("1999-01-01T00:00:00"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month FROM orders")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, part, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month FROM orders, (VALUES (1), (2)) AS t(part)")
 def stream_consolidate(spark, d):
-    """A stream of document files consolidated in two runs; documents that come again are written once."""
+    """A stream of document files consolidated in two runs: a document's rows come in two files, some files twice in a run and some in both; each row is there once."""
     root = scratch(spark, "stream")
     o = _docs(spark, d).select("doc_id", "posting", "o_orderkey")
-    shape = "doc_id string, posting string, o_orderkey long"
-    for part in ("o_orderkey % 3 < 2", "o_orderkey % 3 > 0"):
-        o.where(part).write.mode("append").json(f"{root}/in")
-        ST.consolidate(ST.document_stream(spark, f"{root}/in", shape), f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.schema(f"{shape}, year string, month string").parquet(f"{root}/out").select("doc_id", "year", "month")
+    shape = "doc_id string, posting string, o_orderkey long, part int"
+    first, second = o.withColumn("part", F.lit(1)), o.withColumn("part", F.lit(2))
+    for files in ([first.where("o_orderkey % 3 < 2"), first.where("o_orderkey % 3 < 1")], [first.where("o_orderkey % 3 > 0"), second]):
+        for f in files:
+            f.write.mode("append").json(f"{root}/in")
+        ST.consolidate(ST.document_stream(spark, f"{root}/in", shape), f"{root}/out", f"{root}/state", row="part").awaitTermination()
+    return spark.read.schema(f"{shape}, year string, month string").parquet(f"{root}/out").select("doc_id", "part", "year", "month")
+
+
+@query("""
+WITH r AS (SELECT user_id, ts, event_type, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+m AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)))
+SELECT user_id, CAST(island AS BIGINT) AS island, event_type, count(*) AS n_rows FROM m GROUP BY ALL""")
+def stream_runs(spark, d):
+    """Runs of equal events of each user from a stream of three batches, whose rows come out of order; a last row lets the watermark pass them all."""
+    root = scratch(spark, "runs")
+    e = table(spark, d, "events").where("user_id is not null and ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    end = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("interval 10 years")).alias("ts"), F.lit("end").alias("event_type"))
+    third = F.pmod(F.xxhash64("user_id", "ts", "event_type"), F.lit(3))
+    for part in (*(e.where(third == i) for i in range(3)), end):
+        part.write.mode("append").parquet(f"{root}/in")
+        found = ST.runs(spark.readStream.schema(e.schema).parquet(f"{root}/in"), "user_id", "ts", "event_type", "60 days", 86_400 * 60)
+        with ST.rocks(spark):
+            q = found.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out").where("key <> -1").select(F.col("key").alias("user_id"), "island", F.col("value").alias("event_type"), "n_rows")
 
 
 @query("SELECT p_partkey, '| ' || p_partkey || ' | ' || p_name || ' |' AS md, p_partkey || chr(9) || p_name AS tab, '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\"}' AS json FROM part")
@@ -415,6 +436,44 @@ def backfill_verify(spark, d):
     return B.verify(rows, B.rebuild(sources, [postings], ["part", "line"]), ["part", "line"])
 
 
+@query("""
+WITH li AS (SELECT 1 + l_suppkey % 6 AS m, l_suppkey AS doc, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS v FROM lineitem WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY doc * 7919 % 10007, doc, v) - 1 AS i FROM li),
+gone AS (SELECT min(doc) AS doc FROM li WHERE m = 6),
+p AS (SELECT r.*, CASE WHEN r.doc = gone.doc THEN '' WHEN r.doc % 10 = 0 THEN '' WHEN r.doc % 3 <> 0 THEN '2025-01-' || lpad(CAST(1 + r.doc % 28 AS VARCHAR), 2, '0') || 'T00:00:00' ELSE '2025-02-' || lpad(CAST(1 + r.doc % 28 AS VARCHAR), 2, '0') || 'T00:00:00' END AS posting FROM r, gone)
+SELECT 'add-missing' AS mode, '20250' || m AS month, CAST(i AS BIGINT) AS row_idx, posting, v FROM p
+UNION ALL
+SELECT 'rebuild', '20250' || m, CAST(row_number() OVER (PARTITION BY m ORDER BY CASE WHEN m = 6 OR posting = '' THEN NULL ELSE posting END NULLS LAST, i) - 1 AS BIGINT), CASE WHEN m = 6 THEN '' ELSE posting END, v FROM p""")
+def backfill_files(spark, d):
+    """The command over files: documents laid in the order of their markers, postings that caches and manifests tell differently, and a month that lacks a document."""
+    root, name = scratch(spark, "backfill"), "NP6-905-CD"
+    li = table(spark, d, "lineitem").where("l_suppkey is not null and l_orderkey is not null and l_linenumber is not null and l_partkey is not null")
+    rows = li.select((1 + F.col("l_suppkey") % 6).alias("m"), F.col("l_suppkey").alias("doc"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("v"), (F.col("l_suppkey") * 7919 % 10007).alias("at"))
+    month = F.concat(F.lit("20250"), F.col("m").cast("string"))
+    K.export_monthly(rows.select(month.alias("month"), "v", "at", "doc").select("month", "v", F.col("at").alias("o1"), F.col("doc").alias("o2")), f"{root}/all", name, "month", ["o1", "o2", "v"])
+    # The monthly files hold the values alone; the order is the markers'.
+    lines = S.numbered_rows(spark, f"{root}/all").select(F.regexp_extract("file", r"_(\d{6})\.csv$", 1).alias("key"), F.col("row_idx").alias("i"), F.regexp_extract("line", "^[^,]*", 0).alias("value"))
+    head = lambda df: df.select("key").distinct().select("key", F.lit(-1).cast("long").alias("i"), F.lit("v").alias("value"))
+    at = lambda m: f"{name}/{m[:4]}/{m[4:]}/{name}_{m}.csv"
+    K.export_files(head(lines).unionByName(lines), f"{root}/raw", "key", ["i"], at)
+    docs = rows.groupBy("m", "doc", "at").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    K.export_files(docs.select(month.alias("key"), "at", "doc", F.col("doc").cast("string").alias("value")), f"{root}/raw", "key", ["at", "doc"], lambda m: f"{at(m)}.docids")
+    K.export_files(docs.select("m").distinct().select(month.alias("key"), F.lit('{"classification": "skipped"}').alias("value")), f"{root}/raw", "key", ["value"], lambda m: f"{at(m)}.sortcache.json")
+    gone = docs.where("m = 6").agg(F.min("doc").alias("doc"))
+    held = docs.join(gone, "doc", "left_anti").select(F.concat(month, F.lit("-"), F.col("doc").cast("string")).alias("key"), F.posexplode(F.concat(F.array(F.lit("v")), "vs")).alias("i", "value"))
+    K.export_files(held, f"{root}/raw", "key", ["i"], lambda k: f"{name}/{k[:4]}/{k[4:6]}/report__{k[7:]}.csv")
+    known = docs.where("doc % 10 <> 0").withColumn("day", F.concat(F.lpad((1 + F.col("doc") % 28).cast("string"), 2, "0"), F.lit("T00:00:00"))).withColumn("id", F.col("doc").cast("string"))
+    line = F.to_json(F.struct(F.col("id").alias("docId"), F.concat(F.lit("2025-01-"), "day").alias("postDatetime")))
+    known.where("doc % 3 <> 0").select(line.alias("value")).write.text(f"{root}/cache")
+    K.write_manifest(known.select(F.lit(name).alias("dataset_id"), F.col("id").alias("doc_id"), F.concat(F.lit("2025-02-"), "day").alias("postDateTime")), f"{root}/manifest")
+    parts = []
+    for mode, order in (("add-missing", "none"), ("rebuild", "ascending")):
+        jobs.backfill(spark, f"{root}/raw", f"{root}/{mode}", name, mode, order, f"{root}/manifest", f"{root}/cache")
+        month_of = F.format_string("%04d%02d", F.col("year").cast("int"), F.col("month").cast("int"))
+        parts.append(spark.read.parquet(f"{root}/{mode}").select(F.lit(mode).alias("mode"), month_of.alias("month"), "row_idx", "posting", "v"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(_BACKFILL + " SELECT part, line, count(*) AS n FROM src GROUP BY 1, 2 HAVING count(*) > 1")
 def fingerprint_collisions(spark, d):
     _, sources, _ = _months(spark, d)

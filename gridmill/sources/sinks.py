@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +133,8 @@ def export_files(lines: DataFrame, path: str, key: str, order: list[str], name:
     """One text file for each key, of its rows' ``value`` in order, under path/name(key): the layout that other tools read.
 
     A file is one task's, so this is for files that have to be single; tables are written by partition
-    (write_table). Files are moved to their names when all are written; only names pass through the driver.
+    (write_table). Files are moved to their names when all are written, and replace what was there; only names pass through
+    the driver. A row without a key is an error.
     """
     spark = lines.sparkSession
     made = f"{path.rstrip('/')}/_writing"
@@ -140,11 +142,20 @@ def export_files(lines: DataFrame, path: str, key: str, order: list[str], name:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
     fs = Path(path).getFileSystem(conf)
+    held: dict[str, object] = {}
     for status in fs.globStatus(Path(f"{made}/{key}=*/part-*")):
-        held = status.getPath()
-        to = Path(f"{path.rstrip('/')}/{name(held.getParent().getName().split('=', 1)[1])}")
+        # Folder names have special characters as %XX.
+        value = unquote(status.getPath().getParent().getName().split("=", 1)[1])
+        if value == "__HIVE_DEFAULT_PARTITION__" or value in held:
+            raise ValueError(f"{key}: {'a row has no key' if value not in held else f'{value!r} has several files'}; nothing was moved")
+        held[value] = status.getPath()
+    for value, made_at in held.items():
+        to = Path(f"{path.rstrip('/')}/{name(value)}")
         fs.mkdirs(to.getParent())
-        fs.rename(held, to)
+        if fs.exists(to):
+            fs.delete(to, False)
+        if not fs.rename(made_at, to):
+            raise OSError(f"{made_at} could not be moved to {to}")
     fs.delete(Path(made), True)
 
 

@@ -1,44 +1,164 @@
-"""Incremental jobs as Structured Streaming: consolidation of new documents, windowed means, consecutive failures.
+"""Incremental jobs as Structured Streaming: consolidation of new documents, runs of equal values, windowed means, consecutive failures.
 
-The stream's checkpoint is the resumable state: which files were read, and which documents were seen.
+The stream's checkpoint is the resumable state: which files were read, and which rows of each document were seen.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridmill.sources.files import path_exists
 from gridmill.sources.sinks import UNDATED, month_columns
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class rocks:
+    """Queries started within keep their state in RocksDB, on the executors' disks and in the checkpoint."""
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        self.before = self.conf.get(_PROVIDER, None)
+        self.conf.set(_PROVIDER, _ROCKS)
+
+    def __exit__(self, *_: object) -> None:
+        if self.before is None:
+            self.conf.unset(_PROVIDER)
+        else:
+            self.conf.set(_PROVIDER, self.before)
+
 
 def document_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """New JSON files of document rows as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def consolidate(stream: DataFrame, table: str, checkpoint: str, posting: str = "posting") -> StreamingQuery:
-    """Appends rows of documents not yet in the table to their posting months, until what is there now is read.
+def unseen(stream: DataFrame, key: str = "doc_id", ttl_days: int | None = None, row: str | None = None) -> DataFrame:
+    """The stream's rows without those of documents' files that came before, in this batch or an earlier one.
+
+    A document may come in several files, each with a part of its rows, and any of them may come again. Rows
+    are told apart by their contents; equal rows of a document count as often as in the file that has most of them. State is
+    kept by document, so a batch costs what it holds, whatever was there before; it is forgotten ttl_days after a document's last rows.
+    Where a column says which row of its document a row is, name it: Spark's own deduplication then does all of this in the JVM.
+    """
+    if row and not ttl_days:
+        return stream.dropDuplicates([key, row])
+    columns = stream.columns
+
+    def new(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        most: dict[str, int] = json.loads(state.get[0]) if state.exists else {}
+        nth: Counter = Counter()
+        for frame in frames:
+            fresh = []
+            for file, content in zip(frame["file_of_row"].tolist(), frame["content_of_row"].tolist(), strict=True):
+                # The n-th of equal rows of a file is the n-th of any other file.
+                nth[file, content] += 1
+                fresh.append(nth[file, content] > most.get(content, 0))
+                most[content] = max(most.get(content, 0), nth[file, content])
+            if any(fresh):
+                yield frame.loc[fresh, columns]
+        state.update((json.dumps(most),))
+        if ttl_days:
+            state.setTimeoutDuration(ttl_days * 86_400_000)
+
+    try:
+        named = stream.select("*", F.col("_metadata.file_path").alias("file_of_row"))
+    except AnalysisException:  # not a stream of files: each batch is one
+        named = stream.withColumn("file_of_row", F.lit(""))
+    named = named.withColumn("content_of_row", F.md5(F.to_json(F.struct(*[f"`{c}`" for c in columns]), {"ignoreNullFields": "false"})))
+    return named.groupBy(key).applyInPandasWithState(new, stream.schema, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if ttl_days else GroupStateTimeout.NoTimeout)
+
+
+def consolidate(stream: DataFrame, table: str, checkpoint: str, posting: str = "posting", key: str = "doc_id", ttl_days: int | None = None, row: str | None = None) -> StreamingQuery:
+    """Appends rows not seen before (see unseen) to their posting months, until what is there now is read.
 
     A batch replays after a crash under the same id; its rows are written to a folder of that id by
-    overwriting, so a replay replaces them. Documents of earlier batches are left out by their ids.
-    Late documents need no watermark: they land in their own posting month.
+    overwriting, so a replay replaces them. The table is never read. Late documents need no watermark: they land in
+    their own posting month.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = month_columns(batch, posting).withColumn("batch", F.lit(batch_id))
-        if path_exists(spark, table):
-            before = spark.read.schema("doc_id string, batch long").parquet(table).where(F.col("batch") != batch_id).select("doc_id").distinct()
-            rows = rows.join(before, "doc_id", "left_anti")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "year", "month").parquet(table)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocks(stream.sparkSession):
+        return unseen(stream, key, ttl_days, row).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Runs(StatefulProcessor):
+    """Runs of equal values of one key in order of time, each given when the next value is certain or nothing came for long."""
+
+    def __init__(self, idle_ms: int):
+        self.idle = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, value string")
+        self.open = handle.getValueState("open", "island long, value string, n long, first long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        self.waiting.appendList([(int(at), value) for at, value in zip(frame["at_"], frame["value_"], strict=True)])
+        self.handle.registerTimer(int(frame["at_"].max() // 1000) + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((r[0], r[1] is not None, r[1] or "") for r in self.waiting.get()) if self.waiting.exists() else []
+        sure, rest = [x for x in held if x[0] < upto], [x for x in held if x[0] >= upto]
+        island, value, n, first, last = self.open.get() if self.open.exists() else (0, None, 0, 0, 0)
+        out = []
+        for at, there, text in sure:
+            here = text if there else None
+            if n and here == value:
+                n, last = n + 1, at
+            else:
+                if n:
+                    out.append((island, value, n, first, last))
+                island, value, n, first, last = island + 1, here, 1, at, at
+        self.waiting.clear()
+        if rest:
+            self.waiting.put([(at, text if there else None) for at, there, text in rest])
+            self.handle.registerTimer(rest[-1][0] // 1000 + 1)
+        if n and not rest and last + self.idle * 1000 < upto:
+            out.append((island, value, n, first, last))
+            n, value = 0, None
+        elif n:
+            self.handle.registerTimer(last // 1000 + self.idle + 1)
+        if island:
+            self.open.update((island, value, n, first, last))
+        frame = pd.DataFrame(out, columns=["island", "value", "n_rows", "first_us", "last_us"])
+        frame.insert(0, "key", key[0])
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def runs(stream: DataFrame, key: str, time: str, value: str, late: str = "2 hours", idle_seconds: int = 86_400) -> DataFrame:
+    """key, island (from 1), value, n_rows, first_at, last_at: runs of equal values in order of time, as windows.islands gives them for a table.
+
+    Rows wait in state until the watermark has passed them, so their order of arrival is of no matter; a run is given when another
+    value follows, or when the watermark is idle_seconds past its last row. Rows of equal times are ordered by value.
+    """
+    kind = {f.name: f.dataType for f in stream.schema}[key].simpleString()
+    rows = stream.withWatermark(time, late).select(F.col(key).alias("key"), F.col(time).alias("time_"), F.unix_micros(time).alias("at_"), F.col(value).cast("string").alias("value_"))
+    found = rows.groupBy("key").transformWithStateInPandas(_Runs(idle_seconds * 1000), f"key {kind}, island long, value string, n_rows long, first_us long, last_us long", "Append", "EventTime")
+    return found.select("key", "island", "value", "n_rows", F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("last_us").alias("last_at"))
 
 
 def windowed_mean(stream: DataFrame, time: str, value: str, *keys: str, minutes: int = 60, late: str = "2 hours") -> DataFrame:
@@ -70,4 +190,4 @@ def failure_breaks(stream: DataFrame, key: str, time: str, failed: str, limit: i
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {time} {kind[time]}", "streak int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["UNDATED", "consolidate", "document_stream", "failure_breaks", "windowed_mean"]
+__all__ = ["UNDATED", "consolidate", "document_stream", "failure_breaks", "rocks", "runs", "unseen", "windowed_mean"]

@@ -4,6 +4,7 @@ import pytest
 
 from gridmill import jobs
 from gridmill.plans import backfill as B
+from gridmill.sources import sinks
 
 
 def test_backfill(spark):
@@ -168,6 +169,15 @@ def test_rows_in_posting_order(spark):
     assert got("descending") == ["03T01", "03T01", "03T00", "01T05", ""]
 
 
+def test_exported_files_keep_their_keys_as_names(spark, tmp_path):
+    lines = spark.createDataFrame([("a:b", 1, "y"), ("a:b", 0, "x"), ("c d", 0, "z")], "k string, i int, value string")
+    for _ in range(2):
+        sinks.export_files(lines, str(tmp_path / "out"), "k", ["i"], lambda k: f"{k}.txt")
+    assert {p.name: p.read_text() for p in (tmp_path / "out").glob("*.txt")} == {"a:b.txt": "x\ny\n", "c d.txt": "z\n"}
+    with pytest.raises(ValueError, match="no key"):
+        sinks.export_files(spark.createDataFrame([(None, 0, "x")], "k string, i int, value string"), str(tmp_path / "none"), "k", ["i"], str)
+
+
 def test_options_from_a_config(tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps({"as-of": "2025-01-01", "time": {"logs": "x"}, "dataset": ["NP3-233-CD"], "none": None}))
     assert jobs.config(str(tmp_path / "c.json")) == {"as_of": "2025-01-01", "time_logs": "x", "dataset": ["NP3-233-CD"]}
