@@ -170,10 +170,10 @@ def test_rows_in_posting_order(spark):
 
 
 def test_exported_files_keep_their_keys_as_names(spark, tmp_path):
-    lines = spark.createDataFrame([("a:b", 1, "y"), ("a:b", 0, "x"), ("c d", 0, "z")], "k string, i int, value string")
+    lines = spark.createDataFrame([("a=b#1%", 1, "y"), ("a=b#1%", 0, "x"), ("c d", 0, "z")], "k string, i int, value string")
     for _ in range(2):
         sinks.export_files(lines, str(tmp_path / "out"), "k", ["i"], lambda k: f"{k}.txt")
-    assert {p.name: p.read_text() for p in (tmp_path / "out").glob("*.txt")} == {"a:b.txt": "x\ny\n", "c d.txt": "z\n"}
+    assert {p.name: p.read_text() for p in (tmp_path / "out").glob("*.txt")} == {"a=b#1%.txt": "x\ny\n", "c d.txt": "z\n"}
     with pytest.raises(ValueError, match="no key"):
         sinks.export_files(spark.createDataFrame([(None, 0, "x")], "k string, i int, value string"), str(tmp_path / "none"), "k", ["i"], str)
 
