@@ -2,6 +2,7 @@ import datetime
 import json
 
 from gridmill.operators import windows as W
+from gridmill.sources import archive
 from gridmill.streaming import consolidate as ST
 
 
@@ -56,3 +57,39 @@ def test_runs_of_a_stream_are_those_of_the_table(spark, tmp_path):
     table = spark.createDataFrame(rows, "k string, i int, v string")
     want = sorted((r.k, r.island, r.v, r.n_rows) for r in W.islands(table, "v", ["k"], ["i"]).collect())
     assert got == want
+
+
+def _pages(folder, pages):
+    folder.mkdir(exist_ok=True)
+    for n, docs in pages.items():
+        (folder / f"page-{n}.json").write_text(json.dumps({"_meta": {}, "archives": [{"docId": d, "postDatetime": p} for d, p in docs]}))
+
+
+def test_a_listing_that_stops_goes_on_where_it_was(spark, tmp_path):
+    archive.register(spark)
+    root = tmp_path / "pages"
+    _pages(root, {n: [(f"{n}-{i}", f"2025-01-{n:02d}T00:00:0{i}") for i in range(3)] for n in range(1, 6)})
+
+    def run():
+        stream = spark.readStream.format("archive_pages").option("path", str(root)).option("maxPagesPerBatch", "2").option("position", str(tmp_path / "position")).option("pagesPerPartition", "1").load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [f"{n}-{i}" for n in (1, 2) for i in range(3)]
+    assert run() == [f"{n}-{i}" for n in range(1, 5) for i in range(3)]
+    assert run() == [f"{n}-{i}" for n in range(1, 6) for i in range(3)]
+    _pages(root, {6: [("6-0", "2025-01-06T00:00:00")], 7: []})
+    assert run()[-2:] == ["5-2", "6-0"] and len(run()) == 16
+
+
+def test_pages_outside_the_filter_are_not_opened(spark, tmp_path):
+    archive.register(spark)
+    root = tmp_path / "pages"
+    _pages(root, {n: [(f"{n}", f"2025-01-{n:02d}T00:00:00")] for n in range(1, 6)})
+    (root / "pages.json").write_text(json.dumps({n: [f"2025-01-{n:02d}T00:00:00"] * 2 for n in range(1, 6)}))
+    for n in (1, 2, 5):
+        (root / f"page-{n}.json").write_text("{broken")  # opening one of these fails
+    listed = spark.read.format("archive_pages").option("path", str(root)).load()
+    inside = listed.where("posting >= '2025-01-03T00:00:00' and posting < '2025-01-04T12:00:00'")
+    assert [r.doc_id for r in inside.orderBy("doc_id").collect()] == ["3", "4"]
+    assert listed.where("posting > '2026'").count() == 0
