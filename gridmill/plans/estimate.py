@@ -50,9 +50,9 @@ def recent_estimate(files: DataFrame, earliest: DataFrame, as_of: str, recent: i
 
 
 def with_total(df: DataFrame, key: str, *sums: str) -> DataFrame:
-    """A last row of sums, whose key is 'TOTAL'."""
-    total = df.agg(F.lit("TOTAL").alias(key), *[F.sum(c).alias(c) for c in sums])
-    return df.select(key, *sums).unionByName(total)
+    """Rows of one for each key with their sums, and a row of all, whose key is 'TOTAL': one rollup, so df is read once."""
+    out = df.rollup(key).agg(*[F.sum(c).alias(c) for c in sums], F.grouping(key).alias("__all"))
+    return out.select(F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col(key)).alias(key), *sums)
 
 
 def with_tiers(found: DataFrame, tiers: DataFrame) -> DataFrame:

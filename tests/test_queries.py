@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from gridmill import catalog_queries as C
-from gridmill import record_queries  # noqa: F401  adds its queries
+from gridmill import record_queries, summary_queries  # noqa: F401  they add their queries
 from tests.oracle import spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
