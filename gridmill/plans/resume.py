@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.sources.sinks import read_whole, save_whole
+
 #: An earlier state is taken up only if all of these are as they were. Fixed names.
 PARAMETERS = ["dataset_id", "window_from", "window_to", "page_size", "download_order", "max_docs_per_dataset", "archive_url"]
 
@@ -40,6 +42,23 @@ def states_of(listed: DataFrame, done: DataFrame, parameters: DataFrame) -> Data
     return both.select(*parameters.columns, F.coalesce("last_page", F.lit(0)).alias("last_page"), n.cast("int").alias("total_docs"), m.cast("int").alias("next_doc_index"), F.when(m >= n, "done").otherwise("running").alias("status"))
 
 
+STATE = "dataset_id string, window_from string, window_to string, page_size int, download_order string, max_docs_per_dataset int, archive_url string, last_page int, total_docs int, next_doc_index int, status string"
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """Saves the states of a run's datasets (see states_of) beside those of all others, all at once."""
+    spark = states.sparkSession
+    shape = spark.createDataFrame([], STATE).schema
+    new = states.select(*[(F.col(f.name) if f.name in states.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
+    others = read_whole(spark, path, STATE).join(new.select("dataset_id"), "dataset_id", "left_anti").select(*shape.names)
+    save_whole(others.unionByName(new), path)
+
+
+def saved_states(spark: SparkSession, path: str) -> DataFrame:
+    """All datasets' states, as the last run that ended its save left them: what starts() takes."""
+    return read_whole(spark, path, STATE)
+
+
 def dry_run(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """What a run would fetch and skip, by dataset, without doing it: listed, there already, to fetch, and the bytes of these (unknown ones count as none)."""
     there = have.select(*keys).distinct().withColumn("__there", F.lit(True))

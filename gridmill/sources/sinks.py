@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from gridmill.functions.text import blank_to_null, clean_header, event_line, posting_column
 from gridmill.functions.timeparse import parse_iso
 from gridmill.registry import POSTING_NAMES
-from gridmill.sources.files import path_exists
+from gridmill.sources.files import first_line, path_exists
 
 UNDATED = "undated"
 
@@ -59,6 +61,97 @@ def reconciled(rows: DataFrame, header: list[str], posting_value: Column | None
     return rows.select(F.coalesce(filled, F.lit("")).alias(name), *[cell(c).alias(c) for c in ordered])
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose months may have been written with different columns: the union of all, null where a month lacks one."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def append_reconciled(rows: DataFrame, path: str, posting_value: Column | None = None) -> DataFrame:
+    """Appends rows under the table's own header (see reconciled) to their posting months; returns what was written.
+
+    Columns that the table lacks are added by what is written now: nothing that is there is written again, and
+    read_table gives them as null for earlier rows. The first append makes the table.
+    """
+    spark = rows.sparkSession
+    header = [c for c in read_table(spark, path).columns if c not in ("year", "month")] if path_exists(spark, path) else []
+    out = reconciled(rows, header, posting_value)
+    dated = month_columns(out, out.columns[0])
+    write_table(dated, path, ["year", "month"])
+    return dated
+
+
+_CURRENT = "_current"
+
+
+def save_whole(df: DataFrame, path: str) -> None:
+    """Replaces what path holds by df's rows, all at once: they are written beside it, and one rename says that they count.
+
+    A job that dies before leaves the old rows; readers (read_whole) have either. The version before is kept for those
+    that still read it, older ones are deleted.
+    """
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path, before = jvm.org.apache.hadoop.fs.Path, _version(spark, path)
+    fs, note = Path(path).getFileSystem(conf), Path(f"{path}/{_CURRENT}-{version}")
+    out = fs.create(note)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(Path(path).toUri(), conf) if "://" in path else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(note), fs.makeQualified(Path(f"{path}/{_CURRENT}")), over)
+    for status in fs.listStatus(Path(path)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    at = f"{path}/{_CURRENT}"
+    return first_line(spark, at) if path_exists(spark, at) else None
+
+
+def read_whole(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What save_whole saved last; no rows if nothing was."""
+    version = _version(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{version}") if version else spark.createDataFrame([], schema)
+
+
+def clear_files(spark: SparkSession, files: DataFrame, archive: str | None = None, dry_run: bool = False) -> dict[str, int]:
+    """Deletes files (path), or moves them under archive/<dataset>/<year>/<month>/ as they lie; how many were 'moved', 'deleted', 'gone' before, or 'planned'.
+
+    A file of the same name and size in the archive takes the place of one that is moved; one of another size stays, and the
+    new one gets a suffix. Only names pass through the driver, one after the other.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path, done = jvm.org.apache.hadoop.fs.Path, Counter()
+    for r in files.select("path").toLocalIterator():
+        at = Path(r.path)
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            done["gone"] += 1
+        elif dry_run:
+            done["planned"] += 1
+        elif archive is None:
+            done["deleted"] += bool(fs.delete(at, False))
+        else:
+            month, year, dataset = at.getParent(), at.getParent().getParent(), at.getParent().getParent().getParent()
+            folder = f"{archive.rstrip('/')}/{dataset.getName()}/{year.getName()}/{month.getName()}"
+            fs.mkdirs(Path(folder))
+            to, n = Path(f"{folder}/{at.getName()}"), 0
+            if fs.exists(to) and fs.getFileStatus(to).getLen() == fs.getFileStatus(at).getLen():
+                fs.delete(at, False)
+            else:
+                while fs.exists(to):
+                    n += 1
+                    to = Path(f"{folder}/{at.getName()}.dup{n}")
+                if not fs.rename(at, to):
+                    raise OSError(f"{r.path} could not be moved to {to}")
+            done["moved"] += 1
+    return dict(done)
+
+
 def with_posting_column(df: DataFrame, name: str = "postDateTime") -> DataFrame:
     """The table with a posting-time column first, blank where it had none."""
     return df if name in df.columns else df.select(F.lit("").alias(name), *[f"`{c}`" for c in df.columns])

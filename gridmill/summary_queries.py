@@ -1,4 +1,4 @@
-"""Queries of the one-pass summaries, with their SQL."""
+"""Queries of the one-pass summaries and of tables and states that grow from run to run, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from gridmill.catalog_queries import query, rounded, table
 from gridmill.functions import timeparse as T
 from gridmill.operators import summaries as S
+from gridmill.plans import resume
 from gridmill.session import scratch
+from gridmill.sources import sinks
 
 _LEVELS = "CAST(2 - grouping(o_orderpriority) - grouping(o_orderstatus) AS INTEGER)"
 
@@ -73,3 +75,30 @@ def quarantine(spark, d):
         good = S.clean_rows(held).select("o_orderkey", F.lit(None).cast("string").alias("reason"))
         parts.append(good.unionByName(S.quarantined(held).select("o_orderkey", "reason")).select(F.lit(run).alias("run"), "o_orderkey", "reason"))
     return parts[0].unionByName(parts[1])
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS "key", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS posting, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS customer,
+  CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS status, strftime(o_orderdate, '%m') AS month FROM orders WHERE o_orderdate IS NOT NULL""")
+def append_growing(spark, d):
+    """Two appends, the second under other names, in another order and with one more column: one table, nothing written twice."""
+    o = table(spark, d, "orders").where("o_orderdate is not null").withColumn("at", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    path = scratch(spark, "growing")
+    odd, even = o.where("o_orderkey % 2 = 1"), o.where("o_orderkey % 2 = 0")
+    sinks.append_reconciled(odd.select(F.col("at").alias("PostingTime"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")), path)
+    sinks.append_reconciled(even.select(F.col("o_orderkey").alias(" key"), F.col("o_custkey").alias("customer"), F.col("at").alias("postDateTime")), path)
+    return sinks.read_table(spark, path).select("key", F.col("PostingTime").alias("posting"), "customer", "status", F.format_string("%02d", F.col("month").cast("int")).alias("month"))
+
+
+@query("""
+WITH r AS (SELECT o_orderpriority AS dataset_id, CAST(max(o_custkey) AS INTEGER) AS last_page, CAST(count(*) AS INTEGER) AS total_docs, CAST(count(*) FILTER (o_orderstatus = 'F') AS INTEGER) AS done FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1)
+SELECT dataset_id, last_page, total_docs, CASE WHEN dataset_id < '3' THEN total_docs ELSE done END AS next_doc_index, CASE WHEN dataset_id < '3' OR done >= total_docs THEN 'done' ELSE 'running' END AS status FROM r""")
+def saved_run_states(spark, d):
+    """The states of a run saved, and a later run's of some datasets saved over theirs."""
+    o = table(spark, d, "orders").where("o_orderpriority is not null").select(F.col("o_orderpriority").alias("dataset_id"), F.col("o_custkey").alias("page"), "o_orderstatus")
+    path = scratch(spark, "states")
+    names = o.select("dataset_id").distinct()
+    resume.save_states(resume.states_of(o, o.where("o_orderstatus = 'F'"), names), path)
+    later = o.where("dataset_id < '3'")
+    resume.save_states(resume.states_of(later, later, names.where("dataset_id < '3'")), path)
+    return resume.saved_states(spark, path).select("dataset_id", "last_page", "total_docs", "next_doc_index", "status")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridmill import jobs
 from gridmill.plans import backfill as B
@@ -178,6 +179,40 @@ def test_exported_files_keep_their_keys_as_names(spark, tmp_path):
         sinks.export_files(spark.createDataFrame([(None, 0, "x")], "k string, i int, value string"), str(tmp_path / "none"), "k", ["i"], str)
 
 
+def test_a_save_that_fails_leaves_what_was_there(spark, tmp_path):
+    path, shape = f"file://{tmp_path}/whole", "i long"
+    assert sinks.read_whole(spark, path, shape).count() == 0
+    sinks.save_whole(spark.range(3).select(F.col("id").alias("i")), path)
+    old = sinks.read_whole(spark, path, shape)
+    bad = spark.range(10).select(F.when(F.col("id") == 9, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("i"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_whole(bad, path)
+    assert sinks.read_whole(spark, path, shape).count() == 3
+    sinks.save_whole(spark.range(5).select(F.col("id").alias("i")), path)
+    assert sinks.read_whole(spark, path, shape).count() == 5 and old.count() == 3  # the version before can still be read
+    for _ in range(2):
+        sinks.save_whole(sinks.read_whole(spark, path, shape), path)
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "whole").iterdir()) == 2
+
+
+def test_clearing_of_documents(spark, tmp_path):
+    root, d, out = tmp_path / "raw", "NP6-346-CD", str(tmp_path / "out")
+    _month(root, d, "202511", "v", ["a", "b"], {"1": ["v", "a"], "2": ["v", "b"]})
+    _month(root, d, "202512", "v", ["c"], {"3": ["v", "c"]})
+    cache = _cache(tmp_path / "c.jsonl", {"1": "2025-11-01T00:00:00", "2": "2025-11-02T00:00:00"})
+    jobs.backfill(spark, str(root), out, d, caches=cache)
+    run = lambda **o: {r.done: r.files for r in jobs.clear(spark, str(root), out, d, **o).collect()}
+    folder, kept = root / d / "2025/11", tmp_path / "archive" / d / "2025/11"
+    assert run(dry_run=True) == {"planned": 2} and (folder / "report__1.csv").exists()
+    kept.mkdir(parents=True)
+    (kept / "report__1.csv").write_text("another")
+    (kept / "report__2.csv").write_text((folder / "report__2.csv").read_text())
+    assert run(archive=str(tmp_path / "archive")) == {"moved": 2}
+    assert sorted(p.name for p in kept.iterdir() if not p.name.startswith(".")) == ["report__1.csv", "report__1.csv.dup1", "report__2.csv"]
+    assert not (folder / "report__1.csv").exists() and (root / d / "2025/12/report__3.csv").exists()
+    assert run() == {}
+
+
 def test_options_from_a_config(tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps({"as-of": "2025-01-01", "time": {"logs": "x"}, "dataset": ["NP3-233-CD"], "none": None}))
     assert jobs.config(str(tmp_path / "c.json")) == {"as_of": "2025-01-01", "time_logs": "x", "dataset": ["NP3-233-CD"]}
