@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.session import saved
+
 
 def _order(order: list[str]) -> list:
     return [F.col(o[1:]).desc_nulls_last() if o.startswith("-") else F.col(o).asc_nulls_last() for o in order]
@@ -32,6 +36,66 @@ def islands(df: DataFrame, value: str, keys: list[str], order: list[str]) -> Dat
     return numbered.groupBy(*keys, "island", value).agg(F.count("*").alias("n_rows"))
 
 
+def _parts(df: DataFrame, keys: list[str], order: list[str], extra: list[Column]) -> DataFrame:
+    """Rows dealt by ranges of keys and order and written, with __part (of the range), __at (place in it, by keys) and the extra columns, which see the row before as lag() within the part."""
+    by = [F.col(k).asc_nulls_last() for k in keys] + _order(order)
+    dealt = saved(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "parts")
+    w = Window.partitionBy("__part", *keys).orderBy(*_order(order))
+    return dealt.select("*", F.row_number().over(w).alias("__at"), *[c.over(w).alias(f"__x{i}") for i, c in enumerate(extra)])
+
+
+def _met(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what is known of their part; a null key meets a null key."""
+    names = ["__part", *keys]
+    other = parts.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(names)], *[c for c in parts.columns if c not in names])
+    return rows.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(names)])).drop(*[f"__r{i}" for i in range(len(names))])
+
+
+def spread_islands(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
+    """As islands, for keys of so many rows that one task can't sort them: ranges of the order are searched by themselves, and stitched where a run goes over a border."""
+    rows = _parts(df, keys, order, [F.lag(value)])
+    new = F.when((F.col("__at") > 1) & F.col("__x0").eqNullSafe(F.col(value)), 0).otherwise(1)
+    inside = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("__local", F.sum(new).over(inside)).groupBy("__part", *keys, "__local", value).agg(F.count("*").alias("n_rows"))
+    # A row for each part of a key: its first and last run.
+    edges = local.groupBy("__part", *keys).agg(F.min_by(value, "__local").alias("__first"), F.max_by(value, "__local").alias("__last"), F.max("__local").alias("__n"))
+    over = Window.partitionBy(*keys).orderBy("__part")
+    joined = F.coalesce((F.row_number().over(over) > 1) & F.lag("__last").over(over).eqNullSafe(F.col("__first")), F.lit(False)).cast("int")
+    steps = edges.withColumn("__joined", joined)
+    before = F.sum(F.col("__n") - F.col("__joined")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    base = steps.select("__part", *keys, before.alias("__base"))
+    placed = _met(local, base, keys).withColumn("island", F.col("__base") + F.col("__local"))
+    return placed.groupBy(*keys, "island", value).agg(F.sum("n_rows").alias("n_rows"))
+
+
+def spread_inversions(df: DataFrame, key: str, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
+    """As inversions, for keys of so many rows that one task can't sort them: breaks are counted in ranges of the order and at their borders."""
+    rows = _parts(df, keys, order, [F.lag(key)])
+    back = lambda here, before: F.coalesce((here > before) if descending else (here < before), F.lit(False)) | (here.isNotNull() & before.isNull())
+    broken = F.when((F.col("__at") > 1) & back(F.col(key), F.col("__x0")), 1).otherwise(0)
+    local = rows.groupBy("__part", *keys).agg(F.count("*").alias("n_rows"), F.sum(broken).alias("__inside"), F.count(key).alias("n_keys"), F.min_by(key, "__at").alias("__first"), F.max_by(key, "__at").alias("__last"))
+    over = Window.partitionBy(*keys).orderBy("__part")
+    border = F.when((F.row_number().over(over) > 1) & back(F.col("__first"), F.lag("__last").over(over)), 1).otherwise(0)
+    found = local.withColumn("__border", border)
+    return found.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("__inside") + F.col("__border")).alias("n_inversions"), F.sum("n_keys").alias("n_keys"))
+
+
+def spread_streaks(df: DataFrame, failed: str, keys: list[str], order: list[str]) -> DataFrame:
+    """As streaks, for keys of so many rows that one task can't sort them: a streak at a range's start goes on from the range before."""
+    rows = _parts(df, keys, order, [])
+    inside = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    # The last row that did not fail: what is behind it is the streak; without one the streak reaches back beyond the part.
+    bad = F.coalesce(F.col(failed), F.lit(False))
+    local = rows.withColumn("__good", F.max(F.when(~bad, F.col("__at"))).over(inside))
+    ends = local.groupBy("__part", *keys).agg(F.max("__at").alias("__n"), F.max("__good").alias("__last"))
+    over = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # Failures up to a part's start: the rows of parts since the last that had a good one, and that one's own tail.
+    ends = ends.withColumn("__upto", F.sum("__n").over(over)).withColumn("__since", F.max(F.when(F.col("__last").isNotNull(), F.coalesce("__upto", F.lit(0)) + F.col("__last"))).over(over))
+    carried = ends.select("__part", *keys, (F.coalesce("__upto", F.lit(0)) - F.coalesce("__since", F.lit(0))).alias("__carried"))
+    streak = F.when(F.col("__good").isNull(), F.col("__at") + F.col("__carried")).otherwise(F.col("__at") - F.col("__good"))
+    return _met(local, carried, keys).select(*df.columns, streak.cast("long").alias("streak"))
+
+
 def every_nth(df: DataFrame, n: int, column: str = "island") -> DataFrame:
     return df.where(F.col(column) % n == 0)
 

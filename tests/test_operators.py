@@ -130,3 +130,23 @@ def test_ordinals_by_bucket_number_as_one_window_does(spark):
     for k in range(3):
         assert [r.o for r in sorted((r for r in up if r.k == k), key=lambda r: r.n)] == list(range(k, 500, 3))
         assert [r.o for r in sorted((r for r in down if r.k == k), key=lambda r: r.n)] == list(range(k, 500, 3))[::-1]
+
+
+def test_windows_over_one_large_key_equal_those_of_one_task(spark):
+    import random
+
+    from gridmill.operators import windows as W
+
+    r = random.Random(4)
+    rows = [("big" if i % 50 else None, i, r.choice([None, 1, 1, 1, 2]), r.random() < 0.9 or 100 < i < 900) for i in range(3000)] + [("few", 0, 1, True)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, bad boolean").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges of so few rows
+    try:
+        for order in (["i"], ["-i"]):
+            assert sorted(map(str, W.spread_islands(df, "v", ["k"], order).collect())) == sorted(map(str, W.islands(df, "v", ["k"], order).collect()))
+            assert sorted(map(str, W.spread_streaks(df, "bad", ["k"], order).collect())) == sorted(map(str, W.streaks(df, "bad", ["k"], order).collect()))
+            for down in (False, True):
+                assert sorted(map(str, W.spread_inversions(df, "v", ["k"], order, down).collect())) == sorted(map(str, W.inversions(df, "v", ["k"], order, down).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
