@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridmill.catalog_queries import query, rounded, table
 from gridmill.functions import timeparse as T
 from gridmill.operators import summaries as S
+from gridmill.operators import windows as W
 from gridmill.plans import resume
 from gridmill.session import scratch
 from gridmill.sources import sinks
@@ -102,3 +103,27 @@ def saved_run_states(spark, d):
     later = o.where("dataset_id < '3'")
     resume.save_states(resume.states_of(later, later, names.where("dataset_id < '3'")), path)
     return resume.saved_states(spark, path).select("dataset_id", "last_page", "total_docs", "next_doc_index", "status")
+
+
+@query("""
+WITH e AS (SELECT 0 AS k, event_id, event_type, value FROM events WHERE event_id IS NOT NULL),
+m AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS island FROM (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (ORDER BY event_id)))
+SELECT CAST(island AS BIGINT) AS island, event_type, count(*) AS n_rows FROM m GROUP BY ALL""")
+def whole_table_islands(spark, d):
+    """Runs of equal events in the order of the whole table, which no single task sorts."""
+    e = table(spark, d, "events").where("event_id is not null").select(F.lit(0).alias("k"), "event_id", "event_type")
+    return W.spread_islands(e, "event_type", ["k"], ["event_id"]).select(F.col("island").cast("long").alias("island"), "event_type", "n_rows")
+
+
+@query("""
+WITH e AS (SELECT event_id, ts, value > 20 AS failed FROM events WHERE event_id IS NOT NULL),
+i AS (SELECT count(*) AS n_rows, CAST(sum(CASE WHEN row_number > 1 AND ts IS NOT NULL AND (before IS NULL OR ts < before) THEN 1 ELSE 0 END) AS BIGINT) AS n_inversions FROM (SELECT ts, lag(ts) OVER w AS before, row_number() OVER w AS row_number FROM e WINDOW w AS (ORDER BY event_id))),
+g AS (SELECT event_id, failed, sum(CASE WHEN coalesce(failed, false) THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS g FROM e),
+s AS (SELECT max(n) AS longest FROM (SELECT count(*) FILTER (failed) AS n FROM g GROUP BY g))
+SELECT n_rows, n_inversions, longest FROM i, s""")
+def whole_table_order(spark, d):
+    """Breaks of time's order and the longest streak of a whole table in the order of its ids, from ranges of it."""
+    e = table(spark, d, "events").where("event_id is not null").select(F.lit(0).alias("k"), "event_id", "ts", (F.col("value") > 20).alias("failed"))
+    found = W.spread_inversions(e, "ts", ["k"], ["event_id"]).select("n_rows", "n_inversions", F.lit(None).cast("long").alias("longest"))
+    longest = W.spread_streaks(e, "failed", ["k"], ["event_id"]).agg(F.max("streak").alias("longest"))
+    return found.unionByName(longest, allowMissingColumns=True).agg(F.max("n_rows").alias("n_rows"), F.max("n_inversions").cast("long").alias("n_inversions"), F.max("longest").alias("longest"))
