@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridmill.catalog_queries import query, rounded, table
+from gridmill.functions import tables
 from gridmill.functions import timeparse as T
 from gridmill.operators import summaries as S
 from gridmill.operators import windows as W
@@ -127,3 +128,16 @@ def whole_table_order(spark, d):
     found = W.spread_inversions(e, "ts", ["k"], ["event_id"]).select("n_rows", "n_inversions", F.lit(None).cast("long").alias("longest"))
     longest = W.spread_streaks(e, "failed", ["k"], ["event_id"]).agg(F.max("streak").alias("longest"))
     return found.unionByName(longest, allowMissingColumns=True).agg(F.max("n_rows").alias("n_rows"), F.max("n_inversions").cast("long").alias("n_inversions"), F.max("longest").alias("longest"))
+
+
+@query("""
+SELECT o_orderpriority AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS INTEGER) AS row_idx, CAST(o_orderkey AS VARCHAR) AS "key", 'x, "' || o_orderstatus || '"' AS label, CAST(NULL AS VARCHAR) AS missing
+FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderkey IS NOT NULL AND o_orderstatus IS NOT NULL""")
+def sql_document_rows(spark, d):
+    """Documents cut into rows by SQL text alone: a lateral table function whose columns are named in the call."""
+    tables.register(spark)
+    o = table(spark, d, "orders").where("o_orderpriority is not null and o_orderkey is not null and o_orderstatus is not null")
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"x, ""'), "o_orderstatus", F.lit('"""'))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
+    o.groupBy(F.col("o_orderpriority").alias("doc_id")).agg(F.concat(F.lit("key, label\r\n"), F.array_join(lines, "\r\n")).alias("text")).createOrReplaceTempView("sql_documents")
+    return spark.sql("SELECT d.doc_id, r.* FROM sql_documents d, LATERAL csv_rows(d.text, 'key,label,missing') r")

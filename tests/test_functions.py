@@ -104,3 +104,22 @@ def test_link_suffixes(spark):
     links = ["x.TGZ", "x.tar?y=1", "x.gz#z", "x.xls", "x.pdf", "x.xml", "x.txt", "x"]
     got = spark.createDataFrame([(x,) for x in links], "l string").select(X.file_link("l").alias("f")).collect()
     assert [r.f for r in got] == [True] * 4 + [False] * 4
+
+
+def test_table_functions_in_sql(spark):
+    import io
+    import zipfile
+
+    from gridmill.functions import tables
+
+    tables.register(spark)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.csv", "caf\u00e9".encode("latin-1"))
+    docs = [("d", 'a, b\n1,"x\ny"\n\n2\n', bytearray(held.getvalue()), '<A HREF="/p?q=1">x</a> <a name="n">', "http://h/d/"), ("json", ' {"a": 1}', bytearray(b"no"), None, None), ("none", None, None, "<a href='r'>", None)]
+    spark.createDataFrame(docs, "i string, text string, zip binary, html string, url string").createOrReplaceTempView("table_function_docs")
+    sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert sql("SELECT d.i, r.* FROM table_function_docs d, LATERAL csv_rows(d.text, 'b,c,a') r") == [("d", 0, "x\ny", None, "1"), ("d", 1, None, None, "2")]
+    assert sql("SELECT d.i, r.* FROM table_function_docs d, LATERAL zip_members(d.zip) r") == [("d", "a.csv", "caf\u00e9")]
+    assert sorted(sql("SELECT d.i, r.* FROM table_function_docs d, LATERAL page_links(d.html, d.url) r")) == [("d", 0, "http://h/p?q=1"), ("none", 0, "r")]
+    assert spark.sql("SELECT * FROM csv_rows('x,y', 'y,x')").columns == ["row_idx", "y", "x"]
