@@ -331,11 +331,27 @@ def alias_map(spark, d):
 
 
 _PROFILES = ", ".join(f"('{p}', {i}, '{x}')" for p, ids in registry.PROFILES.items() for i, x in enumerate(ids))
+_NAMES = ["core", " Market", "reliability", "all"]
+_IDS = [*registry.ALIASES, *registry.DATASETS]
+_RESOLVED = f"""
+WITH p(profile, position, id) AS (VALUES {_PROFILES}), a(old_id, new_id) AS (VALUES {", ".join(f"('{x}', '{y}')" for x, y in registry.ALIASES.items())}),
+n(k, name) AS (VALUES {", ".join(f"({i}, '{x.strip().lower()}')" for i, x in enumerate(_NAMES))}), i(k, id) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_IDS))}),
+w AS (SELECT c_custkey, 0 AS place, position, p.id FROM customer JOIN n ON k = c_custkey % {len(_NAMES)} JOIN p ON profile = name WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 1, NULL, i.id FROM customer JOIN i ON k = c_custkey % {len(_IDS)}),
+r AS (SELECT c_custkey, coalesce(new_id, id) AS dataset_id, min(place * 1000 + coalesce(position, 0)) AS nth FROM w LEFT JOIN a ON id = old_id GROUP BY ALL)"""
 
 
-@query(f"SELECT dataset_id, CAST(min(position) AS INTEGER) AS position FROM (VALUES {_PROFILES}) AS p(profile, position, dataset_id) WHERE profile IN ('core', 'market') GROUP BY 1")
+def customer_requests(spark: SparkSession, d: str) -> DataFrame:
+    """What each customer asks for: a profile, for two of three, and an id, some of them old."""
+    c = table(spark, d, "customer").select("c_custkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    names = c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("request"), F.lit(0).alias("place"), pick(_NAMES, F.col("c_custkey")).alias("value"))
+    return names.unionByName(c.select(F.col("c_custkey").alias("request"), F.lit(1).alias("place"), F.concat(F.lit(" "), F.lower(pick(_IDS, F.col("c_custkey")))).alias("value")))
+
+
+@query(_RESOLVED + " SELECT c_custkey, dataset_id, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY nth) - 1 AS INTEGER) AS position FROM r")
 def profile_resolve(spark, d):
-    return registry.profiles(spark).where(F.col("profile").isin("core", "market")).groupBy("dataset_id").agg(F.min("position").alias("position"))
+    """The datasets of each customer's profile and id, old ids replaced, each once, in order."""
+    return registry.resolved(customer_requests(spark, d)).withColumnRenamed("request", "c_custkey")
 
 
 @query("""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill import jobs, registry
-from gridmill.catalog_queries import query, rounded, table
+from gridmill.catalog_queries import _RESOLVED, customer_requests, query, rounded, table
 from gridmill.functions import text as X
 from gridmill.functions import timeparse as T
 from gridmill.operators import aggregates as A
@@ -370,11 +370,10 @@ def candidate_calls(spark, d):
     return table(spark, d, "part").select(F.col("p_brand").alias("url"), (F.col("p_size") % 3).alias("params")).dropDuplicates(["url", "params"])
 
 
-@query("SELECT * FROM (VALUES ('NP6-905-CD', 0), ('NP4-523-CD', 1), ('NP4-188-CD', 2)) AS t(dataset_id, position)")
+@query(_RESOLVED + " SELECT c_custkey, dataset_id, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY nth) - 1 AS INTEGER) AS position FROM r WHERE dataset_id NOT IN ('NP6-788-CD', 'NP6-331-CD')")
 def excluded_datasets(spark, d):
-    """A profile without its excluded datasets, old ids included."""
-    ids = registry.resolve_ids(["market"], exclude=["np6-788-er", " NP6-331-CD"])
-    return spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "dataset_id string, position int")
+    """Each customer's datasets without the excluded ones, which may be named by old ids."""
+    return registry.resolved(customer_requests(spark, d), ["np6-788-er", " NP6-331-CD"]).withColumnRenamed("request", "c_custkey")
 
 
 # Backfill.
@@ -631,11 +630,15 @@ def file_time_estimate(spark, d):
     return rounded(E.time_estimate(logged, files, days).select("dataset_id", "basis", "seconds_per_day"), "seconds_per_day", places=4)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{t}')" for t, ids in registry.TIERS.items() for x in ids) + ") AS t(dataset_id, tier)")
+_TIERED = [*registry.EARLIEST, "NP0-000-CD"]
+
+
+@query("WITH t(dataset_id, tier) AS (VALUES " + ", ".join(f"('{x}', '{t}')" for t, ids in registry.TIERS.items() for x in ids) + "), n(k, dataset_id) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_TIERED)) + f") SELECT n.dataset_id, tier, count(*) AS files, round(sum(o_totalprice), 2) AS bytes FROM orders JOIN n ON k = o_custkey % {len(_TIERED)} LEFT JOIN t USING (dataset_id) GROUP BY 1, 2")
 def estimate_tiers(spark, d):
-    """Estimates of datasets with the tier that each is in."""
-    days = spark.createDataFrame(list(registry.EARLIEST.items()), "dataset_id string, first_day string")
-    return E.with_tiers(days, registry.tiers(spark)).select("dataset_id", "tier")
+    """Files and bytes of datasets with the tier that each is in; one is in none."""
+    name = F.element_at(F.array(*map(F.lit, _TIERED)), (F.col("o_custkey") % len(_TIERED) + 1).cast("int"))
+    held = table(spark, d, "orders").where("o_custkey is not null").groupBy(name.alias("dataset_id")).agg(F.count("*").alias("files"), F.sum("o_totalprice").alias("bytes"))
+    return rounded(E.with_tiers(held, registry.tiers(spark)).select("dataset_id", "tier", "files", "bytes"), "bytes", places=2)
 
 
 @query("SELECT file, row_idx, value FROM (SELECT o_orderpriority AS file, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx, CASE WHEN o_orderkey % 9 = 0 THEN 'soon' WHEN o_orderkey % 4 = 0 THEN '' ELSE 'x' END AS value FROM orders) WHERE value = 'soon'")

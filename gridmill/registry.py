@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: id -> (title, category)
 DATASETS = {
@@ -89,5 +90,21 @@ def resolve_ids(profile_names: list[str] = (), ids: list[str] = (), exclude: lis
     return [d for d in dict.fromkeys(ALIASES.get(i, i) for i in wanted) if d not in out]
 
 
+def resolved(requests: DataFrame, exclude: list[str] = ()) -> DataFrame:
+    """request, dataset_id, position (from 0) of requests (request, place, value), whose values are names of profiles or ids, as resolve_ids does it for one.
+
+    A request's profiles stand for their ids, ids are trimmed and upper-cased, old ones replaced, each counts once, at its
+    first place; excluded ones are left out. Profiles and aliases are fixed tables of a few rows.
+    """
+    spark = requests.sparkSession
+    named = F.broadcast(profiles(spark).withColumnRenamed("dataset_id", "member"))
+    rows = requests.join(named, F.lower(F.trim("value")) == F.col("profile"), "left").withColumn("old_id", F.coalesce("member", F.upper(F.trim("value")))).where("old_id <> ''")
+    rows = rows.join(F.broadcast(aliases(spark)), "old_id", "left").withColumn("dataset_id", F.coalesce("new_id", "old_id"))
+    out = {ALIASES.get(e.strip().upper(), e.strip().upper()) for e in exclude}
+    first = rows.where(~F.col("dataset_id").isin(*out)) if out else rows
+    first = first.groupBy("request", "dataset_id").agg(F.min(F.struct("place", "position")).alias("at"))
+    return first.select("request", "dataset_id", (F.row_number().over(Window.partitionBy("request").orderBy("at")) - 1).alias("position"))
+
+
 def tiers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, i, d) for t, ids in TIERS.items() for i, d in enumerate(ids)], "tier string, position int, dataset_id string")
