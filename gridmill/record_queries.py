@@ -8,6 +8,10 @@ posting time), lineitem for their rows.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +101,50 @@ def document_files(spark, d):
     return S.document_rows(S.documents(spark, root)).select("doc_id", F.col("values")["name"].alias("name"), F.col("values")["nation"].cast("int").alias("nation"))
 
 
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 0 AS row_idx, CASE s_suppkey % 5 WHEN 1 THEN 'é' || s_name WHEN 4 THEN s_name || chr(10) || 'x' ELSE s_name END AS name FROM supplier WHERE s_suppkey % 5 <> 2""")
+def document_archives(spark, d):
+    """Documents as they come: with a byte order mark, in a ZIP beside other files and in Latin-1, JSON bodies instead of rows, ZIPs by content alone, line breaks inside quotes."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+
+    def packed(frames):
+        for f in frames:
+            rows = []
+            for key, name in zip(f["s_suppkey"], f["s_name"], strict=True):
+                kind, out = key % 5, io.BytesIO()
+                text = {0: f"\ufeffname\n{name}\n", 1: f"name\r\né{name}\r\n", 2: '{"error": "none"}', 3: f"name\n{name}\n", 4: f'name\n"{name}\nx"\n'}[kind]
+                if kind in (1, 3):
+                    with zipfile.ZipFile(out, "w") as z:
+                        z.writestr("about.txt", "name\nno")
+                        z.writestr("rows.CSV", text.encode("latin-1"))
+                rows.append((f"/x/report__{key}.{'zip' if kind == 1 else 'csv'}", out.getvalue() or text.encode()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    docs = S.opened_documents(s.mapInPandas(packed, "path string, content binary"))
+    return S.document_rows(docs, columns=["name"]).select("doc_id", "row_idx", "name")
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CASE WHEN s_suppkey % 4 < 3 THEN s_name END AS text, CASE s_suppkey % 4 WHEN 3 THEN '0 CSV files' END AS problem FROM supplier WHERE s_suppkey % 4 <> 2
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, '2 CSV files' FROM supplier WHERE s_suppkey % 4 = 2""")
+def bulk_archives(spark, d):
+    """ZIPs of documents' ZIPs, a bulk for each nation; those of another number of CSV files are told."""
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+
+    def packed(key, f):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k, name in zip(f["s_suppkey"], f["s_name"], strict=True):
+                inner = io.BytesIO()
+                with zipfile.ZipFile(inner, "w") as y:
+                    for i in range({2: 2, 3: 0}.get(k % 4, 1)):
+                        y.writestr(f"{i}.csv", name)
+                z.writestr(f"bulk/{k}.zip", inner.getvalue())
+        return pd.DataFrame({"content": [out.getvalue()]})
+
+    return S.opened_bulks(s.groupBy("s_nationkey").applyInPandas(packed, "content binary"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS posting FROM orders WHERE o_orderkey % 7 <> 0")
 def listing_cache(spark, d):
     """A listing cache of pages, bare documents and broken lines; the first posting of each document counts."""

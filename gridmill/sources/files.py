@@ -258,6 +258,11 @@ def document_paths(spark: SparkSession, root: str, glob: str = "*__*") -> DataFr
 def documents(spark: SparkSession, root: str, glob: str = "*__*") -> DataFrame:
     """path, doc_id, text of per-document files; sidecars are left out. ZIPs have no Spark codec, so files are opened in tasks."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return opened_documents(raw)
+
+
+def opened_documents(raw: DataFrame) -> DataFrame:
+    """path, doc_id, text of files (path, content) whose names hold a document's id: CSV as it is, or the CSV in a ZIP; UTF-8, else Latin-1."""
     held = raw.withColumn("doc_id", doc_id_of("path")).where(F.col("doc_id").isNotNull()).select("path", "doc_id", "content")
 
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,7 +274,11 @@ def documents(spark: SparkSession, root: str, glob: str = "*__*") -> DataFrame:
 
 def bulk_documents(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """doc_id, text, problem of a ZIP of ``<doc id>.zip`` files of one CSV each. strict: another number of CSVs is a problem; else the first counts."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    return opened_bulks(spark.read.format("binaryFile").load(path), strict)
+
+
+def opened_bulks(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """doc_id, text, problem of the documents in ZIPs of ZIPs (content)."""
 
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -284,7 +293,7 @@ def bulk_documents(spark: SparkSession, path: str, strict: bool = True) -> DataF
                         rows.append((doc_id, decode(csvs[0][1]), None))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "problem"])
 
-    return raw.mapInPandas(opened, "doc_id string, text string, problem string")
+    return raw.select("content").mapInPandas(opened, "doc_id string, text string, problem string")
 
 
 def unpacked(spark: SparkSession, path: str) -> DataFrame:
