@@ -57,24 +57,29 @@ def row_sum(*columns: str) -> Column:
     return out
 
 
-def _scaled(size: Column, steps: list[tuple[str, int]], decimals: int, whole_bytes: bool, gap: str) -> Column:
-    out = None
-    for i, (unit, power) in enumerate(steps):
-        text = F.format_string("%d" if whole_bytes and power == 0 else f"%.{decimals}f", (size.cast("long") if whole_bytes and power == 0 else size / float(1024**power)))
-        text = F.concat(text, F.lit(gap + unit))
-        small = size < float(1024 ** (power + 1))
-        out = F.when(small, text) if out is None else (out.otherwise(text) if i == len(steps) - 1 else out.when(small, text))
+def _scaled(size: Column, units: list[str], largest: str | None, decimals: int, whole_bytes: bool, gap: str) -> Column:
+    units, out = units[: units.index(largest) + 1 if largest else None], None
+    for power, unit in enumerate(units):
+        if whole_bytes and power == 0:
+            text = F.format_string("%d", size.cast("long"))
+        else:
+            # A value half way between two is rounded to the even one, as C, Python and SQL engines do; Java's format rounds it up. Beyond a decimal's range none is half way.
+            x = size / float(1024**power)
+            text = F.coalesce(F.bround(x.try_cast("decimal(38,18)"), decimals).cast(f"decimal(38,{decimals})").cast("string"), F.format_string(f"%.{decimals}f", x))
+        text, small = F.concat(text, F.lit(gap + unit)), size < float(1024 ** (power + 1))
+        last = power == len(units) - 1
+        out = (text if last else F.when(small, text)) if out is None else (out.otherwise(text) if last else out.when(small, text))
     return out
 
 
-def human_bytes(c: Column | str) -> Column:
-    """1536 is '1.50 KB'."""
-    return _scaled(_c(c).cast("double"), [("B", 0), ("KB", 1), ("MB", 2), ("GB", 3), ("TB", 4)], 2, False, " ")
+def human_bytes(c: Column | str, largest: str | None = None) -> Column:
+    """1536 is '1.50 KB'. Sizes beyond the largest unit ('TB', or the one named) are given in it."""
+    return _scaled(_c(c).cast("double"), ["B", "KB", "MB", "GB", "TB"], largest, 2, False, " ")
 
 
-def short_bytes(c: Column | str) -> Column:
-    """1536 is '1.5K', 12 is '12B'."""
-    return _scaled(_c(c).cast("double"), [("B", 0), ("K", 1), ("M", 2), ("G", 3), ("T", 4)], 1, True, "")
+def short_bytes(c: Column | str, largest: str | None = None) -> Column:
+    """1536 is '1.5K', 12 is '12B'. Sizes beyond the largest unit ('T', or the one named) are given in it."""
+    return _scaled(_c(c).cast("double"), ["B", "K", "M", "G", "T"], largest, 1, True, "")
 
 
 def safe_name(c: Column | str) -> Column:

@@ -3,9 +3,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from gridmill import catalog_queries as C
 from gridmill import registry
 from gridmill.functions import text as X
 from gridmill.functions import timeparse as T
+from tests.oracle import spark_rows, sql_rows
 
 
 def values(spark, texts, *exprs):
@@ -123,3 +125,19 @@ def test_table_functions_in_sql(spark):
     assert sql("SELECT d.i, r.* FROM table_function_docs d, LATERAL zip_members(d.zip) r") == [("d", "a.csv", "caf\u00e9")]
     assert sorted(sql("SELECT d.i, r.* FROM table_function_docs d, LATERAL page_links(d.html, d.url) r")) == [("d", 0, "http://h/p?q=1"), ("none", 0, "r")]
     assert spark.sql("SELECT * FROM csv_rows('x,y', 'y,x')").columns == ["row_idx", "y", "x"]
+
+
+def test_sizes_have_a_largest_unit_and_halves_go_to_the_even(spark):
+    n = ["1073741824", "1152", "1664", str(131072 * 131072 * 64 + 131072), "1280"]
+    got = values(spark, n, X.human_bytes(X.number("s"), "MB"), X.short_bytes(X.number("s"), "M"), X.human_bytes(X.number("s")))
+    assert [r[0] for r in got] == ["1024.00 MB", "1.12 KB", "1.62 KB", "1048576.12 MB", "1.25 KB"]
+    assert [r[1] for r in got] == ["1024.0M", "1.1K", "1.6K", "1048576.1M", "1.2K"]
+    assert [r[2] for r in got] == ["1.00 GB", "1.12 KB", "1.62 KB", "1.00 TB", "1.25 KB"]
+
+
+def test_human_bytes_equals_its_sql_on_large_sizes(spark, tmp_path):
+    ids = [*range(120, 260), *range(4090, 4100), 131072, 262144, 393216]
+    spark.createDataFrame([(i,) for i in ids], "page_id long").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    sql = C.ORACLES["human_bytes"].replace("FROM pages", f"FROM '{tmp_path}/pages/*.parquet'")
+    spark.read.parquet(str(tmp_path / "pages")).write.parquet(str(tmp_path / "pages.parquet"))
+    assert spark_rows(C.human_bytes(spark, str(tmp_path))) == sql_rows(sql, str(tmp_path / "none"))
