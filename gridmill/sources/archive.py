@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from gridmill.functions.text import json_doc_id
 from gridmill.functions.timeparse import parse_iso
-from gridmill.sources.files import objects_in
+from gridmill.sources.files import file_system, objects_in
 
 KEYS = ["archives", "items", "documents", "data", "products"]
 #: What describes a listing rather than being a part of it.
@@ -39,13 +39,6 @@ def rows_of(payload: object) -> list[dict]:
     return objects_in(payload, KEYS)
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system of a path or URI, and the path in it."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 class Pages(InputPartition):
     def __init__(self, numbers: list[int]):
         self.numbers = numbers

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions.text import blank_to_null, clean_header, event_line, posting_column
 from gridmill.functions.timeparse import parse_iso
 from gridmill.registry import POSTING_NAMES
-from gridmill.sources.files import first_line, path_exists
+from gridmill.sources.files import file_system, first_line, path_exists
 
 UNDATED = "undated"
 
@@ -226,10 +229,84 @@ def export_files(lines: DataFrame, path: str, key: str, order: list[str], name:
     """One text file for each key, of its rows' ``value`` in order, under path/name(key): the layout that other tools read.
 
     A file is one task's, so this is for files that have to be single; tables are written by partition
-    (write_table). Files are moved to their names when all are written, and replace what was there; only names pass through
-    the driver. A row without a key is an error.
+    (write_table). Tasks write files beside their places, and when all are written, tasks move them to their names, where they replace
+    what was there: the driver does nothing by file. A row without a key is an error, and so are two keys of one name.
+    Arrow's file systems are written so; in other stores files are moved through Hadoop, one after the other.
     """
     spark = lines.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(conf).makeQualified(at).toString().rstrip("/")
+    try:
+        file_system(root)
+    except (pa.ArrowInvalid, OSError):  # a store that Arrow doesn't know, or whose client library isn't here
+        return _export_through_hadoop(lines, path, key, order, name)
+    made = f"{root}/_writing-{uuid.uuid4().hex}"
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = file_system(f"{made}/{uuid.uuid4().hex}")
+        fs.create_dir(folder)
+        out, last, done = None, None, []
+        for batch in batches:
+            runs, start = pc.run_end_encode(batch.column(0)), 0
+            for k, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if k != last or not done:
+                    if out:
+                        out.close()
+                    out, last = (fs.open_output_stream(f"{folder}/{len(done)}") if k else None), k
+                    done.append((k or None, f"{folder}/{len(done)}", name(k) if k else None))
+                if out:
+                    out.write(b"\n".join([v or b"" for v in batch.column(1).slice(start, end - start).to_pylist()]) + b"\n")
+                start = end
+            if len(done) > 10000:  # the last one goes on
+                yield _named(done[:-1])
+                done = done[-1:]
+                folder = f"{folder}_"
+                fs.create_dir(folder)
+        if out:
+            out.close()
+        yield _named(done)
+
+    def moved(rows: Iterator[Row]) -> None:
+        (fs, base), folders = file_system(root), set()
+        for r in rows:
+            to = f"{base}/{r.name}"
+            folder, file = to.rsplit("/", 1)
+            if folder not in folders:
+                fs.create_dir(folder)
+                folders.add(folder)
+            if fs.get_file_info(r.made).type == pafs.FileType.NotFound:
+                if fs.get_file_info(to).type == pafs.FileType.NotFound:
+                    raise OSError(f"{r.made} could not be moved to {to}")
+                continue  # an attempt of this task before has moved it
+            if isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(crc := f"{folder}/.{file}.crc").type == pafs.FileType.File:
+                fs.delete_file(crc)  # Hadoop's checksum of the file that was there
+            fs.move(r.made, to)
+
+    try:
+        rows = lines.repartition(key).sortWithinPartitions(key, *order).select(F.col(key).cast("string").alias("key"), F.col("value").cast("string").cast("binary").alias("value"))
+        rows.mapInArrow(written, _MADE).write.parquet(f"{made}/names")
+        names = spark.read.schema(_MADE).parquet(f"{made}/names")
+        bad = names.groupBy("name").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1 or name is null").head(1)
+        if bad:
+            raise ValueError(f"{key}: {'a row has no key' if bad[0].name is None else f'{bad[0].name!r} has several files'}; nothing was moved")
+        names.select("made", "name").foreachPartition(moved)
+    finally:
+        fs, folder = file_system(made)
+        if fs.get_file_info(folder).type != pafs.FileType.NotFound:
+            fs.delete_dir(folder)
+
+
+_MADE = "key string, made string, name string"
+
+
+def _named(files: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], pa.string()) for i in range(3)], ["key", "made", "name"])
+
+
+def _export_through_hadoop(lines: DataFrame, path: str, key: str, order: list[str], name: Callable[[str], str]) -> None:
+    """As export_files, in a store that only Hadoop reaches: names pass through the driver, and files are moved one after the other."""
+    spark = lines.sparkSession
     made = f"{path.rstrip('/')}/_writing"
     lines.repartition(key).sortWithinPartitions(key, *order).select(key, "value").write.mode("overwrite").partitionBy(key).text(made)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -179,6 +179,23 @@ def test_exported_files_keep_their_keys_as_names(spark, tmp_path):
         sinks.export_files(spark.createDataFrame([(None, 0, "x")], "k string, i int, value string"), str(tmp_path / "none"), "k", ["i"], str)
 
 
+def test_export_writes_and_moves_files_in_tasks(spark, tmp_path, monkeypatch):
+    def by_file(*_):
+        raise AssertionError("files were moved by the driver")
+
+    monkeypatch.setattr(sinks, "_export_through_hadoop", by_file)
+    lines = spark.range(0, 3000, numPartitions=3).select((F.col("id") % 1000).alias("k"), "id", F.when(F.col("id") >= 1000, F.col("id")).cast("string").alias("value"))
+    (tmp_path / "out/a").mkdir(parents=True)
+    (tmp_path / "out/a/7.txt").write_text("old")
+    (tmp_path / "out/a/.7.txt.crc").write_bytes(b"crc\0\0\0\2\0" + b"\0" * 4)  # Hadoop's checksum of another text
+    sinks.export_files(lines, str(tmp_path / "out"), "k", ["id"], lambda k: f"a/{k}.txt")
+    assert {p.name: p.read_text() for p in (tmp_path / "out/a").glob("*.txt")} == {f"{k}.txt": f"\n{k + 1000}\n{k + 2000}\n" for k in range(1000)}
+    assert spark.read.text(str(tmp_path / "out/a/7.txt")).count() == 3 and [p.name for p in (tmp_path / "out").iterdir()] == ["a"]
+    with pytest.raises(ValueError, match="several files"):
+        sinks.export_files(lines, str(tmp_path / "two"), "k", ["id"], lambda k: "same")
+    assert list((tmp_path / "two").iterdir()) == []
+
+
 def test_a_save_that_fails_leaves_what_was_there(spark, tmp_path):
     path, shape = f"file://{tmp_path}/whole", "i long"
     assert sinks.read_whole(spark, path, shape).count() == 0
