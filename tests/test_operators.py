@@ -150,3 +150,10 @@ def test_windows_over_one_large_key_equal_those_of_one_task(spark):
                 assert sorted(map(str, W.spread_inversions(df, "v", ["k"], order, down).collect())) == sorted(map(str, W.inversions(df, "v", ["k"], order, down).collect()))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_documents_spread_to_rows_are_never_broadcast(spark):
+    docs = spark.createDataFrame([("m", "a", 0, 2), ("m", "b", 2, 3)], "month string, doc_id string, row_start long, row_end long")
+    found = J.fill_by_position(spark.range(4).select(F.lit("m").alias("month"), F.col("id").alias("row_idx")), docs)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.row_idx, r.doc_id) for r in found.orderBy("row_idx").collect()] == [(0, "a"), (1, "a"), (2, "b"), (3, None)]
