@@ -157,3 +157,21 @@ def test_documents_spread_to_rows_are_never_broadcast(spark):
     found = J.fill_by_position(spark.range(4).select(F.lit("m").alias("month"), F.col("id").alias("row_idx")), docs)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.row_idx, r.doc_id) for r in found.orderBy("row_idx").collect()] == [(0, "a"), (1, "a"), (2, "b"), (3, None)]
+
+
+def test_tables_are_dealt_to_tasks_by_their_rows(spark, tmp_path):
+    from gridmill import catalog_queries as C
+    from gridmill import session
+
+    spark.range(3000).select((F.col("id") % 700).alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"), F.col("id").cast("double").alias("l_extendedprice"), F.col("id").alias("l_partkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    each, session.TASK_ROWS = session.TASK_ROWS, 100
+    try:
+        assert session.tasks_for(spark.read.parquet(str(tmp_path / "lineitem.parquet"))) == 30
+        plan = C.pivot_checked(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, v string")
+        found = J.collisions(rows, ["v"], 30)
+    finally:
+        session.TASK_ROWS = each
+    assert plan.count("Exchange") == 1 and "hashpartitioning(l_orderkey" in plan and ", 30)" in plan
+    assert "hashpartitioning(__f" in (p := found._jdf.queryExecution().executedPlan().toString()) and p.count("Exchange") == 1
+    assert [tuple(r) for r in found.collect()] == [("a", 2)]
