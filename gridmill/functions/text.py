@@ -122,11 +122,26 @@ def event_line(event: Column | str, fields: Column | str) -> Column:
     return F.concat_ws(" ", _c(event), F.array_join(F.transform(F.map_entries(_c(fields)), lambda e: F.concat(e["key"], F.lit("="), value(e["value"]))), " "))
 
 
+#: A k=v part of a log line: the whole, its key, its value as it is written.
+_FIELD = r'(?:^|\s)(([A-Za-z_]\w*)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|\S*))'
+
+
+def event_parts(line: Column | str) -> Column:
+    """The k=v parts of a log line as they are written, in order."""
+    return F.regexp_extract_all(_c(line), F.lit(_FIELD), F.lit(1))
+
+
+def event_value(parts: Column | str, key: str) -> Column:
+    """A key's value in a line's event_parts: quoted ones are read as JSON text, the last counts; null without one."""
+    own = F.filter(_c(parts), lambda p: p.startswith(f"{key}="))
+    v = F.substring(F.get(own, F.size(own) - 1), len(key) + 2, 1 << 30)
+    return F.when(v.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"), v)).otherwise(v)
+
+
 def event_fields(line: Column | str) -> Column:
     """map of the k=v parts of a log line; quoted values are read as JSON text, and of a repeated key the last value counts."""
-    shape = r'(?:^|\s)([A-Za-z_]\w*)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|\S*)'
-    names = F.regexp_extract_all(_c(line), F.lit(shape), F.lit(1))
-    values = F.regexp_extract_all(_c(line), F.lit(shape), F.lit(2))
+    names = F.regexp_extract_all(_c(line), F.lit(_FIELD), F.lit(2))
+    values = F.regexp_extract_all(_c(line), F.lit(_FIELD), F.lit(3))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     read = lambda v: F.when(v.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"), v)).otherwise(v)
     once = F.array_distinct(names)

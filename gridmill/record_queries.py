@@ -28,7 +28,7 @@ from gridmill.operators import windows as W
 from gridmill.plans import backfill as B
 from gridmill.plans import estimate as E
 from gridmill.plans import resume as P
-from gridmill.session import scratch
+from gridmill.session import dealt, saved, scratch, tasks_for
 from gridmill.sources import archive
 from gridmill.sources import files as S
 from gridmill.sources import sinks as K
@@ -176,7 +176,7 @@ def marker_skip(spark, d):
 def run_log(spark, d):
     """A run log written and scanned for its finished days; other events are left out."""
     root = scratch(spark, "log")
-    e = table(spark, d, "events").select(
+    e = dealt(table(spark, d, "events"), "event_id").select(
         F.when(F.col("event_id") % 4 == 0, "DAY_START").otherwise("DAY_COMPLETE").alias("event"),
         F.create_map(F.lit("dataset"), F.col("event_type"), F.lit("date"), F.date_format("ts", "yyyy-MM-dd"), F.lit("note"), F.lit('two "words" date=1999-01-01\n files=0'), F.lit("files"), F.col("event_id").cast("string"), F.lit("completed_at"), F.concat(F.date_format("ts", ISO), F.lit("Z"))).alias("fields"),
     )

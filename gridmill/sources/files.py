@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmill.functions.text import blank_to_null, clean_header, csv_cells, csv_records, doc_id_of, event_fields, file_link, json_doc_id, posting_column
+from gridmill.functions.text import blank_to_null, clean_header, csv_cells, csv_records, doc_id_of, event_parts, event_value, file_link, json_doc_id, posting_column
 from gridmill.functions.timeparse import month_of_path, parse_iso
 from gridmill.session import saved
 
@@ -393,8 +393,9 @@ def run_events(spark: SparkSession, path: str, event: str = "DAY_COMPLETE") -> D
     """run, row_idx, dataset_id, day, files, completed_at of a kind of event in run logs; the old spelling with a blank counts."""
     shape = event.replace("_", "[_ ]")
     lines = numbered_lines(spark, path).where(F.col("line").rlike(rf"(^|\s){shape}\s"))
-    f = lines.withColumn("fields", event_fields("line"))
-    get = lambda k: F.try_element_at("fields", F.lit(k))
+    # A line is cut into its parts once: as a generator's row, since Spark repeats an expression wherever its column is used.
+    f = lines.select("file", "row_idx", F.explode(F.array(event_parts("line"))).alias("parts"))
+    get = lambda k: event_value("parts", k)
     return f.select(F.regexp_extract("file", "([^/]+)$", 1).alias("run"), "row_idx", get("dataset").alias("dataset_id"), get("date").try_cast("date").alias("day"), get("files").try_cast("int").alias("files"), parse_iso(get("completed_at")).alias("completed_at")).where("completed_at is not null and dataset_id is not null")
 
 

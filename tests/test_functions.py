@@ -141,3 +141,9 @@ def test_human_bytes_equals_its_sql_on_large_sizes(spark, tmp_path):
     sql = C.ORACLES["human_bytes"].replace("FROM pages", f"FROM '{tmp_path}/pages/*.parquet'")
     spark.read.parquet(str(tmp_path / "pages")).write.parquet(str(tmp_path / "pages.parquet"))
     assert spark_rows(C.human_bytes(spark, str(tmp_path))) == sql_rows(sql, str(tmp_path / "none"))
+
+
+def test_event_values_are_those_of_the_map(spark):
+    lines = ['EV date=1 note="a \\"b\\" date=2\\n files=0" files=3', "EV date=1 date=2 dated=7", 'EV date="open', "EV xdate=1", "EV date=", None, 'EV date="\\u00e9"']
+    got = values(spark, lines, X.event_value(X.event_parts("s"), "date"), F.try_element_at(X.event_fields("s"), F.lit("date")))
+    assert [r[0] for r in got] == [r[1] for r in got] == ["1", "2", '"open', None, "", None, "é"]
