@@ -175,3 +175,14 @@ def test_tables_are_dealt_to_tasks_by_their_rows(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "hashpartitioning(l_orderkey" in plan and ", 30)" in plan
     assert "hashpartitioning(__f" in (p := found._jdf.queryExecution().executedPlan().toString()) and p.count("Exchange") == 1
     assert [tuple(r) for r in found.collect()] == [("a", 2)]
+
+
+def test_rebuilt_rows_of_one_number_have_an_order(spark):
+    from gridmill.plans import backfill as B
+
+    rows = [("m", 1, 1, 5, p, n) for p, n in [("b", "1"), ("a", "2"), ("c", "1"), ("a", "1")]]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "month string, doc_id int, doc_position int, row_idx long, part string, line string").coalesce(1)
+        postings = spark.createDataFrame([(1, "2025-01-01T00:00:00", 0)], "doc_id int, posting string, row_idx int")
+        got = [(r.part, r.line) for r in B.rebuild(df, [postings], ["part", "line"]).orderBy("row_idx").collect()]
+        assert got == [("a", "1"), ("a", "2"), ("b", "1"), ("c", "1")]
