@@ -13,6 +13,8 @@ from gridmill.plans import resume
 from gridmill.session import scratch
 from gridmill.sources import sinks
 
+#: Keys whose rows are a part of a document.
+PART_KEYS = 1024
 _LEVELS = "CAST(2 - grouping(o_orderpriority) - grouping(o_orderstatus) AS INTEGER)"
 
 
@@ -134,10 +136,17 @@ def whole_table_order(spark, d):
 SELECT o_orderpriority AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS INTEGER) AS row_idx, CAST(o_orderkey AS VARCHAR) AS "key", 'x, "' || o_orderstatus || '"' AS label, CAST(NULL AS VARCHAR) AS missing
 FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderkey IS NOT NULL AND o_orderstatus IS NOT NULL""")
 def sql_document_rows(spark, d):
-    """Documents cut into rows by SQL text alone: a lateral table function whose columns are named in the call."""
+    """Documents cut into rows by SQL text alone: a lateral table function whose columns are named in the call.
+
+    A call's rows are all in a Python worker's memory at once, and so are those of a batch of calls. These documents grow with the
+    table, so they come in parts of a range of keys, each under the header, with the number of the rows before.
+    """
     tables.register(spark)
     o = table(spark, d, "orders").where("o_orderpriority is not null and o_orderkey is not null and o_orderstatus is not null")
     line = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"x, ""'), "o_orderstatus", F.lit('"""'))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])
-    o.groupBy(F.col("o_orderpriority").alias("doc_id")).agg(F.concat(F.lit("key, label\r\n"), F.array_join(lines, "\r\n")).alias("text")).createOrReplaceTempView("sql_documents")
-    return spark.sql("SELECT d.doc_id, r.* FROM sql_documents d, LATERAL csv_rows(d.text, 'key,label,missing') r")
+    keys = [F.col("o_orderpriority").alias("doc_id"), F.floor(F.col("o_orderkey") / PART_KEYS).alias("part")]
+    starts = W.offsets(o.groupBy(*keys).agg(F.count("*").alias("n")), "n", ["doc_id"], ["part"]).select("doc_id", "part", "row_start")
+    texts = o.groupBy(*keys).agg(F.concat(F.lit("key, label\r\n"), F.array_join(lines, "\r\n")).alias("text"))
+    texts.join(starts, ["doc_id", "part"]).createOrReplaceTempView("sql_documents")
+    return spark.sql("SELECT d.doc_id, CAST(d.row_start + r.row_idx AS INT) AS row_idx, r.key, r.label, r.missing FROM sql_documents d, LATERAL csv_rows(d.text, 'key,label,missing') r")

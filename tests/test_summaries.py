@@ -66,3 +66,16 @@ def test_counters_of_a_job_and_of_a_stream(spark, tmp_path):
         assert counters.totals[str(q.id)] == {"n": 6, "v": 4}
     finally:
         spark.streams.removeListener(counters)
+
+
+def test_documents_of_sql_come_in_parts(spark, tmp_path):
+    from gridmill import catalog_queries as C
+    from gridmill import summary_queries as Q
+    from tests.oracle import spark_rows, sql_rows
+
+    spark.range(5000).selectExpr("id * 3 AS o_orderkey", "concat(id % 2, '-P') AS o_orderpriority", "'F' AS o_orderstatus").coalesce(1).write.parquet(str(tmp_path / "o"))
+    next((tmp_path / "o").glob("part-*.parquet")).rename(tmp_path / "orders.parquet")
+    found = Q.sql_document_rows(spark, str(tmp_path))
+    sizes = [len(r.text) for r in spark.table("sql_documents").collect()]
+    assert len(sizes) == 30 and max(sizes) < 16 * Q.PART_KEYS
+    assert spark_rows(found) == sql_rows(C.ORACLES["sql_document_rows"], str(tmp_path))
