@@ -296,11 +296,11 @@ def stream_runs(spark, d):
     root = scratch(spark, "runs")
     e = table(spark, d, "events").where("user_id is not null and ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     end = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("interval 10 years")).alias("ts"), F.lit("end").alias("event_type"))
-    third = F.pmod(F.xxhash64("user_id", "ts", "event_type"), F.lit(3))
+    third, tasks = F.pmod(F.xxhash64("user_id", "ts", "event_type"), F.lit(3)), tasks_for(table(spark, d, "events"))
     for part in (*(e.where(third == i) for i in range(3)), end):
         part.write.mode("append").parquet(f"{root}/in")
-        found = ST.runs(spark.readStream.schema(e.schema).parquet(f"{root}/in"), "user_id", "ts", "event_type", "60 days", 86_400 * 60)
-        with ST.rocks(spark):
+        found = ST.runs(spark.readStream.schema(e.schema).parquet(f"{root}/in"), "user_id", "ts", "event_type", "60 days", 86_400 * 60, 16 * tasks)
+        with ST.rocks(spark, tasks):
             q = found.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{root}/out").where("key <> -1").select(F.col("key").alias("user_id"), "island", F.col("value").alias("event_type"), "n_rows")

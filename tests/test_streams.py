@@ -1,5 +1,7 @@
 import datetime
+import itertools
 import json
+import random
 
 from gridmill.operators import windows as W
 from gridmill.sources import archive
@@ -59,6 +61,55 @@ def test_runs_of_a_stream_are_those_of_the_table(spark, tmp_path):
     assert got == want
 
 
+def _runs(spark, tmp_path, shape="k long, ts timestamp, v string", late="10 minutes", idle=3600):
+    with ST.rocks(spark):
+        stream = spark.readStream.schema(shape).json(str(tmp_path / "in"))
+        q = ST.runs(stream, "k", "ts", "v", late, idle).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def test_state_of_runs_does_not_grow_with_the_keys(spark, tmp_path):
+    start, chance = datetime.datetime(2025, 1, 1), random.Random(8)
+    keys = [None, *(2**60 + i for i in range(2999))]
+    rows = [(k, i, chance.choice(["a", "b", None])) for k in keys for i in sorted(chance.choices(range(60), k=6))]
+    at = lambda i: (start + datetime.timedelta(minutes=i)).isoformat()
+    for n, (low, high) in enumerate(((0, 25), (25, 45), (45, 60))):
+        part = [{"k": k, "ts": at(i), "v": v} for k, i, v in rows if low <= i < high]
+        chance.shuffle(part)
+        _put(tmp_path / "in", f"{n}.json", part)
+        held = [s["numRowsTotal"] for p in _runs(spark, tmp_path).recentProgress for s in p["stateOperators"]]
+        assert held and max(held) <= 1025  # the buckets, and that of null keys
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert 0 < got.count()  # some runs end before the last batch
+    _put(tmp_path / "in", "end.json", [{"k": 0, "ts": at(100_000), "v": None}])
+    _runs(spark, tmp_path)
+    by_key = {}
+    for k, i, v in rows:
+        by_key.setdefault(k, []).append((i, v is not None, v or ""))
+    want = []
+    for k, held in by_key.items():
+        runs = [(there, v, list(g)) for (there, v), g in itertools.groupby(sorted(held), key=lambda r: r[1:])]
+        want += [(k, n, v if there else None, len(g), at(g[0][0]), at(g[-1][0])) for n, (there, v, g) in enumerate(runs, 1)]
+    found = [(r.key, r.island, r.value, r.n_rows, r.first_at.isoformat(), r.last_at.isoformat()) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.key != 0]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_a_run_ends_when_nothing_comes_for_long(spark, tmp_path):
+    start = datetime.datetime(2025, 1, 1)
+    at = lambda i: (start + datetime.timedelta(minutes=i)).isoformat()
+    # Key 1 comes again after its run was given, key 2 within the time, key 3 never.
+    batches = [[(1, 0, "a"), (1, 1, "a"), (2, 0, "a"), (3, 0, "c")], [(2, 50, "a"), (4, 200, "x")], [(1, 300, "a"), (2, 301, "b")], [(4, 100_000, None)]]
+    for n, rows in enumerate(batches):
+        _put(tmp_path / "in", f"{n}.json", [{"k": k, "ts": at(i), "v": v} for k, i, v in rows])
+        _runs(spark, tmp_path)
+        if n == 1:
+            held = spark.read.parquet(str(tmp_path / "out")).collect()
+            assert sorted((r.key, r.island, r.value, r.n_rows) for r in held) == [(1, 1, "a", 2), (2, 1, "a", 2), (3, 1, "c", 1)]
+    got = sorted((r.key, r.island, r.value, r.n_rows) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.key != 4)
+    assert got == [(1, 1, "a", 2), (1, 2, "a", 1), (2, 1, "a", 2), (2, 2, "b", 1), (3, 1, "c", 1)]
+
+
 def _pages(folder, pages):
     folder.mkdir(exist_ok=True)
     for n, docs in pages.items():
