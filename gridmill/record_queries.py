@@ -300,7 +300,7 @@ def stream_runs(spark, d):
     for part in (*(e.where(third == i) for i in range(3)), end):
         part.write.mode("append").parquet(f"{root}/in")
         found = ST.runs(spark.readStream.schema(e.schema).parquet(f"{root}/in"), "user_id", "ts", "event_type", "60 days", 86_400 * 60, 16 * tasks)
-        with ST.rocks(spark, tasks):
+        with ST.rocks(spark, tasks, 1_000_000):
             q = found.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{root}/out").where("key <> -1").select(F.col("key").alias("user_id"), "island", F.col("value").alias("event_type"), "n_rows")
