@@ -57,7 +57,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in low])
 
 
-def text_blocks(column: pa.Array, most: int = 1 << 19) -> Iterator[list[str]]:
+def text_blocks(column: pa.Array, most: int = 1 << 16) -> Iterator[list[str]]:
     """Texts in lists of bounded total length; a long text is a list of its own."""
     texts = [t or "" for t in column.to_pylist()]
     for i, j in blocks(np.concatenate([[0], np.cumsum([len(t) for t in texts])]), most):

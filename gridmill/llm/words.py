@@ -1,7 +1,8 @@
 """Words of Arrow text columns as 64-bit hashes, computed on whole batches with numpy.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. Its hash is a polynomial in a
-random table of its bytes, taken modulo 2**64 from one prefix sum over the batch, then mixed.
+random table of its bytes, taken modulo 2**64 from prefix sums over stretches of words, then mixed.
+It doesn't depend on where the stretches begin, so they are short, however long a text is.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ _T = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) |
 _T_LOWER = _T[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 _SEP = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _pow = {False: np.ones(1, U), True: np.ones(1, U)}
-#: Bytes of text hashed at once; a document longer than this is a block of its own.
-BLOCK = 1 << 21
+#: Bytes of text cut into words at once; a document longer than this is a block of its own.
+BLOCK = 1 << 18
+#: Bytes of whole words whose prefix sums are held at once, eight bytes each; a longer word is a stretch of its own.
+STRETCH = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, inverse: bool) -> np.ndarray:
     if len(_pow[inverse]) < n:
-        steps = np.full(max(n, BLOCK), _P_INV if inverse else _P, U)
+        steps = np.full(max(n, STRETCH), _P_INV if inverse else _P, U)
         steps[0] = 1
         _pow[inverse] = np.multiply.accumulate(steps)
     return _pow[inverse][:n]
@@ -84,9 +87,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, sep:
     rows = np.searchsorted(start, offsets)
     if not len(start):
         return np.zeros(0, U), start, end, rows
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((_T_LOWER if lower else _T)[data] * _powers(len(data), False), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _powers(len(data), True)[start] + (end - start).astype(U)), start, end, rows
+    table, out, i = _T_LOWER if lower else _T, np.empty(len(start), U), 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, a + STRETCH, "right")))
+        s, e = start[i:j] - a, end[i:j] - a
+        n = int(e[-1])
+        sums = np.zeros(n + 1, U)
+        np.cumsum(table[data[a : a + n]] * _powers(n, False), out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[s]) * _powers(n, True)[s] + (e - s).astype(U))
+        i = j
+    return out, start, end, rows
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
