@@ -240,3 +240,53 @@ def test_options_from_a_config(tmp_path, capsys):
         jobs.main(["size", "--config", str(tmp_path / "c.json")])
     with pytest.raises(ValueError):
         jobs.config(str(tmp_path / "c.txt")) if (tmp_path / "c.txt").write_text("") == 0 else None
+
+
+def test_large_files_are_sorted_by_ranges_and_put_together(spark, tmp_path):
+    lines = spark.range(0, 20000, numPartitions=3).select(F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("k"), (20000 - F.col("id")).alias("i"), F.col("id").cast("string").alias("value"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges of so few rows
+    try:
+        for _ in range(2):
+            sinks.export_files(lines, str(tmp_path / "out"), "k", ["i"], lambda k: f"{k}/{k}.txt", large=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {k: [str(i) for i in range(19999, -1, -1) if (i % 5 == 0) == (k == "b")] for k in "ab"}
+    assert {k: (tmp_path / f"out/{k}/{k}.txt").read_text().split() for k in "ab"} == want
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
+    with pytest.raises(ValueError, match="several files"):
+        sinks.export_files(lines, str(tmp_path / "two"), "k", ["i"], lambda k: "same", large=True)
+
+
+def test_a_month_is_filled_by_many_tasks(spark, monkeypatch):
+    """Rows meet documents by stretches of their numbers, and documents' row numbers are not spread by one task a month."""
+    from gridmill.operators import joins as J
+
+    monkeypatch.setattr(J, "STRETCH", 7)
+    docs = spark.createDataFrame([("m", f"d{i}", i * 10, i * 10 + (10 if i % 3 else 9)) for i in range(20)] + [("m", "none", 50, 50), ("n", "x", 3, 40)], "month string, doc_id string, row_start long, row_end long")
+    rows = spark.range(0, 420).select(F.when(F.col("id") < 210, "m").otherwise("n").alias("month"), (F.col("id") % 210).alias("row_idx"))
+    found = J.fill_by_position(rows, docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(month" in plan and "__s" in plan
+    for r in found.collect():
+        want = (f"d{r.row_idx // 10}" if r.row_idx < 200 and (r.row_idx % 10 < 9 or r.row_idx // 10 % 3) else None) if r.month == "m" else ("x" if 3 <= r.row_idx < 40 else None)
+        assert r.doc_id == want, r
+
+
+def test_frequent_fingerprints_are_numbered_as_rare_ones(spark, monkeypatch):
+    from gridmill.operators import joins as J
+
+    sources = spark.createDataFrame([("f" if i % 4 else f"r{i % 8}", i, f"p{i}") for i in range(200)], "v string, row_idx int, posting string")
+    targets = spark.createDataFrame([("f" if i % 3 else f"r{i % 8}", i, "kept" if i % 17 == 0 else "") for i in range(150)], "v string, row_idx int, posting string")
+    fill = lambda: sorted(map(tuple, J.fill_by_fingerprint(targets, sources, ["v"], bucket=F.floor(F.col("row_idx") / 16)).collect()), key=lambda r: r[1])
+    one = sorted(map(tuple, J.fill_by_fingerprint(targets, sources, ["v"]).collect()), key=lambda r: r[1])
+    assert fill() == one
+    monkeypatch.setattr(J, "MANY", 20)
+    assert fill() == one
+
+
+def test_verify_tells_each_row_as_often_as_it_differs(spark):
+    rows = lambda *v: spark.createDataFrame([("m", x) for x in v], "month string, v string")
+    found = B.verify(rows("a", "a", "a", "b", None), rows("a", "c", "c", "b", None), ["v"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r.v for r in found.collect()) == ["a", "a", "c", "c"]
